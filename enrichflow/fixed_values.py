@@ -73,6 +73,9 @@ RAW_MODE_WARNING = (
 )
 EVIDENCE_SOURCE = "alphaxiv_report_fallback"
 
+# --- fixed values: where the metric sits in a metadata response ---
+METRIC_PATH = ("data", "paper_group", "metrics", "public_total_votes")
+
 # --- fixed values: limits and defaults ---
 MAX_ERROR_DETAIL = 500
 MAX_RECORDS = 10_000

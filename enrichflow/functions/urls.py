@@ -18,7 +18,7 @@ _HAS_AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//"
 _DOTTED = r"(?:^|/)\.\.?(?:/|$)"
 
 
-def _pieces(url: Column) -> Column:
+def url_pieces(url: Column) -> Column:
     """Struct of the URL parts; absent parts are empty, ``port`` is NULL when it is not a port."""
 
     def outer(text: Column) -> Column:
@@ -61,7 +61,7 @@ def _passes(u: Column, hosts: tuple[str, ...] | None) -> Column:
 
 def is_secure(url: Column, hosts: tuple[str, ...] | None) -> Column:
     """https, allow-listed host (None allows any), no user info, default port."""
-    return F.coalesce(bind(lambda u: _passes(u, hosts), u=_pieces(url)), F.lit(False))
+    return F.coalesce(bind(lambda u: _passes(u, hosts), u=url_pieces(url)), F.lit(False))
 
 
 def _fold_dots(segments: Column) -> Column:
@@ -84,7 +84,7 @@ def _rooted(path: Column) -> Column:
 
 def join_url(base: Column, href: Column) -> Column:
     """Absolute form of ``href`` seen from ``base``, without fragment or empty query."""
-    return bind(_joined, b=_pieces(base), h=_pieces(href))
+    return bind(_joined, b=url_pieces(base), h=url_pieces(href))
 
 
 def _joined(b: Column, h: Column) -> Column:
@@ -124,15 +124,17 @@ def _joined(b: Column, h: Column) -> Column:
     return F.when(same_scheme | own_authority, F.concat(front, whole))
 
 
+def resolve_from(b: Column, href: Column, hosts: tuple[str, ...] | None) -> Column:
+    """``resolve_secure`` for a page URL already split by ``url_pieces``."""
+    found = bind(
+        lambda h: bind(lambda url: F.when(is_secure(url, hosts), url), url=_joined(b, h)), h=urlurl_pieces(href)
+    )
+    return F.when(_passes(b, hosts), found)
+
+
 def resolve_secure(base: Column, href: Column, hosts: tuple[str, ...] | None = V.CATALOGUE_HOSTS) -> Column:
     """Joined URL when both the page and the result pass the gate, else NULL."""
-    return bind(
-        lambda b, h: F.when(
-            _passes(b, hosts), bind(lambda url: F.when(is_secure(url, hosts), url), url=_joined(b, h))
-        ),
-        b=_pieces(base),
-        h=_pieces(href),
-    )
+    return bind(lambda b: resolve_from(b, href, hosts), b=urlurl_pieces(base))
 
 
 @dataclass(frozen=True)
@@ -181,7 +183,7 @@ def canonical_id(url: Column, shape: IdShape = ARCHIVE) -> Column:
             bind(lambda parts: name(parts, F.try_element_at(parts, F.lit(1))), parts=decode(u["path"])),
         )
 
-    return bind(parse, u=_pieces(url))
+    return bind(parse, u=url_pieces(url))
 
 
 def secure_link(href: Column, shape: IdShape = ARCHIVE) -> Column:
@@ -196,7 +198,7 @@ def secure_link(href: Column, shape: IdShape = ARCHIVE) -> Column:
         allowed = u["scheme"].isin("http", "https") & ~u["has_user"]
         return F.when(allowed, F.concat(F.lit("https://"), u["host"], tail))
 
-    rebuilt = bind(rebuild, u=_pieces(href))
+    rebuilt = bind(rebuild, u=url_pieces(href))
     return bind(lambda url: F.when(canonical_id(url, shape).isNotNull(), url), url=rebuilt)
 
 
@@ -237,9 +239,9 @@ def private_endpoint(url: Column, allow_ipv6: bool = True) -> Column:
     Names and IPv4 stay in the JVM. Only IPv6 hosts are sent to a Python worker; with
     ``allow_ipv6=False`` the plan has no Python node and IPv6 hosts are refused.
     """
-    host = bind(lambda u: u["host"], u=_pieces(url))
+    host = bind(lambda u: u["host"], u=url_pieces(url))
     v6 = _private_ipv6(F.when(host.contains(":"), host)) if allow_ipv6 else F.lit(None).cast("string")
-    return bind(_endpoint, u=_pieces(url), v6=v6)
+    return bind(_endpoint, u=url_pieces(url), v6=v6)
 
 
 def _endpoint(u: Column, v6: Column) -> Column:

@@ -6,7 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from enrichflow import fixed_values as V
 from enrichflow.functions import markup
 from enrichflow.functions.strings import is_blank, squeeze, strip
-from enrichflow.functions.urls import ARCHIVE, IdShape, collection_year, is_secure, resolve_secure, secure_link
+from enrichflow.functions.urls import (
+    ARCHIVE,
+    IdShape,
+    collection_year,
+    is_secure,
+    resolve_from,
+    resolve_secure,
+    secure_link,
+    url_pieces,
+)
 from enrichflow.operators.keyed import first_per_key
 
 
@@ -79,17 +88,17 @@ def _label_href(links: Column, label: str) -> Column:
     return F.try_element_at(named, F.lit(-1))["href"]
 
 
-def _built(record: Column, url: Column, listing: Listing) -> Column:
-    detail = resolve_secure(url, record["detail_href"], listing.hosts)
+def _built(record: Column, base: Column, listing: Listing) -> Column:
+    detail = resolve_from(base, record["detail_href"], listing.hosts)
     if listing.required_label is None:
         file_url = F.lit(None).cast("string")
         file_ok = F.lit(True)
     else:
-        file_url = resolve_secure(url, _label_href(record["links"], listing.required_label), listing.hosts)
+        file_url = resolve_from(base, _label_href(record["links"], listing.required_label), listing.hosts)
         file_ok = file_url.isNotNull()
     title = squeeze(record["title"])
     authors = F.transform(F.array_distinct(record["authors"]), strip)
-    built = F.struct(
+    return F.struct(
         title.alias("title"),
         authors.alias("authors"),
         detail.alias("detail_url"),
@@ -97,7 +106,6 @@ def _built(record: Column, url: Column, listing: Listing) -> Column:
         secure_link(_label_href(record["links"], listing.optional_label), listing.ids).alias("arxiv_url"),
         file_ok.alias("file_ok"),
     )
-    return built
 
 
 def _is_valid(record: Column) -> Column:
@@ -113,7 +121,8 @@ def parse_listings(pages: DataFrame, listing: Listing = CATALOGUE, parser: str =
     """
     base = pages.select("page_id", "position", "url", "html", "error_code")
     found = markup.with_records(base, listing.shape, into="raw", parser=parser)
-    built = found.withColumn("built", F.transform("raw", lambda r: _built(r, F.col("url"), listing)))
+    based = found.withColumn("base", url_pieces(F.col("url")))
+    built = based.withColumn("built", F.transform("raw", lambda r: _built(r, F.col("base"), listing)))
     year = collection_year(F.col("url"), listing.year_pattern) if listing.year_pattern else F.lit(0)
     marked = built.withColumn(
         "records", F.transform("built", lambda r: r.withField("valid", _is_valid(r)).dropFields("file_ok"))

@@ -79,9 +79,9 @@ def select_records(
     return selected_tasks(disposed, questions, max_records), disposed
 
 
-def rejected_links(disposed: DataFrame) -> DataFrame:
+def rejected_links(disposed: DataFrame, *groups: str) -> DataFrame:
     return disposed.filter(F.col("disposition") == INVALID_LINK).select(
-        "title", F.lit(V.INVALID_ARCHIVE_URL).alias("error_code"), "position", "ord"
+        *groups, "title", F.lit(V.INVALID_ARCHIVE_URL).alias("error_code"), "position", "ord"
     )
 
 
