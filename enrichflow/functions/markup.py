@@ -13,7 +13,7 @@ from pyspark.sql import Column, functions as F
 
 from enrichflow import fixed_values as V
 from enrichflow.functions.strings import strip
-from enrichflow.schemas import LINKS, RAW_RECORDS
+from enrichflow.schemas import LINKS, RAW_RECORDS, TEXT
 
 _ATTRS = (
     r"(?:\s++[^\s\"'<>=/]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'<>=`]++))?+)*+\s*+/?+"
@@ -53,7 +53,7 @@ def has_odd_entity(text: Column) -> Column:
     return text.rlike(_ODD_ENTITY)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(TEXT)
 def _unescape_rest(texts: pd.Series) -> pd.Series:
     return texts.map(html_lib.unescape, na_action="ignore").astype(object)
 

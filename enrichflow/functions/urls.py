@@ -12,6 +12,7 @@ from pyspark.sql import Column, functions as F
 
 from enrichflow import fixed_values as V
 from enrichflow.functions.strings import bind
+from enrichflow.schemas import TEXT
 
 _SHAPE = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 _HAS_AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//"
@@ -127,14 +128,14 @@ def _joined(b: Column, h: Column) -> Column:
 def resolve_from(b: Column, href: Column, hosts: tuple[str, ...] | None) -> Column:
     """``resolve_secure`` for a page URL already split by ``url_pieces``."""
     found = bind(
-        lambda h: bind(lambda url: F.when(is_secure(url, hosts), url), url=_joined(b, h)), h=urlurl_pieces(href)
+        lambda h: bind(lambda url: F.when(is_secure(url, hosts), url), url=_joined(b, h)), h=url_pieces(href)
     )
     return F.when(_passes(b, hosts), found)
 
 
 def resolve_secure(base: Column, href: Column, hosts: tuple[str, ...] | None = V.CATALOGUE_HOSTS) -> Column:
     """Joined URL when both the page and the result pass the gate, else NULL."""
-    return bind(lambda b: resolve_from(b, href, hosts), b=urlurl_pieces(base))
+    return bind(lambda b: resolve_from(b, href, hosts), b=url_pieces(base))
 
 
 @dataclass(frozen=True)
@@ -218,7 +219,7 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _IPV4 = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(TEXT)
 def _private_ipv6(hosts: pd.Series) -> pd.Series:
     """Compressed form of loopback and unique-local IPv6 addresses, NULL for the rest."""
     local = ipaddress.ip_network("fc00::/7")

@@ -133,7 +133,7 @@ def refusal(event_seq: Column, kind: Column, same_id: Column) -> Column:
         event_seq == F.col("result_seq"), F.lit(False)
     )
     return (
-        F.when(kind == ENQUEUE, F.lit(None).cast("string"))
+        F.when(~kind.isin(CLAIM, RESULT_OK, RESULT_BAD), F.lit(None).cast("string"))
         .when(accepted, F.lit(None).cast("string"))
         .when(before_enqueue, F.lit(UNKNOWN_TASK))
         .when(is_result & ~same_id, F.lit(OTHER_IDENTITY))
