@@ -12,15 +12,16 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from enrichflow import fixed_values as V
-from enrichflow.functions.strings import strip
+from enrichflow.functions.strings import bind, strip
 from enrichflow.schemas import LINKS, RAW_RECORDS, TEXT
 
 _ATTRS = (
     r"(?:\s++[^\s\"'<>=/]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'<>=`]++))?+)*+\s*+/?+"
 )
 _TAGS = r"(?:<[A-Za-z/!?](?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>)+"
-_HIDDEN = r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>"
-_ODD_BLOCKS = r"(?is)<(?:textarea|xmp|plaintext|iframe|noembed|noframes|title[^>]*>[^<]*<(?!/title))\b|<!\[CDATA\["
+_HIDDEN = r"(?s)<!--.*?-->|<((?i:script|style))\b[^>]*>.*?</(?i:\1)\s*>"
+_ODD_BLOCKS = r"<(?i:!--|!\[CDATA\[|(?:script|style|textarea|xmp|plaintext|iframe|noembed|noframes)\b|title[^>]*>[^<]*<(?!/title))"
+_ANCHOR_START = r"(?=<[aA][\s/>])"
 _ODD_ENTITY = r"&(?!(?:amp|lt|gt|quot|apos|nbsp|ndash|mdash|hellip|laquo|raquo|copy|#39|#34|#x27|#160);)#?[A-Za-z0-9]"
 _ENTITIES = (
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"), ("&#39;", "'"),
@@ -68,52 +69,73 @@ def _visible(html: Column) -> Column:
     return F.regexp_replace(html, _HIDDEN, "<!>")
 
 
-def _irregular(html: Column, tags: str) -> Column:
-    """True when the markup is beyond the regexes: odd quoting, open comments, raw-text blocks."""
-    seen = F.regexp_count(html, F.lit(rf"(?i)<(?:{tags})(?=[\s/>])"))
-    sound = F.regexp_count(html, F.lit(rf"(?i)<(?:{tags}){_ATTRS}>"))
-    return (
-        (seen != sound)
-        | html.rlike(r"<!--|(?i)<(?:script|style)\b")
-        | html.rlike(_ODD_BLOCKS)
-        | html.rlike(r"(?i)<a\s[^>]*\shref\b[^>]*\shref\b")
-    )
+def _odd_blocks(html: Column) -> Column:
+    """Left-over comment starts and raw-text elements: markup the regexes do not follow."""
+    return html.rlike(_ODD_BLOCKS)
+
+
+def _odd_tags(html: Column, tags: str) -> Column:
+    """Some of these tags is quoted in a way the attribute pattern does not cover."""
+    seen = F.regexp_count(html, F.lit(rf"<(?i:{tags})(?=[\s/>])"))
+    return seen != F.regexp_count(html, F.lit(rf"<(?i:{tags}){_ATTRS}>"))
 
 
 def _attribute(attrs: Column, name: str) -> Column:
     """Raw value of one attribute, NULL when it is absent or has no value."""
     pattern = rf"(?i)(?:^|\s){name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'<>=`]+)"
-    value = F.regexp_extract(attrs, pattern, 1)
-    bare = F.when(value.rlike("^[\"']"), F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
-    return F.when(value != "", bare)
+
+    def bare(value: Column) -> Column:
+        quoted = value.startswith('"') | value.startswith("'")
+        inner = F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+        return F.when(value != "", inner)
+
+    return bind(bare, value=F.regexp_extract(attrs, pattern, 1))
 
 
 def _anchors(html: Column, glue: str) -> Column:
-    """Raw (href, text) of every closed anchor; ``glue`` stands where tags split the text."""
-    chunks = F.filter(F.split(html, r"(?i)(?=<a[\s/>])"), lambda c: c.rlike(rf"(?is)^<a{_ATTRS}>.*</a\s*>"))
+    """Raw (href, text, odd) per anchor start; href is NULL for an anchor that is no link.
 
-    def link(chunk: Column) -> Column:
-        attrs = F.regexp_extract(chunk, rf"(?is)^<a({_ATTRS})>", 1)
-        body = F.regexp_extract(chunk, rf"(?is)^<a{_ATTRS}>(.*?)</a\s*>", 1)
-        return F.struct(
-            _attribute(attrs, "href").alias("href"),
-            F.regexp_replace(body, _TAGS, glue).alias("text"),
+    ``glue`` stands where tags split the text; ``odd`` marks an anchor to leave to the parser.
+    """
+    starts = F.filter(F.split(html, _ANCHOR_START), lambda c: c.rlike(r"^<[aA][\s/>]"))
+
+    def fields(closed: Column, sound: Column) -> Column:
+        attrs = F.regexp_extract(closed, rf"^<[aA]({_ATTRS})>", 1)
+        body = F.regexp_extract(closed, rf"(?s)^<[aA]{_ATTRS}>(.*)</[aA]\s*>$", 1)
+        return bind(
+            lambda a: F.struct(
+                F.when(closed != "", _attribute(a, "href")).alias("href"),
+                F.when(body.contains("<"), F.regexp_replace(body, _TAGS, glue)).otherwise(body).alias("text"),
+                (~sound | a.rlike(r"(?i)\shref\b.*\shref\b")).alias("odd"),
+            ),
+            a=attrs,
         )
 
-    return F.filter(F.transform(chunks, link), lambda x: x["href"].isNotNull())
+    return F.transform(
+        starts,
+        lambda c: bind(
+            fields,
+            closed=F.regexp_extract(c, rf"(?s)^<[aA]{_ATTRS}>.*?</[aA]\s*>", 0),
+            sound=c.rlike(rf"^<[aA]{_ATTRS}>"),
+        ),
+    )
 
 
-def _tidy(links: Column) -> Column:
+def _tidy(anchors: Column) -> Column:
     return F.transform(
-        links,
+        F.filter(anchors, lambda x: x["href"].isNotNull()),
         lambda x: F.struct(
             decode_entities(x["href"]).alias("href"), strip(decode_entities(x["text"])).alias("text")
         ),
     )
 
 
-def _links_odd(links: Column) -> Column:
-    return F.exists(links, lambda x: has_odd_entity(x["href"]) | has_odd_entity(x["text"]))
+def _odd_anchors(anchors: Column) -> Column:
+    return F.exists(
+        anchors,
+        lambda x: x["odd"]
+        | F.coalesce(has_odd_entity(x["href"]) | has_odd_entity(x["text"]), F.lit(False)),
+    )
 
 
 def _class_pattern(css_class: str) -> str:
@@ -161,7 +183,7 @@ def _records_odd(records: Column) -> Column:
         lambda r: has_odd_entity(r["title"])
         | F.coalesce(has_odd_entity(r["detail_href"]), F.lit(False))
         | F.exists(r["authors"], has_odd_entity)
-        | _links_odd(r["links"]),
+        | _odd_anchors(r["links"]),
     )
 
 
@@ -245,17 +267,18 @@ def _token_records(tokens: list, shape: RecordShape) -> list[dict]:
     return records
 
 
-@F.pandas_udf(LINKS)
-def _parsed_links(pages: pd.Series) -> pd.Series:
-    return pages.map(lambda p: _token_links(_tokens(p), " "), na_action="ignore").astype(object)
+def _parser(kind, read):
+    """Page parser as a column function.
 
+    It is declared non-deterministic so that Catalyst evaluates it once: a deterministic one is copied
+    into every expression above it, such as the size filter inferred for an explode.
+    """
 
-def _parsed_records(shape: RecordShape):
-    @F.pandas_udf(RAW_RECORDS)
+    @F.pandas_udf(kind)
     def parse(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda p: _token_records(_tokens(p), shape), na_action="ignore").astype(object)
+        return pages.map(lambda page: read(_tokens(page)), na_action="ignore").astype(object)
 
-    return parse
+    return parse.asNondeterministic()
 
 
 def with_links(pages, html: str = "html", into: str = "links", parser: str = "auto"):
@@ -263,13 +286,14 @@ def with_links(pages, html: str = "html", into: str = "links", parser: str = "au
 
     ``parser='auto'`` mixes both ways page by page; ``'regex'`` and ``'stdlib'`` force one.
     """
+    parsed = _parser(LINKS, lambda tokens: _token_links(tokens, " "))
     if parser == "stdlib":
-        return pages.withColumn(into, _parsed_links(html)).drop(html)
+        return pages.withColumn(into, parsed(html)).drop(html)
     raw = pages.withColumn("_seen", _visible(F.col(html))).withColumn("_raw", _anchors(F.col("_seen"), " "))
     if parser == "auto":
-        odd = _irregular(F.col("_seen"), "a") | _links_odd(F.col("_raw"))
+        odd = _odd_blocks(F.col("_seen")) | _odd_anchors(F.col("_raw"))
         raw = raw.withColumn("_odd", F.when(odd, F.col(html)))
-        links = F.coalesce(_parsed_links("_odd"), _tidy(F.col("_raw")))
+        links = F.coalesce(parsed("_odd"), _tidy(F.col("_raw")))
     else:
         links = _tidy(F.col("_raw"))
     return raw.withColumn(into, links).drop(html, "_seen", "_raw", "_odd")
@@ -277,12 +301,16 @@ def with_links(pages, html: str = "html", into: str = "links", parser: str = "au
 
 def with_records(pages, shape: RecordShape = LISTING, html: str = "html", into: str = "records", parser: str = "auto"):
     """Replace the html column by the array of raw records it lists."""
-    parsed = _parsed_records(shape)
+    parsed = _parser(RAW_RECORDS, lambda tokens: _token_records(tokens, shape))
     if parser == "stdlib":
         return pages.withColumn(into, parsed(html)).drop(html)
     raw = pages.withColumn("_seen", _visible(F.col(html))).withColumn("_raw", _raw_records(F.col("_seen"), shape))
     if parser == "auto":
-        odd = _irregular(F.col("_seen"), f"a|form|input|{shape.tag}") | _records_odd(F.col("_raw"))
+        odd = (
+            _odd_blocks(F.col("_seen"))
+            | _odd_tags(F.col("_seen"), f"form|input|{shape.tag}")
+            | _records_odd(F.col("_raw"))
+        )
         raw = raw.withColumn("_odd", F.when(odd, F.col(html)))
         records = F.coalesce(parsed("_odd"), _tidy_records(F.col("_raw")))
     else:

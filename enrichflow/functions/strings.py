@@ -21,6 +21,15 @@ def bind(fn, **cols: Column) -> Column:
     return F.element_at(F.transform(F.array(packed), lambda row: fn(**{name: row[name] for name in cols})), 1)
 
 
+def once(col: Column) -> Column:
+    """The same values behind a barrier: filters and explodes on the column stay above its computation.
+
+    Catalyst pushes a filter on a computed column below the projection and computes the column again
+    inside the filter, which doubles expensive text work. It leaves non-deterministic columns alone.
+    """
+    return F.when(F.rand(0) >= 0, col)
+
+
 def strip(col: Column) -> Column:
     """Cut Unicode whitespace at both ends (linear, no regex backtracking)."""
     return F.btrim(col, F.lit(BLANKS))
@@ -28,7 +37,7 @@ def strip(col: Column) -> Column:
 
 def squeeze(col: Column) -> Column:
     """Collapse whitespace runs to one space and strip."""
-    return F.btrim(F.regexp_replace(col, f"[{BLANKS}]+", " "), F.lit(" "))
+    return F.btrim(F.regexp_replace(col, r"[\s\x1c-\x1f\x85\p{Z}]+", " "), F.lit(" "))
 
 
 def fold_case(col: Column) -> Column:

@@ -1,11 +1,11 @@
 """Page table to links, listing records, failures and discovery counters."""
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from enrichflow import fixed_values as V
 from enrichflow.functions import markup
-from enrichflow.functions.strings import is_blank, squeeze, strip
+from enrichflow.functions.strings import is_blank, once, squeeze, strip
 from enrichflow.functions.urls import (
     ARCHIVE,
     IdShape,
@@ -19,16 +19,6 @@ from enrichflow.functions.urls import (
 from enrichflow.operators.keyed import first_per_key
 
 
-def scan_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Fetched pages in the PAGE shape; a table without position or error_code gets them."""
-    pages = spark.read.parquet(path)
-    if "position" not in pages.columns:
-        pages = pages.withColumn("position", F.col("page_id").cast("bigint"))
-    if "error_code" not in pages.columns:
-        pages = pages.withColumn("error_code", F.lit(None).cast("string"))
-    return pages.select("page_id", "position", "url", "html", "error_code")
-
-
 def page_links(pages: DataFrame, parser: str = "auto") -> DataFrame:
     """Every closed anchor with an href: (page_id, position, url, ord, href, text) in page order."""
     found = markup.with_links(pages.select("page_id", "position", "url", "html"), parser=parser)
@@ -39,7 +29,7 @@ def page_links(pages: DataFrame, parser: str = "auto") -> DataFrame:
 
 def resolve_links(links: DataFrame, hosts: tuple[str, ...] | None = V.CATALOGUE_HOSTS) -> DataFrame:
     """Adds the gated absolute URL of each link, NULL when the page or the link is refused."""
-    return links.withColumn("resolved", resolve_secure(F.col("url"), F.col("href"), hosts))
+    return links.withColumn("resolved", once(resolve_secure(F.col("url"), F.col("href"), hosts)))
 
 
 def first_links(
@@ -124,9 +114,8 @@ def parse_listings(pages: DataFrame, listing: Listing = CATALOGUE, parser: str =
     based = found.withColumn("base", url_pieces(F.col("url")))
     built = based.withColumn("built", F.transform("raw", lambda r: _built(r, F.col("base"), listing)))
     year = collection_year(F.col("url"), listing.year_pattern) if listing.year_pattern else F.lit(0)
-    marked = built.withColumn(
-        "records", F.transform("built", lambda r: r.withField("valid", _is_valid(r)).dropFields("file_ok"))
-    ).withColumn("year", year)
+    checked = F.transform("built", lambda r: r.withField("valid", _is_valid(r)).dropFields("file_ok"))
+    marked = built.withColumn("records", once(checked)).withColumn("year", year)
     usable = F.exists("records", lambda r: r["valid"])
     failure = (
         F.when(F.col("error_code").isNotNull(), F.col("error_code"))
@@ -134,7 +123,9 @@ def parse_listings(pages: DataFrame, listing: Listing = CATALOGUE, parser: str =
         .when(F.coalesce(F.size("records") < 1, F.lit(True)), F.lit(V.EMPTY_RECORD_LIST))
         .when(usable & F.col("year").isNull(), F.lit(V.UNSUPPORTED_YEAR))
     )
-    return marked.select("page_id", "position", "url", "year", "records", failure.alias("failure"))
+    return marked.select(
+        "page_id", "position", "url", "year", "records", once(failure).alias("failure")
+    )
 
 
 def listed_records(parsed: DataFrame, conference: str = "CVPR") -> DataFrame:

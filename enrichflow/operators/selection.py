@@ -4,7 +4,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from enrichflow import fixed_values as V
-from enrichflow.functions.strings import archive_key, fold_title
+from enrichflow.functions.strings import archive_key, fold_title, once
 from enrichflow.functions.urls import ARCHIVE, IdShape, canonical_id
 from enrichflow.operators.keyed import first_n_cutoff
 from enrichflow.schemas import RECORD_TASK
@@ -40,9 +40,10 @@ def check_selection(topics: Sequence[str], questions: Sequence[str], max_records
 
 
 def dispose(seeds: DataFrame, topics: Sequence[str] = (), ids: IdShape = ARCHIVE) -> DataFrame:
-    """Adds ``folded_title``, ``arxiv_id`` and ``disposition`` to unique records."""
-    folded = seeds.withColumn("folded_title", fold_title(F.col("title"))).withColumn(
-        "arxiv_id", canonical_id(F.col("arxiv_url"), ids)
+    """Adds ``folded_title`` (of linked records), ``arxiv_id`` and ``disposition`` to unique records."""
+    linked = F.col("arxiv_url").isNotNull()
+    folded = seeds.withColumn("folded_title", once(F.when(linked, fold_title(F.col("title"))))).withColumn(
+        "arxiv_id", once(canonical_id(F.col("arxiv_url"), ids))
     )
     return folded.withColumn(
         "disposition",
@@ -58,15 +59,18 @@ def dispose(seeds: DataFrame, topics: Sequence[str] = (), ids: IdShape = ARCHIVE
 
 
 def selected_tasks(disposed: DataFrame, questions: Sequence[str], max_records: int = 0) -> DataFrame:
-    """Task rows in (folded title, detail URL) order; 0 keeps all. Ordered top-n, not a window."""
+    """Task rows with their (folded title, detail URL) order in ``ord``.
+
+    A limit takes the first rows of that order (top-n per task, then one merge). Without a limit
+    nothing is sorted: the order is a column, and only a sink that needs it sorts.
+    """
     tasks = (
         disposed.filter(F.col("disposition") == SELECTED)
         .withColumn("paper_key", archive_key(F.col("arxiv_id")))
         .withColumn("questions", F.array(*(F.lit(q.strip()) for q in questions)))
-        .orderBy("folded_title", "detail_url")
     )
     if max_records:
-        tasks = tasks.limit(max_records)
+        tasks = tasks.orderBy("folded_title", "detail_url").limit(max_records)
     return tasks.select(*RECORD_TASK.names, F.struct("folded_title", "detail_url").alias("ord"))
 
 

@@ -7,6 +7,7 @@ from enrichflow.operators import extract
 from enrichflow.operators.selection import waterfall
 from enrichflow.queries.registry import query
 from enrichflow.queries.tables import listing_pages, table
+from enrichflow.sources.scans import scan_pages
 
 LANGUAGE_IDS = IdShape(
     hosts=None,
@@ -53,13 +54,13 @@ failures AS (
 
 @query("WITH" + LINKS_SQL + " SELECT page_id, ord, href, text FROM links")
 def q_page_links(spark, sf_dir):
-    pages = extract.scan_pages(spark, f"{sf_dir}/pages.parquet")
+    pages = scan_pages(spark, f"{sf_dir}/pages.parquet")
     return extract.page_links(pages).select("page_id", "ord", "href", "text")
 
 
 @query("WITH" + RESOLVED_SQL + " SELECT page_id, ord, resolved FROM resolved")
 def q_link_resolve(spark, sf_dir):
-    links = extract.page_links(extract.scan_pages(spark, f"{sf_dir}/pages.parquet"))
+    links = extract.page_links(scan_pages(spark, f"{sf_dir}/pages.parquet"))
     return extract.resolve_links(links, hosts=None).select("page_id", "ord", "resolved")
 
 
@@ -71,7 +72,7 @@ SELECT resolved, page_id, ord, text FROM (
 ) WHERE n = 1"""
 )
 def q_link_first(spark, sf_dir):
-    links = extract.page_links(extract.scan_pages(spark, f"{sf_dir}/pages.parquet"))
+    links = extract.page_links(scan_pages(spark, f"{sf_dir}/pages.parquet"))
     first = extract.first_links(links, hosts=None, text_pattern="^[A-Za-z]+$")
     return first.select("resolved", "page_id", "ord", "text")
 

@@ -6,7 +6,7 @@ from enrichflow.functions.strings import archive_key, escape_markup
 from enrichflow.operators import enrich, jsonops, texts
 from enrichflow.queries import tables
 from enrichflow.queries.registry import query
-from enrichflow.queries.tables import prop_number, table
+from enrichflow.queries.tables import prop_number, table, text_table
 
 SHORT = 200
 
@@ -34,7 +34,7 @@ SELECT 'arxiv:' || doc_id AS paper_key, CASE WHEN length(text) < {SHORT} THEN 'F
 FROM documents"""
 )
 def q_enrich(spark, sf_dir):
-    tasks = table(spark, sf_dir, "documents").select(
+    tasks = text_table(spark, sf_dir, "documents").select(
         tables.document_key().alias("paper_key"), "text", F.array(F.lit("How long?")).alias("questions")
     )
     found = enrich.enrich_rows(tasks, measure_text, "structured_llm")
@@ -105,7 +105,7 @@ FROM (SELECT doc_id, text, regexp_replace(text, '{_SECRET_SQL}', '\\1=<redacted>
 def q_redact(spark, sf_dir):
     text = F.col("text")
     return (
-        table(spark, sf_dir, "documents")
+        text_table(spark, sf_dir, "documents")
         .select("doc_id", "text", enrich.redact(text).alias("clean"))
         .select(
             "doc_id",
@@ -133,7 +133,7 @@ def q_blocks(spark, sf_dir):
         F.split("text", "\n"),
         lambda line, i: F.struct(F.when(as_text(i), "text").otherwise("image").alias("type"), line.alias("text")),
     )
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", blocks.alias("blocks"))
+    turns = text_table(spark, sf_dir, "conversations").select("conv_id", "turn", blocks.alias("blocks"))
     profiled = turns.withColumn("profile", texts.block_profile(F.col("blocks")))
     return profiled.select(
         "conv_id",
@@ -168,7 +168,7 @@ FROM e"""
 def q_xml(spark, sf_dir):
     """English: envelope after a preamble. French: escaped. German: broken XML. Spanish: no end tag."""
     xml = texts.evidence_xml(F.concat(F.lit("https://arxiv.org/abs/"), F.col("doc_id")), F.col("text"))
-    sent = table(spark, sf_dir, "documents").select("doc_id", "lang", xml.alias("xml"))
+    sent = text_table(spark, sf_dir, "documents").select("doc_id", "lang", xml.alias("xml"))
     answer = (
         F.when(F.col("lang") == "en", F.concat(F.lit("Found:\n"), "xml", F.lit("\nend")))
         .when(F.col("lang") == "fr", escape_markup(F.col("xml")))
@@ -193,7 +193,7 @@ FROM k LEFT JOIN conversations x ON k.conv_id = x.conv_id AND x.turn = k.a AND x
 )
 def q_fallback(spark, sf_dir):
     """First assistant turn if it is among the first two turns, else the first user turn."""
-    turns = table(spark, sf_dir, "conversations")
+    turns = text_table(spark, sf_dir, "conversations")
 
     def first(role: str):
         return (
@@ -219,7 +219,7 @@ FROM documents"""
 def q_projection(spark, sf_dir):
     """Report projection; the code-URL extraction runs with a word pattern the texts contain."""
     report = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
-    made = table(spark, sf_dir, "documents").select(
+    made = text_table(spark, sf_dir, "documents").select(
         "doc_id", "text", texts.report_analysis(tables.document_key(), report).alias("a")
     )
     return made.select(
@@ -237,7 +237,7 @@ FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS list FROM conversatio
 )
 def q_prompts(spark, sf_dir):
     """Prompt per user turn, its lines being the questions; the numbered block is compared."""
-    turns = table(spark, sf_dir, "conversations").filter("role = 'user'")
+    turns = text_table(spark, sf_dir, "conversations").filter("role = 'user'")
     asked = turns.select("conv_id", "turn", F.split("text", "\n").alias("questions"))
     prompt = texts.answers_prompt(F.lit("T"), F.lit("1"), F.col("questions"), F.lit("R"))
     block = F.substring_index(F.substring_index(prompt, "\n\nQuestions:\n", -1), "\n\nReport:\n", 1)
@@ -256,7 +256,7 @@ SELECT conv_id, turn, CASE WHEN a IS NULL THEN 'FAILED' ELSE 'SUCCESS' END AS st
 )
 def q_qa(spark, sf_dir):
     """User turn and the assistant turn after it as question and answer map."""
-    turns = table(spark, sf_dir, "conversations")
+    turns = text_table(spark, sf_dir, "conversations")
     asked = turns.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("q"))
     replies = turns.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("a"))
     paired = asked.join(replies, ["conv_id", "turn"], "left").select(
@@ -289,7 +289,7 @@ def q_answer_guard(spark, sf_dir):
     sent = F.when(F.col("turn") == 0, F.lit(" \n")).when(
         F.col("role") == "user", F.concat(F.col("text"), F.lit("</Paper>"))
     ).otherwise(F.concat(F.lit("\n"), F.col("text")))
-    guarded = table(spark, sf_dir, "conversations").select("conv_id", "turn", texts.guarded_answer(sent).alias("g"))
+    guarded = text_table(spark, sf_dir, "conversations").select("conv_id", "turn", texts.guarded_answer(sent).alias("g"))
     return guarded.select("conv_id", "turn", "g.error_code", F.md5("g.answer").alias("answer"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from enrichflow import fixed_values as V
 from enrichflow.functions.strings import archive_key
 from enrichflow.operators import enrich, texts
+from enrichflow.sources.scans import spread
 
 QUESTIONS = ("What is new?", "What is missing?")
 
@@ -15,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for heavy per-row text work, spread over all cores if its files are fewer."""
+    return spread(table(spark, sf_dir, name))
+
+
 def work_dir(spark: SparkSession) -> str:
     """A fresh folder in the shared folder of the cluster, or in a temporary one for local runs."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -78,7 +84,7 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     missing = F.col("url").contains("?page=2")
     html = F.replace(F.col("html"), F.lit('<a href="/t'), F.lit('<a href="http://plain.example/t'))
     emptied = F.when(F.col("url").contains("/es/"), F.replace(html, F.lit("<li>"), F.lit("<i>"))).otherwise(html)
-    return table(spark, sf_dir, "pages").select(
+    return text_table(spark, sf_dir, "pages").select(
         "page_id",
         F.col("page_id").alias("position"),
         "url",
