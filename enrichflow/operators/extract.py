@@ -11,10 +11,8 @@ from enrichflow.functions.urls import (
     IdShape,
     collection_year,
     is_secure,
-    resolve_from,
     resolve_secure,
     secure_link,
-    url_pieces,
 )
 from enrichflow.operators.keyed import first_per_key
 
@@ -72,82 +70,62 @@ class Listing:
 CATALOGUE = Listing()
 
 
-def _label_href(links: Column, label: str) -> Column:
-    """Href of the last link with this label, compared without case."""
-    named = F.filter(links, lambda x: F.lower(x["text"]) == label)
-    return F.try_element_at(named, F.lit(-1))["href"]
-
-
-def _built(record: Column, base: Column, listing: Listing) -> Column:
-    detail = resolve_from(base, record["detail_href"], listing.hosts)
-    if listing.required_label is None:
-        file_url = F.lit(None).cast("string")
-        file_ok = F.lit(True)
-    else:
-        file_url = resolve_from(base, _label_href(record["links"], listing.required_label), listing.hosts)
-        file_ok = file_url.isNotNull()
-    title = squeeze(record["title"])
-    authors = F.transform(F.array_distinct(record["authors"]), strip)
-    return F.struct(
-        title.alias("title"),
-        authors.alias("authors"),
-        detail.alias("detail_url"),
-        file_url.alias("pdf_url"),
-        secure_link(_label_href(record["links"], listing.optional_label), listing.ids).alias("arxiv_url"),
-        file_ok.alias("file_ok"),
-    )
-
-
-def _is_valid(record: Column) -> Column:
-    sound_authors = ~F.exists(record["authors"], lambda a: a == "")
-    return (record["title"] != "") & record["detail_url"].isNotNull() & record["file_ok"] & sound_authors
-
-
 def parse_listings(pages: DataFrame, listing: Listing = CATALOGUE, parser: str = "auto") -> DataFrame:
-    """One row per page: built records (each with ``valid``), year, and the page's failure code if any.
+    """One row per page: raw records, year, and the page's failure code if any.
 
-    A page fails when it was not fetched, its URL is refused, it lists no record, or it has a usable
-    record but no supported year. No shuffle: failures are decided from the page's own records.
+    A page fails when it was not fetched, its URL is refused, it lists no record, or its URL names
+    no supported year. No shuffle and no anti join: the page's own row decides.
     """
     base = pages.select("page_id", "position", "url", "html", "error_code")
-    found = markup.with_records(base, listing.shape, into="raw", parser=parser)
-    based = found.withColumn("base", url_pieces(F.col("url")))
-    built = based.withColumn("built", F.transform("raw", lambda r: _built(r, F.col("base"), listing)))
+    found = markup.with_records(base, listing.shape, into="records", parser=parser)
     year = collection_year(F.col("url"), listing.year_pattern) if listing.year_pattern else F.lit(0)
-    checked = F.transform("built", lambda r: r.withField("valid", _is_valid(r)).dropFields("file_ok"))
-    marked = built.withColumn("records", once(checked)).withColumn("year", year)
-    usable = F.exists("records", lambda r: r["valid"])
     failure = (
         F.when(F.col("error_code").isNotNull(), F.col("error_code"))
         .when(~is_secure(F.col("url"), listing.hosts), F.lit(V.INVALID_CATALOGUE_URL))
         .when(F.coalesce(F.size("records") < 1, F.lit(True)), F.lit(V.EMPTY_RECORD_LIST))
-        .when(usable & F.col("year").isNull(), F.lit(V.UNSUPPORTED_YEAR))
+        .when(year.isNull(), F.lit(V.UNSUPPORTED_YEAR))
     )
-    return marked.select(
-        "page_id", "position", "url", "year", "records", once(failure).alias("failure")
+    return found.select(
+        "page_id", "position", "url", year.cast("int").alias("year"), "records", once(failure).alias("failure")
     )
 
 
-def listed_records(parsed: DataFrame, conference: str = "CVPR") -> DataFrame:
-    """Records of readable pages with their order and ``valid`` flag."""
-    return (
-        parsed.filter(F.col("failure").isNull())
-        .select("page_id", "position", "year", F.posexplode("records").alias("ord", "r"))
-        .select(
-            "page_id",
-            "position",
-            "ord",
-            F.lit(conference).alias("conference"),
-            F.col("year").cast("int").alias("year"),
-            "r.title",
-            "r.authors",
-            "r.detail_url",
-            "r.pdf_url",
-            "r.arxiv_url",
-            F.concat(F.lit("Day "), (F.col("position") + 1).cast("string")).alias("conference_day"),
-            "r.valid",
-        )
+def listed_records(parsed: DataFrame, listing: Listing = CATALOGUE, conference: str = "CVPR") -> DataFrame:
+    """Normalised records of readable pages with their order and whether they are ``valid``.
+
+    A record needs a title, no blank author, a detail link and the required link that pass the gate.
+    Of links with one label the last counts, authors keep their first order.
+    """
+    rows = parsed.filter(F.col("failure").isNull()).select(
+        "page_id", "position", "url", "year", F.posexplode("records").alias("ord", "r")
+    )
+    linked = rows.select(
+        "page_id",
+        "position",
+        "ord",
+        F.lit(conference).alias("conference"),
+        "year",
+        squeeze(F.col("r.title")).alias("title"),
+        F.transform(F.array_distinct("r.authors"), strip).alias("authors"),
+        resolve_secure(F.col("url"), F.col("r.detail_href"), listing.hosts).alias("detail_url"),
+        (
+            F.lit(None).cast("string")
+            if listing.required_label is None
+            else resolve_secure(F.col("url"), _label_href(F.col("r.links"), listing.required_label), listing.hosts)
+        ).alias("pdf_url"),
+        secure_link(_label_href(F.col("r.links"), listing.optional_label), listing.ids).alias("arxiv_url"),
+        F.concat(F.lit("Day "), (F.col("position") + 1).cast("string")).alias("conference_day"),
     )
+    usable = (F.col("title") != "") & F.col("detail_url").isNotNull() & ~F.exists("authors", lambda a: a == "")
+    if listing.required_label is not None:
+        usable = usable & F.col("pdf_url").isNotNull()
+    return linked.withColumn("valid", once(usable))
+
+
+def _label_href(links: Column, label: str) -> Column:
+    """Href of the last link with this label, compared without case."""
+    named = F.filter(links, lambda x: F.lower(x["text"]) == label)
+    return F.try_element_at(named, F.lit(-1))["href"]
 
 
 def quarantined(records: DataFrame) -> DataFrame:
@@ -175,27 +153,29 @@ def page_failures(parsed: DataFrame) -> DataFrame:
     )
 
 
-def discovery_counts(parsed: DataFrame, unique: DataFrame, copies: str = "copies") -> DataFrame:
-    """One row: raw, unique, duplicate, failed pages and the resulting status."""
+def discovery_counts(parsed: DataFrame, records: DataFrame) -> DataFrame:
+    """One row: raw, unique, duplicate, failed pages, rejected records and the resulting status.
+
+    Records collapse to (detail URL, copies) before their shuffle; both sides then meet as sums.
+    """
     zero = F.lit(0).cast("bigint")
-    readable = F.col("failure").isNull()
-    rejects = F.size(F.filter("records", lambda r: ~r["valid"]))
-    per_page = parsed.select(
-        F.when(readable, F.size("records")).otherwise(0).cast("bigint").alias("raw_count"),
-        zero.alias("unique_count"),
-        zero.alias("duplicate_count"),
-        (~readable).cast("bigint").alias("failed_page_count"),
-        F.when(readable, rejects).otherwise(0).cast("bigint").alias("rejected_count"),
-    )
-    per_record = unique.select(
-        zero.alias("raw_count"),
-        F.lit(1).cast("bigint").alias("unique_count"),
-        (F.col(copies) - 1).alias("duplicate_count"),
-        zero.alias("failed_page_count"),
-        zero.alias("rejected_count"),
+    names = ("raw_count", "unique_count", "duplicate_count", "failed_page_count", "rejected_count")
+
+    def tally(df: DataFrame, **given: Column) -> DataFrame:
+        return df.agg(*(F.coalesce(F.sum(given.get(n, zero)), zero).cast("bigint").alias(n) for n in names))
+
+    copies = records.groupBy(F.when(F.col("valid"), F.col("detail_url")).alias("detail_url")).agg(
+        F.count("*").alias("n")
     )
-    totals = per_page.unionByName(per_record).agg(
-        *(F.coalesce(F.sum(c), zero).alias(c) for c in per_page.columns)
+    good = F.col("detail_url").isNotNull()
+    per_record = tally(
+        copies,
+        raw_count=F.col("n"),
+        unique_count=good.cast("bigint"),
+        duplicate_count=F.when(good, F.col("n") - 1),
+        rejected_count=F.when(~good, F.col("n")),
     )
+    per_page = tally(parsed, failed_page_count=F.col("failure").isNotNull().cast("bigint"))
+    totals = per_page.unionByName(per_record).agg(*(F.sum(n).alias(n) for n in names))
     partial = (F.col("failed_page_count") > 0) | (F.col("rejected_count") > 0)
     return totals.withColumn("status", F.when(partial, V.RUN_PARTIAL).otherwise(V.RUN_COMPLETED))

@@ -32,16 +32,15 @@ def discover(pages: DataFrame, listing: extract.Listing = extract.CATALOGUE, sto
     """
     parsed = extract.parse_listings(pages, listing)
     if store is not None:
-        parsed.write.mode("overwrite").parquet(store)
-        parsed = pages.sparkSession.read.schema(parsed.schema).parquet(store)
-    records = extract.listed_records(parsed)
+        parsed = snapshots.settle(parsed, store)
+    records = extract.listed_records(parsed, listing)
     unique = extract.unique_records(records)
     return Discovery(
         parsed=parsed,
         unique=unique,
         rejected=extract.quarantined(records),
         failures=extract.page_failures(parsed),
-        counts=extract.discovery_counts(parsed, unique),
+        counts=extract.discovery_counts(parsed, records),
     )
 
 
@@ -134,6 +133,8 @@ def persist_results(
         likes = of_tasks(
             logs.latest_logged(logs.read_log(spark, likes_log, LIKES_RESULT, contracts.likes_violations())), tasks
         )
+    analyses = snapshots.settle(analyses, snapshots.version_path(root, "latest-analyses", version))
+    likes = snapshots.settle(likes, snapshots.version_path(root, "latest-likes", version))
     joined = joins.join_results(tasks, analyses, likes, strict=True)
     incoming = joined.withColumn("paper_key", F.col("paper.paper_key"))
     if existing_version is None:

@@ -152,7 +152,7 @@ def q_private_endpoint(spark, sf_dir):
 @query("WITH" + RECORDS_SQL + " SELECT page_id, ord, title, detail_url, valid FROM records")
 def q_records(spark, sf_dir):
     parsed = extract.parse_listings(listing_pages(spark, sf_dir), NAVIGATION)
-    return extract.listed_records(parsed).select("page_id", "ord", "title", "detail_url", "valid")
+    return extract.listed_records(parsed, NAVIGATION).select("page_id", "ord", "title", "detail_url", "valid")
 
 
 @query(
@@ -161,7 +161,7 @@ def q_records(spark, sf_dir):
 )
 def q_quarantine(spark, sf_dir):
     parsed = extract.parse_listings(listing_pages(spark, sf_dir), NAVIGATION)
-    return extract.quarantined(extract.listed_records(parsed)).drop("position")
+    return extract.quarantined(extract.listed_records(parsed, NAVIGATION)).drop("position")
 
 
 @query("WITH" + RECORDS_SQL + " SELECT page_id, url, error_code FROM failures WHERE error_code IS NOT NULL")
@@ -179,7 +179,7 @@ SELECT detail_url, page_id, ord, title, CAST(copies AS BIGINT) AS copies FROM (
 )
 def q_unique_records(spark, sf_dir):
     parsed = extract.parse_listings(listing_pages(spark, sf_dir), NAVIGATION)
-    unique = extract.unique_records(extract.listed_records(parsed))
+    unique = extract.unique_records(extract.listed_records(parsed, NAVIGATION))
     return unique.select("detail_url", "page_id", "ord", "title", "copies")
 
 
@@ -196,5 +196,4 @@ FROM c"""
 )
 def q_discovery_counts(spark, sf_dir):
     parsed = extract.parse_listings(listing_pages(spark, sf_dir), NAVIGATION)
-    unique = extract.unique_records(extract.listed_records(parsed))
-    return extract.discovery_counts(parsed, unique)
+    return extract.discovery_counts(parsed, extract.listed_records(parsed, NAVIGATION))

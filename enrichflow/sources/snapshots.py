@@ -18,12 +18,19 @@ def version_path(root: str, table: str, version: int) -> str:
     return f"{root}/{table}/version={version}"
 
 
-def write_table(df: DataFrame, path: str, run: str | None = "run_id", kind: str = "parquet") -> None:
-    """Replace the partitions of the runs present in ``df``; other runs of the directory stay."""
-    writer = df.write.mode("overwrite").format(kind)
+def write_table(
+    df: DataFrame, path: str, run: str | None = "run_id", kind: str = "parquet", clustered: bool = False
+) -> None:
+    """Replace the partitions of the runs present in ``df``; other runs of the directory stay.
+
+    Rows are rebalanced by run first: a run gets few files, and AQE splits a run too big for one task.
+    ``clustered`` skips that shuffle for rows read from a table written this way.
+    """
+    by_run = run is not None and run in df.columns
+    writer = (df.hint("rebalance", run) if by_run and not clustered else df).write.mode("overwrite").format(kind)
     if kind == "json":
         writer = writer.option("ignoreNullFields", "false")
-    if run is not None and run in df.columns:
+    if by_run:
         writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(run)
     writer.save(path)
 
@@ -39,13 +46,23 @@ def write_snapshot(results: DataFrame, root: str, version: int) -> DataFrame:
     write_table(results, path)
     stored = spark.read.schema(results.schema).parquet(path)
     order = [c for c in stored.columns if c in ("run_id", "batch", "ord")]
-    write_table(stored.select(*order, "paper.*"), version_path(root, "papers", version))
-    write_table(stored.select(*order, "likes.*"), version_path(root, "likes-results", version))
-    write_table(qa_records(stored), version_path(root, "qa-results", version))
-    write_table(final_reports(stored), version_path(root, V.REPORTS, version))
+    tables = {
+        "papers": stored.select(*order, "paper.*"),
+        "likes-results": stored.select(*order, "likes.*"),
+        "qa-results": qa_records(stored),
+        V.REPORTS: final_reports(stored),
+    }
+    for name, rows in tables.items():
+        write_table(rows, version_path(root, name, version), clustered=True)
     return stored
 
 
+def settle(df: DataFrame, path: str) -> DataFrame:
+    """Write a frame that several jobs need and read it back: parsed once, safe against lost executors."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def export_jsonl(table: DataFrame, path: str, *order: str) -> None:
     """JSON lines whose part files, read in name order, follow ``order``."""
     sorted_rows = table.repartitionByRange(*order).sortWithinPartitions(*order) if order else table
