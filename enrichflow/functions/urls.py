@@ -55,9 +55,13 @@ def url_pieces(url: Column) -> Column:
     return bind(lambda w: inner(w["u"], w["spot"]), w=with_spot)
 
 
-def _passes(u: Column, hosts: tuple[str, ...] | None) -> Column:
-    known = u["host"].isin(*hosts) if hosts is not None else u["host"] != ""
-    return (u["scheme"] == "https") & known & ~u["has_user"] & F.coalesce(u["port"].rlike("^(0*443)?$"), F.lit(False))
+def _known_host(u: Column, hosts: tuple[str, ...] | None) -> Column:
+    return u["host"].isin(*hosts) if hosts is not None else u["host"] != ""
+
+
+def _passes(u: Column, hosts: tuple[str, ...] | None, scheme: Column | None = None) -> Column:
+    secure = (u["scheme"] if scheme is None else scheme) == "https"
+    return secure & _known_host(u, hosts) & ~u["has_user"] & F.coalesce(u["port"].rlike("^(0*443)?$"), F.lit(False))
 
 
 def is_secure(url: Column, hosts: tuple[str, ...] | None) -> Column:
@@ -125,17 +129,18 @@ def _joined(b: Column, h: Column) -> Column:
     return F.when(same_scheme | own_authority, F.concat(front, whole))
 
 
-def resolve_from(b: Column, href: Column, hosts: tuple[str, ...] | None) -> Column:
-    """``resolve_secure`` for a page URL already split by ``url_pieces``."""
-    found = bind(
-        lambda h: bind(lambda url: F.when(is_secure(url, hosts), url), url=_joined(b, h)), h=url_pieces(href)
-    )
-    return F.when(_passes(b, hosts), found)
+def resolve_secure(base: Column, href: Column, hosts: tuple[str, ...] | None = V.CATALOGUE_HOSTS) -> Column:
+    """Joined URL when both the page and the result pass the gate, else NULL.
 
+    A link without an authority of its own keeps the page's, so the parts already split decide.
+    """
 
-def resolve_secure(base: Column, href: Column, hosts: tuple[str, ...] | None = V.CATALOGUE_HOSTS) -> Column:
-    """Joined URL when both the page and the result pass the gate, else NULL."""
-    return bind(lambda b: resolve_from(b, href, hosts), b=url_pieces(base))
+    def gated(b: Column, h: Column) -> Column:
+        scheme = F.when(h["scheme"] == "", b["scheme"]).otherwise(h["scheme"])
+        good = ~h["text"].rlike(_HAS_AUTHORITY) | _passes(h, hosts, scheme)
+        return F.when(_passes(b, hosts) & good, _joined(b, h))
+
+    return bind(gated, b=url_pieces(base), h=url_pieces(href))
 
 
 @dataclass(frozen=True)
@@ -153,8 +158,8 @@ class IdShape:
 ARCHIVE = IdShape()
 
 
-def canonical_id(url: Column, shape: IdShape = ARCHIVE) -> Column:
-    """Version-free identifier named by the URL, NULL when the URL does not name one."""
+def _named_id(u: Column, shape: IdShape) -> Column:
+    """Identifier in the path of split URL parts that have neither query nor fragment."""
 
     def decode(path: Column) -> Column:
         raw = F.filter(F.split(path, "/"), lambda s: s != "")
@@ -177,30 +182,24 @@ def canonical_id(url: Column, shape: IdShape = ARCHIVE) -> Column:
             found=rest,
         )
 
-    def parse(u: Column) -> Column:
-        open_url = _passes(u, shape.hosts) & (u["query"] == "") & (u["fragment"] == "")
-        return F.when(
-            open_url,
-            bind(lambda parts: name(parts, F.try_element_at(parts, F.lit(1))), parts=decode(u["path"])),
-        )
+    named = bind(lambda parts: name(parts, F.try_element_at(parts, F.lit(1))), parts=decode(u["path"]))
+    return F.when((u["query"] == "") & (u["fragment"] == ""), named)
 
-    return bind(parse, u=url_pieces(url))
+
+def canonical_id(url: Column, shape: IdShape = ARCHIVE) -> Column:
+    """Version-free identifier named by the URL, NULL when the URL does not name one."""
+    return bind(lambda u: F.when(_passes(u, shape.hosts), _named_id(u, shape)), u=url_pieces(url))
 
 
 def secure_link(href: Column, shape: IdShape = ARCHIVE) -> Column:
     """https form without port when the link names an identifier, else NULL."""
 
     def rebuild(u: Column) -> Column:
-        tail = F.concat(
-            u["path"],
-            F.when(u["query"] == "", F.lit("")).otherwise(F.concat(F.lit("?"), u["query"])),
-            F.when(u["fragment"] == "", F.lit("")).otherwise(F.concat(F.lit("#"), u["fragment"])),
-        )
-        allowed = u["scheme"].isin("http", "https") & ~u["has_user"]
-        return F.when(allowed, F.concat(F.lit("https://"), u["host"], tail))
+        allowed = u["scheme"].isin("http", "https") & ~u["has_user"] & _known_host(u, shape.hosts)
+        good = allowed & _named_id(u, shape).isNotNull()
+        return F.when(good, F.concat(F.lit("https://"), u["host"], u["path"]))
 
-    rebuilt = bind(rebuild, u=url_pieces(href))
-    return bind(lambda url: F.when(canonical_id(url, shape).isNotNull(), url), url=rebuilt)
+    return bind(rebuild, u=url_pieces(href))
 
 
 def collection_year(url: Column, pattern: str = V.COLLECTION_YEAR_PATTERN) -> Column:

@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from enrichflow.fixed_values import COMPLETED
 
-_GROUP_LIMIT = 1000  # above this Spark no longer trims row_number() <= n before the shuffle
-_SALTS = 64
+_SALTS = 256
 
 
 def _payload(df: DataFrame, keys: Sequence[str]) -> Column:
@@ -90,18 +89,15 @@ def upsert(
 def first_n_cutoff(df: DataFrame, keys: Sequence[str], order: str, n: int) -> DataFrame:
     """Per key the order value of its n-th row: rows at or below it are the first n.
 
-    Small n is trimmed per task before the shuffle. Larger n first ranks inside salted slices of a
-    key, so that no task ranks a whole hot key.
+    Ranked twice: inside salted slices of a key, then over the at most n rows left per slice. Each
+    ranking is trimmed per task before its shuffle (for n up to 1000), and no task ranks a whole hot
+    key, however many tasks send it candidates.
     """
-    slim = df.select(*keys, order)
-    if n > _GROUP_LIMIT:
-        salt = F.pmod(F.xxhash64(order), F.lit(_SALTS))
-        part = Window.partitionBy(*keys, "_salt").orderBy(order)
-        slim = (
-            slim.withColumn("_salt", salt)
-            .withColumn("_rank", F.row_number().over(part))
-            .filter(F.col("_rank") <= n)
-            .drop("_salt", "_rank")
-        )
-    ranked = slim.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
-    return ranked.filter(F.col("_rank") <= n).groupBy(*keys).agg(F.max(order).alias("cutoff"))
+    salted = df.select(*keys, order, F.pmod(F.xxhash64(order), F.lit(_SALTS)).alias("_salt"))
+
+    def first_n(rows: DataFrame, *by: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy(order))
+        return rows.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
+
+    candidates = first_n(salted, *keys, "_salt").drop("_salt")
+    return first_n(candidates, *keys).groupBy(*keys).agg(F.max(order).alias("cutoff"))

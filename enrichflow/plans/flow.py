@@ -120,7 +120,8 @@ def persist_results(
     """Join the branches, upsert into the stored results and write the next version.
 
     Branches not passed are read from their logs. A log is first reduced to the selected keys, so
-    that rows of an earlier, wider selection do not count as orphans.
+    that rows of an earlier, wider selection do not count as orphans. A version holds the runs of
+    ``tasks`` only; stored runs outside them are pruned by partition and stay in their version.
     """
     if analyses is None:
         analyses = of_tasks(
@@ -140,7 +141,10 @@ def persist_results(
     if existing_version is None:
         merged = incoming.withColumn("batch", F.lit(version).cast("bigint"))
     else:
-        existing = snapshots.read_table(spark, root, "paper-results", existing_version)
+        runs = tasks.select("run_id").distinct()
+        existing = snapshots.read_table(spark, root, "paper-results", existing_version).join(
+            runs, "run_id", "left_semi"
+        )
         merged = keyed.upsert(existing, incoming, ["run_id", "paper_key"]).drop("accepted")
         merged = merged.withColumn("batch", F.coalesce("batch", F.lit(version).cast("bigint")))
     return snapshots.write_snapshot(
