@@ -1,8 +1,8 @@
 """Task queue semantics as folds over an event log: insert, next, state machine, terminal results.
 
 An event is (run_id, seq, kind, paper_key, title, arxiv_url, arxiv_id, likes, raw_text, error_code)
-with kind one of enqueue, claim, success, failure. Every fold is a chain of keyed minimum aggregates,
-so a key with very many events is cut down inside each input task.
+with kind one of enqueue, claim, success, failure; ``seq`` is unique. Folds are chains of keyed minimum
+aggregates, so a key with very many events is cut down inside each input task.
 """
 from collections.abc import Sequence
 
@@ -14,6 +14,8 @@ ENQUEUE, CLAIM, RESULT_OK, RESULT_BAD = "enqueue", "claim", "success", "failure"
 KEYS = ("run_id", "paper_key")
 IDENTITY = ("title", "arxiv_url", "arxiv_id")
 
+_BLOCK_BITS = 20  # a block is 2**20 sequence numbers: bounds the events of one key that meet in a join
+
 UNKNOWN_TASK, OTHER_IDENTITY = "UNKNOWN_TASK", "OTHER_IDENTITY"
 ALREADY_SUCCEEDED, NOT_CLAIMED, NOT_PENDING = "ALREADY_SUCCEEDED", "NOT_CLAIMED", "NOT_PENDING"
 
@@ -72,54 +74,73 @@ def next_pending(tasks: DataFrame, run: str = "run_id", order: str = "seq") -> D
     return picked.withColumn("attempts", F.col("attempts") + 1).withColumn("state", F.lit("CLAIMED"))
 
 
+def _first_after(events: DataFrame, anchors: DataFrame, keys: list[str], after: str, into: str) -> DataFrame:
+    """Per key the first event (as a struct) with a sequence number above the anchor's ``after``.
+
+    ``anchors`` has one row per key. Events are cut into sequence blocks: those of the anchor's own
+    block are compared one by one, a join that a block bounds; of every later block only its first
+    event takes part, and those are reduced before their shuffle. So a key with very many events
+    never meets its anchor in one task.
+    """
+    fields = [c for c in events.columns if c not in keys]
+    row = F.struct(*fields)
+    block = F.shiftright("seq", _BLOCK_BITS)
+    cut = anchors.select(*keys, F.col(after).alias("_after"), F.shiftright(after, _BLOCK_BITS).alias("_block"))
+    near = (
+        events.select(*keys, block.alias("_block"), row.alias(into))
+        .join(cut, [*keys, "_block"])
+        .filter(F.col(f"{into}.seq") > F.col("_after"))
+    )
+    far = (
+        events.groupBy(*keys, block.alias("_first_block"))
+        .agg(F.min_by(row, "seq").alias(into))
+        .join(cut, keys)
+        .filter(F.col("_first_block") > F.col("_block"))
+    )
+    found = near.select(*keys, into).unionByName(far.select(*keys, into))
+    return found.groupBy(*keys).agg(F.min_by(into, f"{into}.seq").alias(into))
+
+
 def fold_states(events: DataFrame, keys: Sequence[str] = KEYS, carry: Sequence[str] = IDENTITY) -> DataFrame:
     """Current task table from the log: first enqueue, first claim after it, first result after that.
 
-    A result counts only when its id is the enqueued one. Each step joins the (one row per key)
-    table so far with the events of the next kind and reduces again; AQE splits a skewed event side.
+    A result counts only when its id is the enqueued one.
     """
     keys = list(keys)
     enqueued = (
         events.filter(F.col("kind") == ENQUEUE)
         .groupBy(*keys)
-        .agg(F.min_by(F.struct("seq", *carry), "seq").alias("_first"))
-        .select(*keys, F.col("_first.seq").alias("enqueued_seq"), *(f"_first.{c}" for c in carry))
-    )
-    claimed = (
-        events.filter(F.col("kind") == CLAIM)
-        .select(*keys, "seq")
-        .join(enqueued.select(*keys, "enqueued_seq"), keys)
-        .filter(F.col("seq") > F.col("enqueued_seq"))
-        .groupBy(*keys)
-        .agg(F.min("seq").alias("claimed_seq"))
-    )
-    open_tasks = enqueued.join(claimed, keys, "left")
-    result = F.struct("seq", "kind", "likes", "raw_text", "error_code")
-    finished = (
-        events.filter(F.col("kind").isin(RESULT_OK, RESULT_BAD))
-        .select(*keys, F.col("arxiv_id").alias("_result_id"), "seq", result.alias("result"))
-        .join(open_tasks.select(*keys, "claimed_seq", F.col("arxiv_id").alias("_own_id")), keys)
-        .filter((F.col("seq") > F.col("claimed_seq")) & F.col("_result_id").eqNullSafe(F.col("_own_id")))
-        .groupBy(*keys)
-        .agg(F.min_by("result", "seq").alias("result"))
+        .agg(F.min_by(F.struct("seq", *carry), "seq").alias("_task"))
+    )
+    anchors = enqueued.select(*keys, F.col("_task.seq").alias("seq"), F.col("_task.arxiv_id").alias("arxiv_id"))
+    claims = events.filter(F.col("kind") == CLAIM).select(*keys, "seq")
+    claimed = _first_after(claims, anchors, keys, "seq", "_claim")
+    results = events.filter(F.col("kind").isin(RESULT_OK, RESULT_BAD)).select(
+        *keys, "arxiv_id", "seq", "kind", "likes", "raw_text", "error_code"
     )
+    open_tasks = anchors.drop("seq").join(claimed, keys).select(*keys, "arxiv_id", F.col("_claim.seq").alias("claimed_seq"))
+    finished = _first_after(results, open_tasks, [*keys, "arxiv_id"], "claimed_seq", "_result").drop("arxiv_id")
     state = (
-        F.when(F.col("result.kind") == RESULT_OK, F.lit("SUCCESS"))
-        .when(F.col("result.kind") == RESULT_BAD, F.lit("FAILED"))
-        .when(F.col("claimed_seq").isNotNull(), F.lit("CLAIMED"))
+        F.when(F.col("_result.kind") == RESULT_OK, F.lit("SUCCESS"))
+        .when(F.col("_result.kind") == RESULT_BAD, F.lit("FAILED"))
+        .when(F.col("_claim").isNotNull(), F.lit("CLAIMED"))
         .otherwise(F.lit("PENDING"))
     )
-    return open_tasks.join(finished, keys, "left").select(
-        *keys,
-        *carry,
-        state.alias("state"),
-        F.col("claimed_seq").isNotNull().cast("int").alias("attempts"),
-        "result.likes",
-        "result.raw_text",
-        "result.error_code",
-        F.col("enqueued_seq").alias("seq"),
-        "claimed_seq",
-        F.col("result.seq").alias("result_seq"),
+    return (
+        enqueued.join(claimed, keys, "left")
+        .join(finished, keys, "left")
+        .select(
+            *keys,
+            *(F.col(f"_task.{c}").alias(c) for c in carry),
+            state.alias("state"),
+            F.col("_claim").isNotNull().cast("int").alias("attempts"),
+            "_result.likes",
+            "_result.raw_text",
+            "_result.error_code",
+            F.col("_task.seq").alias("seq"),
+            F.col("_claim.seq").alias("claimed_seq"),
+            F.col("_result.seq").alias("result_seq"),
+        )
     )
 
 

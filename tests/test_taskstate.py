@@ -51,7 +51,9 @@ def events():
     return [event(rng.choice("ab"), i, rng.choice(kinds), rng.choice(keys), rng.choice(["1", "1", "1", "2"])) for i in range(900)]
 
 
-def test_fold_and_audit_against_the_machine(spark, events):
+@pytest.mark.parametrize("bits", [3, 7, 20])
+def test_fold_and_audit_against_the_machine(spark, events, monkeypatch, bits):
+    monkeypatch.setattr(taskstate, "_BLOCK_BITS", bits)
     states, refused = machine(events)
     rows = list(events)
     random.Random(1).shuffle(rows)
