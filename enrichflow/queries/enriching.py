@@ -61,10 +61,10 @@ FROM g"""
 )
 def q_metric_text(spark, sf_dir):
     """Responses by event: views have none, errors status 500, signups a text value, 0 is not found."""
-    kind, number = F.col("event_type"), prop_number()
+    kind, number = F.col("event_type"), F.col("k")
     shown = F.when(kind == "signup", F.concat(F.lit('"'), number, F.lit('"'))).otherwise(number.cast("string"))
     payload = F.concat(F.lit('{"data":{"paper_group":{"metrics":{"public_total_votes":'), shown, F.lit("}}}}"))
-    events = table(spark, sf_dir, "events").select("event_id", "event_type", "props")
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", prop_number().alias("k"))
     responses = events.filter(kind != "view").select(
         F.col("event_id").alias("arxiv_id"),
         F.when(number == 0, 404).when(kind == "error", 500).otherwise(200).alias("http_status"),

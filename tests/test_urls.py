@@ -1,6 +1,5 @@
 from urllib.parse import urljoin, urlsplit
 
-import pytest
 from pyspark.sql import functions as F
 
 from enrichflow.functions import urls
@@ -14,10 +13,18 @@ HREFS = [
 ]
 
 
-def value(spark, column_of, *texts):
-    names = [f"c{i}" for i in range(len(texts))]
-    row = spark.createDataFrame([texts], ", ".join(f"{n} string" for n in names))
-    return row.select(column_of(*(F.col(n) for n in names))).first()[0]
+def values(spark, column_of, *rows):
+    """Results of a column function for rows of text arguments, in row order."""
+    names = [f"c{i}" for i in range(len(rows[0]))]
+    schema = ", ".join(["i int", *(f"{n} string" for n in names)])
+    df = spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], schema)
+    made = df.select("i", column_of(*(F.col(n) for n in names)).alias("v")).orderBy("i")
+    return [r.v for r in made.collect()]
+
+
+def check(spark, column_of, cases):
+    rows = [case[:-1] for case in cases]
+    assert dict(zip(rows, values(spark, column_of, *rows))) == {case[:-1]: case[-1] for case in cases}
 
 
 def test_join_matches_the_standard_rules(spark):
@@ -29,90 +36,86 @@ def test_join_matches_the_standard_rules(spark):
         assert row.got == wanted, row.h
 
 
-@pytest.mark.parametrize(
-    ("base", "href", "wanted"),
-    [
-        ("https://a.example/x", "/y", "https://a.example/y"),
-        ("http://a.example/x", "/y", None),
-        ("https://a.example/x", "https://a.example.evil.example/y", None),
-        ("https://a.example/x", "https://u@a.example/y", None),
-        ("https://a.example/x", "https://a.example:444/y", None),
-        ("https://a.example/x", "https://a.example:443/y#z", "https://a.example:443/y"),
-        ("https://a.example/x", "https://a.example:99999/y", None),
-        ("https://a.example/x", "mailto:me", None),
-        ("https://a.example/x", None, None),
-    ],
-)
-def test_gate(spark, base, href, wanted):
-    assert value(spark, lambda b, h: urls.resolve_secure(b, h, ("a.example",)), base, href) == wanted
-
-
-@pytest.mark.parametrize(
-    ("url", "wanted"),
-    [
-        ("https://arxiv.org/abs/2401.00001", "2401.00001"),
-        ("https://arxiv.org/pdf/2401.00001v3.pdf", "2401.00001"),
-        ("https://export.arxiv.org/abs/hep/9901002v1", "hep/9901002"),
-        ("https://arxiv.org/pdf/math.AG/0309001", "math.AG/0309001"),
-        ("https://arxiv.org/abs/2401%2E00001", "2401.00001"),
-        ("http://arxiv.org/abs/2401.00001", None),
-        ("https://me@arxiv.org/abs/2401.00001", None),
-        ("https://other.example/abs/2401.00001", None),
-        ("https://arxiv.org.other.example/abs/2401.00001", None),
-        ("https://arxiv.org/abs/no-id", None),
-        ("https://arxiv.org/find/2401.00001", None),
-        ("https://arxiv.org/abs/2401.00001/more", None),
-        ("https://arxiv.org/abs/%2e%2e/2401.00001", None),
-        ("https://arxiv.org/abs/2401.00001?v=1", None),
-        ("https://arxiv.org/abs/2401.00001#top", None),
-        ("https://arxiv.org/abs/2401.00001.pdf", None),
-    ],
-)
-def test_canonical_id(spark, url, wanted):
-    assert value(spark, urls.canonical_id, url) == wanted
-
-
-@pytest.mark.parametrize(
-    ("href", "wanted"),
-    [
-        ("http://arxiv.org/abs/2401.00001v2", "https://arxiv.org/abs/2401.00001v2"),
-        ("https://ARXIV.org:8443/abs/2401.00001", "https://arxiv.org/abs/2401.00001"),
-        ("ftp://arxiv.org/abs/2401.00001", None),
-        ("http://arxiv.org/list", None),
-        (None, None),
-    ],
-)
-def test_secure_link(spark, href, wanted):
-    assert value(spark, urls.secure_link, href) == wanted
-
-
-@pytest.mark.parametrize(
-    ("url", "wanted"),
-    [
-        ("http://localhost:8000/", "http://localhost:8000"),
-        ("http://HOST.docker.internal:8000", "http://host.docker.internal:8000"),
-        ("http://127.8.9.1", "http://127.8.9.1"),
-        ("http://10.0.0.1:80", "http://10.0.0.1:80"),
-        ("http://172.31.255.255", "http://172.31.255.255"),
-        ("http://172.32.0.1", None),
-        ("http://192.168.3.4", "http://192.168.3.4"),
-        ("http://[::1]:8000/", "http://[::1]:8000"),
-        ("http://[FD00:0:0::1]", "http://[fd00::1]"),
-        ("http://[2001:db8::1]", None),
-        ("https://127.0.0.1", None),
-        ("http://9.9.9.9", None),
-        ("http://010.0.0.1", None),
-        ("http://name.example", None),
-        ("http://t@127.0.0.1", None),
-        ("http://127.0.0.1/?t=1", None),
-        ("http://127.0.0.1/#t", None),
-        ("http://127.0.0.1/path", None),
-        ("http://127.0.0.1:70000", None),
-    ],
-)
-def test_private_endpoint(spark, url, wanted):
-    rows = spark.createDataFrame([(url,)], "u string").select(urls.private_endpoint(F.col("u")).alias("e"))
-    assert rows.select("e.endpoint").first()[0] == wanted
+GATE = [
+    ("https://a.example/x", "/y", "https://a.example/y"),
+    ("http://a.example/x", "/y", None),
+    ("https://a.example/x", "https://a.example.evil.example/y", None),
+    ("https://a.example/x", "https://u@a.example/y", None),
+    ("https://a.example/x", "https://a.example:444/y", None),
+    ("https://a.example/x", "https://a.example:443/y#z", "https://a.example:443/y"),
+    ("https://a.example/x", "https://a.example:99999/y", None),
+    ("https://a.example/x", "mailto:me", None),
+    ("https://a.example/x", None, None),
+]
+
+
+def test_gate(spark):
+    check(spark, lambda b, h: urls.resolve_secure(b, h, ("a.example",)), GATE)
+
+
+CANONICAL_ID = [
+    ("https://arxiv.org/abs/2401.00001", "2401.00001"),
+    ("https://arxiv.org/pdf/2401.00001v3.pdf", "2401.00001"),
+    ("https://export.arxiv.org/abs/hep/9901002v1", "hep/9901002"),
+    ("https://arxiv.org/pdf/math.AG/0309001", "math.AG/0309001"),
+    ("https://arxiv.org/abs/2401%2E00001", "2401.00001"),
+    ("http://arxiv.org/abs/2401.00001", None),
+    ("https://me@arxiv.org/abs/2401.00001", None),
+    ("https://other.example/abs/2401.00001", None),
+    ("https://arxiv.org.other.example/abs/2401.00001", None),
+    ("https://arxiv.org/abs/no-id", None),
+    ("https://arxiv.org/find/2401.00001", None),
+    ("https://arxiv.org/abs/2401.00001/more", None),
+    ("https://arxiv.org/abs/%2e%2e/2401.00001", None),
+    ("https://arxiv.org/abs/2401.00001?v=1", None),
+    ("https://arxiv.org/abs/2401.00001#top", None),
+    ("https://arxiv.org/abs/2401.00001.pdf", None),
+]
+
+
+def test_canonical_id(spark):
+    check(spark, urls.canonical_id, CANONICAL_ID)
+
+
+SECURE_LINK = [
+    ("http://arxiv.org/abs/2401.00001v2", "https://arxiv.org/abs/2401.00001v2"),
+    ("https://ARXIV.org:8443/abs/2401.00001", "https://arxiv.org/abs/2401.00001"),
+    ("ftp://arxiv.org/abs/2401.00001", None),
+    ("http://arxiv.org/list", None),
+    (None, None),
+]
+
+
+def test_secure_link(spark):
+    check(spark, urls.secure_link, SECURE_LINK)
+
+
+PRIVATE_ENDPOINT = [
+    ("http://localhost:8000/", "http://localhost:8000"),
+    ("http://HOST.docker.internal:8000", "http://host.docker.internal:8000"),
+    ("http://127.8.9.1", "http://127.8.9.1"),
+    ("http://10.0.0.1:80", "http://10.0.0.1:80"),
+    ("http://172.31.255.255", "http://172.31.255.255"),
+    ("http://172.32.0.1", None),
+    ("http://192.168.3.4", "http://192.168.3.4"),
+    ("http://[::1]:8000/", "http://[::1]:8000"),
+    ("http://[FD00:0:0::1]", "http://[fd00::1]"),
+    ("http://[2001:db8::1]", None),
+    ("https://127.0.0.1", None),
+    ("http://9.9.9.9", None),
+    ("http://010.0.0.1", None),
+    ("http://name.example", None),
+    ("http://t@127.0.0.1", None),
+    ("http://127.0.0.1/?t=1", None),
+    ("http://127.0.0.1/#t", None),
+    ("http://127.0.0.1/path", None),
+    ("http://127.0.0.1:70000", None),
+]
+
+
+def test_private_endpoint(spark):
+    got = values(spark, urls.private_endpoint, *(case[:-1] for case in PRIVATE_ENDPOINT))
+    assert [e.endpoint for e in got] == [case[-1] for case in PRIVATE_ENDPOINT]
 
 
 def test_endpoint_plan_without_ipv6_has_no_python(spark):
@@ -121,9 +124,8 @@ def test_endpoint_plan_without_ipv6_has_no_python(spark):
 
 
 def test_key_segment(spark):
-    assert value(spark, urls.key_segment, "a/b c~d*é+") == "a%2Fb%20c~d%2A%C3%A9%2B"
+    check(spark, urls.key_segment, [("a/b c~d*é+", "a%2Fb%20c~d%2A%C3%A9%2B")])
 
 
 def test_year(spark):
-    assert value(spark, urls.collection_year, "https://h/CVPR2025?day=x") == 2025
-    assert value(spark, urls.collection_year, "https://h/CVPR2024/") is None
+    check(spark, urls.collection_year, [("https://h/CVPR2025?day=x", 2025), ("https://h/CVPR2024/", None)])
