@@ -23,7 +23,7 @@ REQUIRED_LINK_LABEL = "pdf"
 OPTIONAL_LINK_LABEL = "arxiv"
 
 # --- fixed values: states ---
-RUN_RUNNING, RUN_COMPLETED, RUN_PARTIAL, RUN_FAILED = "RUNNING", "COMPLETED", "PARTIAL", "FAILED"
+RUN_COMPLETED, RUN_PARTIAL, RUN_FAILED = "COMPLETED", "PARTIAL", "FAILED"
 SUCCESS, FAILED = "SUCCESS", "FAILED"
 COMPLETED, PARTIAL = "COMPLETED", "PARTIAL"
 TASK_STATES = ("PENDING", "CLAIMED", "SUCCESS", "FAILED")
@@ -33,7 +33,6 @@ REPORT_MODE = "mcp_report"
 # --- fixed values: result codes ---
 INVALID_CATALOGUE_URL = "INVALID_CVF_URL"
 INVALID_ARCHIVE_URL = "INVALID_ARXIV_URL"
-INVALID_ENDPOINT = "INVALID_BRIDGE_URL"
 INVALID_RECORD = "INVALID_PAPER_RECORD"
 NO_DAY_LINKS = "NO_CONFERENCE_DAYS"
 EMPTY_RECORD_LIST = "EMPTY_PAPER_LIST"
@@ -47,7 +46,6 @@ LIKES_MISMATCH = "LIKES_RESULT_MISMATCH"
 ANALYSIS_ERROR = "PAPER_ANALYSIS_FAILED"
 LIKES_NOT_FOUND = "ALPHAXIV_LIKES_NOT_FOUND"
 LIKES_UNAVAILABLE = "ALPHAXIV_LIKES_UNAVAILABLE"
-INVALID_METADATA = "INVALID_ALPHAXIV_METADATA"
 INVALID_RESPONSE = "INVALID_ALPHAXIV_RESPONSE"
 EVIDENCE_UNAVAILABLE = "ALPHAXIV_EVIDENCE_UNAVAILABLE"
 EMPTY_ANSWER = "EMPTY_QUESTION_ANSWER"
@@ -82,13 +80,7 @@ MAX_RECORDS = 10_000
 MAX_QUESTIONS = 10
 DEFAULT_MAX_NEW = 400
 
-# --- fixed values: file and table names of a run ---
+# --- fixed values: names of the logs and the report table of a run ---
 ANALYSIS_LOG = "analysis-checkpoint.jsonl"
 LIKES_LOG = "likes-checkpoint.jsonl"
-QA_TABLE = "qa-results.jsonl"
-RESULT_TABLE = "paper-results.jsonl"
-LIKES_TABLE = "likes-results.jsonl"
-RECORD_TABLE = "papers.jsonl"
-MANIFEST = "manifest.json"
-SUMMARY = "conference-summary.md"
 REPORTS = "reports"

@@ -55,10 +55,6 @@ def is_blank(col: Column) -> Column:
     return col.isNull() | (strip(col) == "")
 
 
-def blank_to_null(col: Column) -> Column:
-    return F.when(strip(col) != "", col)
-
-
 def empty_strings() -> Column:
     return F.array().cast("array<string>")
 

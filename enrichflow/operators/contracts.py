@@ -116,6 +116,12 @@ def run_id_ok(run_id: Column) -> Column:
     return F.coalesce(run_id.rlike(V.RUN_ID_PATTERN), F.lit(False))
 
 
+def require_run_ids(rows: DataFrame, run: str = "run_id") -> None:
+    """Run ids become folder names, so one of another form stops the job."""
+    if rows.select(run).distinct().filter(~run_id_ok(F.col(run))).first():
+        raise ValueError(V.INVALID_RUN_ID)
+
+
 def unknown_fields(json_text: Column, allowed: Iterable[str] | T.StructType) -> Column:
     """Sorted top-level keys of a JSON object that the shape does not declare."""
     names = allowed.names if isinstance(allowed, T.StructType) else list(allowed)

@@ -55,7 +55,7 @@ class Branch:
 def analyse(
     tasks: DataFrame,
     log_path: str,
-    make_function: Callable[[], Callable[[dict], dict]],
+    make_function: Callable[[], Callable[[dict], dict]] | None,
     mode: str,
     max_new: int = V.DEFAULT_MAX_NEW,
     partitions: int | None = None,
@@ -63,7 +63,8 @@ def analyse(
 ) -> Branch:
     """Analysis branch: resume from the log, cap, call, append, merge. ``tasks`` need run_id and ord.
 
-    Deferred rows are returned but not logged, so they are tried again in the next run.
+    Deferred rows are returned but not logged, so they are tried again in the next run. Without a
+    function the remaining tasks fail as skipped, also unlogged.
     """
     spark = tasks.sparkSession
     logged = logs.latest_logged(
@@ -72,6 +73,9 @@ def analyse(
     resumed = joins.resume_analyses(tasks, logged, mode)
     done = _previous(resumed)
     remaining = resumed.filter(~F.col("done")).drop("done", "previous")
+    if make_function is None:
+        skipped = enrich.unavailable(remaining, V.SKIPPED_NO_MODEL_ACCESS, mode)
+        return Branch(results=joins.merge_by_priority([done, skipped], tasks, "paper_key"), fresh=skipped)
     capped = selection.cap_new(remaining, max_new)
     scheduled = capped.filter("scheduled").drop("scheduled")
     attempts = enrich.enrich_rows(scheduled, make_function, mode, partitions, stop_on_auth_failure)
@@ -123,6 +127,7 @@ def persist_results(
     that rows of an earlier, wider selection do not count as orphans. A version holds the runs of
     ``tasks`` only; stored runs outside them are pruned by partition and stay in their version.
     """
+    contracts.require_run_ids(tasks)
     if analyses is None:
         analyses = of_tasks(
             logs.latest_logged(

@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from enrichflow import fixed_values as V
-from enrichflow.functions.strings import archive_key, escape_markup
+from enrichflow.functions.strings import escape_markup
 from enrichflow.operators import enrich, jsonops, texts
 from enrichflow.queries import tables
 from enrichflow.queries.registry import query

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from enrichflow import fixed_values as V
+from enrichflow.operators.contracts import require_run_ids
 from enrichflow.operators.reports import final_reports
 from enrichflow.operators.texts import qa_records
 
@@ -71,6 +72,8 @@ def export_jsonl(table: DataFrame, path: str, *order: str) -> None:
 
 def export_report_files(reports: DataFrame, folder: str) -> None:
     """One Markdown file per report in a folder all executors share; a retried task rewrites its files."""
+    if "run_id" in reports.columns:
+        require_run_ids(reports)
 
     def save(rows) -> None:
         for row in rows:

@@ -6,7 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from enrichflow.operators import contracts, counts, enrich, extract, reports, selection
+from enrichflow.operators import contracts, counts, enrich, reports, selection
 from enrichflow.plans import flow
 from enrichflow.schemas import ANALYSIS_RESULT, JOINED_RESULT, LIKES_RESULT, PAGE
 from enrichflow.sources import logs, snapshots
@@ -169,6 +169,22 @@ def test_whole_run_with_resume(spark, tmp_path):
         assert snapshots.read_table(spark, root, table, 2).count() == n
 
 
+def test_without_a_function_only_remaining_tasks_fail(spark, tmp_path):
+    log = str(tmp_path / "a")
+    logs.append_log(analyses(spark, ok("arxiv:1")), log)
+    work = tasks(spark, "1", "2").withColumn("run_id", F.lit("r"))
+    branch = flow.analyse(work, log, None, "structured_llm")
+    got = {r.paper_key: (r.status, r.error_code) for r in branch.results.collect()}
+    assert got == {"arxiv:1": ("SUCCESS", None), "arxiv:2": ("FAILED", "ANALYSIS_SKIPPED_NO_LLM_CREDENTIALS")}
+
+
+def test_run_ids_are_checked_before_anything_is_written(spark, tmp_path):
+    work = tasks(spark, "1").withColumn("run_id", F.lit("../up"))
+    with pytest.raises(ValueError, match="INVALID_RUN_ID"):
+        flow.persist_results(spark, work, "none", "none", str(tmp_path), version=1)
+    assert os.listdir(tmp_path) == []
+
+
 def test_narrower_selection_ignores_older_log_rows(spark, tmp_path):
     root = str(tmp_path)
     logs.append_log(likes(spark, liked("1"), liked("2")), f"{root}/l")

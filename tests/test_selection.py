@@ -120,6 +120,13 @@ def test_analysis_and_identity_contracts(spark):
     assert joined.select(contracts.identity_violations()).first()[0] == ["LIKES_KEY", "LIKES_ID", "ANALYSIS_KEY"]
 
 
+def test_task_contract(spark):
+    tasks, _ = selection.select_records(spark.createDataFrame(ROWS, SEED), ["video"], ["q"])
+    assert {tuple(r[0]) for r in tasks.select(contracts.task_violations()).collect()} == {()}
+    broken = tasks.limit(1).withColumns({"paper_key": F.lit("x"), "questions": F.array(F.lit(" ")), "title": F.lit("")})
+    assert broken.select(contracts.task_violations()).first()[0] == ["BLANK_TITLE", "BLANK_QUESTION", "KEY_MISMATCH"]
+
+
 def test_other_contracts(spark):
     seeds = spark.createDataFrame([seed("ok"), seed(" ", " ")], SEED)
     assert [r[0] for r in seeds.select(contracts.seed_violations()).collect()] == [[], ["BLANK_TITLE", "BLANK_ARXIV_URL"]]

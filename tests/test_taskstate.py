@@ -1,8 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
-
 from enrichflow.operators import taskstate
 from enrichflow.schemas import TASK_EVENT
 from enrichflow.streaming import latest

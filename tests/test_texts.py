@@ -1,5 +1,4 @@
 import html
-import math
 from xml.etree import ElementTree
 
 import pytest
