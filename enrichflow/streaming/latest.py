@@ -5,6 +5,7 @@ when a batch is replayed, so results do not change after a restart.
 """
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.query import StreamingQuery
@@ -16,7 +17,7 @@ from enrichflow.operators.keyed import last_per_key, protected_latest
 from enrichflow.schemas import INT, LONG, TEXT, row
 
 
-def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 100) -> DataFrame:
+def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 16) -> DataFrame:
     """Files in arrival order; the number per trigger bounds what one micro-batch can hold."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
@@ -55,21 +56,60 @@ _STEP = row(
 _STATE = row(state=TEXT, arxiv_id=TEXT)
 
 
-def _step(state: str | None, own_id: str | None, kind: str, event_id: str | None) -> tuple[str | None, str | None]:
-    """(state after the event, reason when refused). A repeated enqueue changes nothing and is no refusal."""
-    if kind == taskstate.ENQUEUE:
-        return state or "PENDING", None
-    if state is None:
-        return state, taskstate.UNKNOWN_TASK
-    if kind == taskstate.CLAIM:
-        return ("CLAIMED", None) if state == "PENDING" else (state, taskstate.NOT_PENDING)
-    if event_id != own_id:
-        return state, taskstate.OTHER_IDENTITY
-    if state == "SUCCESS":
-        return state, taskstate.ALREADY_SUCCEEDED
-    if state != "CLAIMED":
-        return state, taskstate.NOT_CLAIMED
-    return ("SUCCESS" if kind == taskstate.RESULT_OK else "FAILED"), None
+def _first(mask: np.ndarray, start: int) -> int | None:
+    """Position of the first True at or after ``start``."""
+    hits = np.flatnonzero(mask[start:])
+    return start + int(hits[0]) if hits.size else None
+
+
+def _advance(state: str | None, own_id: str | None, batch: pd.DataFrame) -> tuple[str | None, str | None, pd.DataFrame]:
+    """State after a task's events of one micro-batch, with the events that moved it or were refused.
+
+    A task moves at most three times, so the moves are found by search and all refusals in one go.
+    """
+    batch = batch.sort_values("seq", ignore_index=True)
+    kind, event_id = batch["kind"].to_numpy(), batch["arxiv_id"].to_numpy(object)
+    is_claim, is_ok = kind == taskstate.CLAIM, kind == taskstate.RESULT_OK
+    is_result = is_ok | (kind == taskstate.RESULT_BAD)
+    before = np.full(len(batch), state, dtype=object)
+    moved = np.zeros(len(batch), dtype=bool)
+    at = 0
+
+    def move(to: str, where: int) -> None:
+        nonlocal state, at
+        state, at = to, where + 1
+        moved[where] = True
+        before[at:] = to
+
+    if state is None and (hit := _first(kind == taskstate.ENQUEUE, at)) is not None:
+        own_id = event_id[hit]
+        move("PENDING", hit)
+    same_id = event_id == own_id
+    if state == "PENDING" and (hit := _first(is_claim, at)) is not None:
+        move("CLAIMED", hit)
+    if state == "CLAIMED" and (hit := _first(is_result & same_id, at)) is not None:
+        move("SUCCESS" if is_ok[hit] else "FAILED", hit)
+
+    reason = np.select(
+        [
+            moved | (kind == taskstate.ENQUEUE),
+            np.equal(before, None),
+            is_claim,
+            ~same_id,
+            before == "SUCCESS",
+        ],
+        [None, taskstate.UNKNOWN_TASK, taskstate.NOT_PENDING, taskstate.OTHER_IDENTITY, taskstate.ALREADY_SUCCEEDED],
+        taskstate.NOT_CLAIMED,
+    )
+    after = np.append(before[1:], [state]).astype(object)
+    steps = batch.assign(state=after, reason=reason)
+    steps["attempts"] = steps["state"].isin(["CLAIMED", "SUCCESS", "FAILED"]).astype("int32")
+    shown = moved | steps["reason"].notna().to_numpy()
+    steps, finished = steps[shown].copy(), (moved & is_result)[shown]
+    for name in ("likes", "raw_text", "error_code"):
+        steps[name] = steps[name].astype(object).where(finished, None)
+    steps["likes"] = steps["likes"].astype("Int64")
+    return state, own_id, steps
 
 
 def stream_task_steps(events: DataFrame) -> DataFrame:
@@ -82,27 +122,10 @@ def stream_task_steps(events: DataFrame) -> DataFrame:
 
     def advance(key: tuple, chunks: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
         state, own_id = held.get if held.exists else (None, None)
-        batch = pd.concat(list(chunks)).sort_values("seq")
-        out = []
-        for e in batch.itertuples(index=False):
-            event_id = None if pd.isna(e.arxiv_id) else e.arxiv_id
-            after, reason = _step(state, own_id, e.kind, event_id)
-            if after != state or reason:
-                if state is None and after == "PENDING":
-                    own_id = event_id
-                done = after in ("SUCCESS", "FAILED") and not reason
-                out.append(
-                    (
-                        *key, e.seq, e.kind, after, int(after not in (None, "PENDING")),
-                        e.likes if done else None, e.raw_text if done else None, e.error_code if done else None, reason,
-                    )
-                )
-            state = after
+        state, own_id, steps = _advance(state, own_id, pd.concat(list(chunks), ignore_index=True))
         if state is not None:
             held.update((state, own_id))
-        frame = pd.DataFrame(out, columns=names)
-        frame["likes"] = frame["likes"].astype("Int64")
-        yield frame
+        yield steps[names]
 
     known = events.filter(
         F.col("kind").isin(taskstate.ENQUEUE, taskstate.CLAIM, taskstate.RESULT_OK, taskstate.RESULT_BAD)
