@@ -236,7 +236,7 @@ def _private_ipv6(hosts: pd.Series) -> pd.Series:
 def private_endpoint(url: Column, allow_ipv6: bool = True) -> Column:
     """Struct (endpoint, class): normalised URL of a local or private http endpoint, NULL when refused.
 
-    Names and IPv4 stay in the JVM. Only IPv6 hosts are sent to a Python worker; with
+    Alias the result before taking a field. Names and IPv4 stay in the JVM. Only IPv6 hosts are sent to a Python worker; with
     ``allow_ipv6=False`` the plan has no Python node and IPv6 hosts are refused.
     """
     host = bind(lambda u: u["host"], u=url_pieces(url))
