@@ -31,3 +31,28 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.digests(docs).join(cut, ["doc_id", "words_sha256"], "left").select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
         F.coalesce("cut_sha256", "words_sha256").alias("kept_sha256"))
+
+
+@query()
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from enrichflow.llm import jaccard_join as op
+
+    return op.linked(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
+@query()
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from enrichflow.llm import toxicity as op
+    from enrichflow.llm.learning import held_out
+
+    docs = table(spark, sf_dir, "documents")
+    model = op.fit(docs, table(spark, sf_dir, "labels").filter(~held_out()))
+    return op.scored(docs, model).select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_toxic", "spans")
+
+
+@query()
+def op2_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from enrichflow.llm import repetition as op
+
+    return op.judged(table(spark, sf_dir, "documents"))

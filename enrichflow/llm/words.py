@@ -101,17 +101,21 @@ class Words:
         """The text of each word."""
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word, the same for equal words of any batch."""
+    def ranges(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of a byte range of each word, the same for equal bytes of any batch."""
         out = np.empty(len(self.starts), np.uint64)
         at = 0
         while at < len(out):
             begin = self.starts[at]
             until = max(at + 1, int(np.searchsorted(self.ends, begin + _HASH_BYTES, "right")))
             piece = self.data[begin:self.ends[until - 1]].astype(np.uint64) + np.uint64(1)
-            out[at:until] = _range_hashes(piece, self.starts[at:until] - begin, self.ends[at:until] - begin, _BYTES)
+            out[at:until] = _range_hashes(piece, starts[at:until] - begin, ends[at:until] - begin, _BYTES)
             at = until
-        return mix(out + (self.ends - self.starts).astype(np.uint64))
+        return mix(out + (ends - starts).astype(np.uint64))
+
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of each word."""
+        return self.ranges(self.starts, self.ends)
 
     def grams(self, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash and first word of every run of ``size`` words that lies in one text."""
