@@ -56,3 +56,60 @@ def op2_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     from enrichflow.llm import repetition as op
 
     return op.judged(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from enrichflow.llm import quality as op
+    from enrichflow.llm.learning import held_out
+
+    docs = table(spark, sf_dir, "documents")
+    model = op.fit(docs, table(spark, sf_dir, "labels").filter(~held_out()))
+    return op.scored(docs, model).select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= op.CUT).cast("int").alias("predicted"), "strength")
+
+
+@query()
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from enrichflow.llm import url_filter as op
+
+    rules = [op.Rule("allow", "com", "/"), op.Rule("block", "example.com", "/en/"), op.Rule("allow", "www.example.com", "/en/"),
+             op.Rule("block", "net", "/es/"), op.Rule("block", "net", "/fr/")]
+    return op.judged(table(spark, sf_dir, "pages"), rules)
+
+
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def model_bytes(path: str = TOKENIZER) -> bytes:
+    with open(path, "rb") as file:
+        return file.read()
+
+
+@query()
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from enrichflow.llm import pieces_codec as op
+
+    return op.encoded(table(spark, sf_dir, "documents"), model_bytes())
+
+
+@query()
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from enrichflow.llm import decontaminate as op
+
+    return op.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from enrichflow.llm import line_dedup as op
+
+    return op.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query()
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from enrichflow.llm import chat as op
+
+    return op.rendered(table(spark, sf_dir, "conversations"))

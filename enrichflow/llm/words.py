@@ -132,15 +132,20 @@ class Words:
         return self.data[self.offsets[i]:self.offsets[i + 1]].tobytes()
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", lower: bool = False,
-           most: int = PIECE_BYTES) -> Iterator[tuple[pa.RecordBatch, Words]]:
-    """Slices of the batches with the words of their texts, at most ``most`` bytes of text or one text each."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with at most ``most`` bytes of text, or one text each."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         total, at = np.cumsum(sizes), 0
         while at < batch.num_rows:
             done = total[at - 1] if at else 0
             until = max(at + 1, int(np.searchsorted(total, done + most, "right")))
-            part = batch.slice(at, until - at)
-            yield part, Words(part.column(column), lower)
+            yield batch.slice(at, until - at)
             at = until
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", lower: bool = False,
+           most: int = PIECE_BYTES) -> Iterator[tuple[pa.RecordBatch, Words]]:
+    """``slices`` of the batches with the words of their texts."""
+    for part in slices(batches, column, most):
+        yield part, Words(part.column(column), lower)
