@@ -267,3 +267,19 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
                                   names=["doc_id", "score", "n_toxic", "spans"])
 
     return docs.select("doc_id", "text").mapInArrow(rows, SCORED)
+
+
+def without_toxic(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score is below ``limit``, with all their columns and without a shuffle."""
+    flat = not model.document.any()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, words in pieces(batches, lower=True):
+            if flat:
+                score = np.full(part.num_rows, model.prior)
+            else:
+                summary = np.column_stack((_summary(_token_marginals(words, model), words.first), np.ones(part.num_rows)))
+                score = sigmoid(summary @ model.document)
+            yield part.filter(pa.array(score < limit))
+
+    return docs.mapInArrow(rows, docs.schema)
