@@ -1,9 +1,9 @@
-"""Find hashes that several documents share, with about seven bytes of shuffle per hash.
+"""Find hashes that several documents share, with about six bytes of shuffle per hash.
 
 A task hands over (hash, document) entries in loads of a few million. Inside a load equal hashes are settled at once and one
 entry per hash is sent on, so a hash that a third of all documents hold costs one entry per load. Entries travel in
 packed rows to the bucket of their hash; the number of buckets grows with the input, so a bucket stays at a few million
-entries and the shortened keys stay selective.
+entries and the shortened keys stay selective. What is found goes back, packed again, to the bucket of its document.
 
 Two rules exist. ``shared`` finds the hashes that two or more documents have and errs on the side of reporting one too many
 (a key has 39 bits within its bucket). ``later`` compares whole 64-bit hashes and reports a document's hash if a
@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, functions as F
 
 SENT = "bucket int, settled boolean, docs binary, counts binary, keys binary"
 FOUND = "doc_id bigint, keys binary"
-LOAD = 2_000_000
-BUCKET_WORDS = 3_000_000
+LOAD = 1_000_000
+BUCKET_WORDS = 1_500_000
 _CUT = np.uint64(25)
 _LOW = np.uint64((1 << 25) - 1)
 _SENT_SCHEMA = pa.schema([("bucket", pa.int32()), ("settled", pa.bool_()), ("docs", pa.binary()), ("counts", pa.binary()),
@@ -43,6 +43,11 @@ def _runs(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
 
 
+def _home(docs: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket that gathers what was found for a document."""
+    return (docs.astype(np.uint64) % np.uint64(buckets)).astype(np.int32)
+
+
 def _packed(bucket: np.ndarray, docs: np.ndarray, keys: np.ndarray, width: int, settled: bool) -> Iterator[dict]:
     order = np.lexsort((docs, bucket))
     bucket, docs, keys = bucket[order], docs[order], keys[order]
@@ -71,7 +76,7 @@ def _load(hashes: np.ndarray, docs: np.ndarray, flags: np.ndarray, buckets: int,
         keys = (group >> _CUT << np.uint64(1)) | (flag if rule == "shared" else least != most).astype(np.uint64)
     if known.any():
         told = hashes[known] if rule == "later" else tags(hashes[known], buckets)
-        yield from _packed((docs[known].astype(np.uint64) % np.uint64(buckets)).astype(np.int32), docs[known], told, 8, True)
+        yield from _packed(_home(docs[known], buckets), docs[known], told, 8, True)
     yield from _packed(bucket, least, keys, 8 if rule == "later" else 5, False)
 
 
@@ -129,21 +134,25 @@ def _met(docs: np.ndarray, keys: np.ndarray, bucket: int, rule: str) -> tuple[np
     return docs[hit], (plain[hit] << _CUT) | (np.uint64(bucket) & _LOW)
 
 
-def meet(sent: DataFrame, rule: str) -> DataFrame:
-    """(doc_id, keys): hashes of a document that met the rule, packed as 64-bit numbers; several rows per document."""
-    fields = pa.schema([("doc_id", pa.int64()), ("keys", pa.binary())])
+def meet(sent: DataFrame, rule: str, buckets: int) -> DataFrame:
+    """(doc_id, keys): all hashes of a document that met the rule, packed as 64-bit numbers; one row per document."""
 
     def bucket(key, table):
         settled = table["settled"].to_numpy(zero_copy_only=False).astype(bool)
-        docs, keys = _open(table.filter(pa.array(settled)), 8)
-        new = _open(table.filter(pa.array(~settled)), 8 if rule == "later" else 5)
-        if len(new[0]):
-            new = _met(*new, key[0].as_py(), rule)
-        docs, keys = np.append(docs, new[0]), np.append(keys, new[1])
+        docs, keys = _open(table.filter(pa.array(~settled)), 8 if rule == "later" else 5)
+        rows = []
+        if len(docs):
+            docs, keys = _met(docs, keys, key[0].as_py(), rule)
+            rows = list(_packed(_home(docs, buckets), docs, keys, 8, True))
+        return pa.concat_tables([table.filter(pa.array(settled)).cast(_SENT_SCHEMA), pa.Table.from_pylist(rows, _SENT_SCHEMA)])
+
+    def documents(table):
+        docs, keys = _open(table, 8)
         order = np.argsort(docs, kind="stable")
         docs, keys = docs[order], keys[order]
         at = _runs(docs)
         ends = np.append(at[1:], len(docs))
-        return pa.table({"doc_id": docs[at], "keys": [keys[a:b].tobytes() for a, b in zip(at, ends)]}, schema=fields)
+        return pa.table({"doc_id": docs[at], "keys": [keys[a:b].tobytes() for a, b in zip(at, ends)]},
+                        schema=pa.schema([("doc_id", pa.int64()), ("keys", pa.binary())]))
 
-    return sent.groupBy("bucket").applyInArrow(bucket, FOUND)
+    return sent.groupBy("bucket").applyInArrow(bucket, SENT).groupBy("bucket").applyInArrow(documents, FOUND)

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from enrichflow.llm import exchange
 from enrichflow.llm.words import Words, pieces
@@ -41,10 +41,10 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def _held(keys: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and number of every packed number of an array<binary> column."""
+    """Row and number of every packed number of a binary column."""
     rows, values = [], []
-    for i, cells in enumerate(keys.to_pylist()):
-        own = np.frombuffer(b"".join(cells), np.uint64)
+    for i, cell in enumerate(keys):
+        own = np.frombuffer(cell.as_buffer(), np.uint64)
         rows.append(np.full(len(own), i))
         values.append(own)
     return (np.concatenate(rows), np.concatenate(values)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
@@ -121,10 +121,7 @@ def changed_texts(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) ->
     def send(make, rule):
         return lambda batches: exchange.send(make(batches), buckets, rule)
 
-    def per_document(found):
-        return found.groupBy("doc_id").agg(F.collect_list("keys").alias("keys"))
-
-    hits = exchange.meet(docs.mapInArrow(send(probes, "shared"), exchange.SENT), "shared")
-    near = written(docs.join(per_document(hits), "doc_id"))
-    repeats = exchange.meet(near.mapInArrow(send(windows, "later"), exchange.SENT), "later")
-    return near.drop("keys").join(per_document(repeats), "doc_id").mapInArrow(cut, CHANGED)
+    hits = exchange.meet(docs.mapInArrow(send(probes, "shared"), exchange.SENT), "shared", buckets)
+    near = written(docs.join(hits, "doc_id"))
+    repeats = exchange.meet(near.mapInArrow(send(windows, "later"), exchange.SENT), "later", buckets)
+    return near.drop("keys").join(repeats, "doc_id").mapInArrow(cut, CHANGED)
