@@ -7,7 +7,9 @@ whether decoding gives the normalised text back (a text that holds the blank mar
 
 Where no piece holds a blank marker after another character (checked in the vocabulary) and the normaliser changes nothing
 else, no token crosses from a word into the next blank, so a text's ids are those of its words and each distinct word is
-encoded and checked once per task. Otherwise whole texts are. Null texts count as empty: no ids. Rows stay as they come; other
+encoded and checked once per task. Otherwise whole texts are. Where two unigram segmentations have the same score, the
+libraries may choose differently, and ``parity`` is false; so it is for a text that spells the name of a byte piece of a
+unigram model. Null texts count as empty: no ids. Rows stay as they come; other
 columns are ignored. The model file is read on the driver and travels with the tasks, so executors need no copy.
 """
 from __future__ import annotations
@@ -117,8 +119,10 @@ def build(model: SpModel):
 
     unknown = next((i for i, t in enumerate(model.pieces) if t[2] == UNKNOWN), None)
     if model.kind == UNIGRAM:
-        lowest = min((score for _, score, kind in model.pieces if kind == NORMAL), default=0.0)
-        table = [(text, score if kind in (NORMAL, BYTE, USER) else lowest - 10) for text, score, kind in model.pieces]
+        # other pieces have the lowest score, from which the one of unknown characters follows; names of control pieces must not match
+        never = min((score for _, score, kind in model.pieces if kind == NORMAL), default=0.0)
+        table = [(text, score) if kind in (NORMAL, USER) else (model.unknown, never) if kind == UNKNOWN else (text if kind == BYTE else f"\uffff{i}", never)
+                 for i, (text, score, kind) in enumerate(model.pieces)]
         core = models.Unigram(table, unk_id=unknown, byte_fallback=model.byte_fallback)
     else:
         core = models.BPE({t[0]: i for i, t in enumerate(model.pieces)}, merges(model), fuse_unk=True, byte_fallback=model.byte_fallback,

@@ -68,8 +68,8 @@ def near_copies(seed):
     return rows
 
 
-@pytest.mark.parametrize("how", [None, (0, 1), (1, 2), (1, 3), (1, 0)])
-@pytest.mark.parametrize("size, percent", [(3, 90), (2, 70)])
+@pytest.mark.parametrize("how, size, percent", [
+    (None, 3, 90), (None, 2, 70), ((0, 1), 3, 90), ((1, 2), 3, 90), ((1, 3), 3, 90), ((1, 0), 3, 90), ((1, 0), 2, 70)])
 def test_allocations(spark, how, size, percent):
     def fixed(low, top, nodes, p):
         most = op.difference(top, top, p)
