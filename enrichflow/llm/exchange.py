@@ -1,4 +1,4 @@
-"""Find hashes that several documents share, with about six bytes of shuffle per hash.
+"""Find hashes that several documents share, with about five bytes of shuffle per hash.
 
 A task hands over (hash, document) entries in loads of a few million. Inside a load equal hashes are settled at once and one
 entry per hash is sent on, so a hash that a third of all documents hold costs one entry per load. Entries travel in
@@ -6,7 +6,7 @@ packed rows to the bucket of their hash; the number of buckets grows with the in
 entries and the shortened keys stay selective. What is found goes back, packed again, to the bucket of its document.
 
 Two rules exist. ``shared`` finds the hashes that two or more documents have and errs on the side of reporting one too many
-(a key has 39 bits within its bucket). ``later`` compares whole 64-bit hashes and reports a document's hash if a
+(a key has 31 bits within its bucket). ``later`` compares whole 64-bit hashes and reports a document's hash if a
 smaller document id has it too.
 """
 from __future__ import annotations
@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame, functions as F
 
 SENT = "bucket int, settled boolean, docs binary, counts binary, keys binary"
 FOUND = "doc_id bigint, keys binary"
-LOAD = 1_000_000
-BUCKET_WORDS = 1_500_000
-_CUT = np.uint64(25)
-_LOW = np.uint64((1 << 25) - 1)
+LOAD = 600_000
+BUCKET_WORDS = 1_000_000
+_CUT = np.uint64(33)
+_LOW = np.uint64((1 << 33) - 1)
 _SENT_SCHEMA = pa.schema([("bucket", pa.int32()), ("settled", pa.bool_()), ("docs", pa.binary()), ("counts", pa.binary()),
                           ("keys", pa.binary())])
 
@@ -77,7 +77,7 @@ def _load(hashes: np.ndarray, docs: np.ndarray, flags: np.ndarray, buckets: int,
     if known.any():
         told = hashes[known] if rule == "later" else tags(hashes[known], buckets)
         yield from _packed(_home(docs[known], buckets), docs[known], told, 8, True)
-    yield from _packed(bucket, least, keys, 8 if rule == "later" else 5, False)
+    yield from _packed(bucket, least, keys, 8 if rule == "later" else 4, False)
 
 
 def send(entries: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: int, rule: str) -> Iterator[pa.RecordBatch]:
@@ -139,7 +139,7 @@ def meet(sent: DataFrame, rule: str, buckets: int) -> DataFrame:
 
     def bucket(key, table):
         settled = table["settled"].to_numpy(zero_copy_only=False).astype(bool)
-        docs, keys = _open(table.filter(pa.array(~settled)), 8 if rule == "later" else 5)
+        docs, keys = _open(table.filter(pa.array(~settled)), 8 if rule == "later" else 4)
         rows = []
         if len(docs):
             docs, keys = _met(docs, keys, key[0].as_py(), rule)
