@@ -13,5 +13,5 @@ def folder(spark: SparkSession) -> str:
 def written(frame: DataFrame, path: str | None = None) -> DataFrame:
     """The frame, computed once and stored; it is read back, so a lost executor costs no earlier work."""
     path = path or folder(frame.sparkSession)
-    frame.write.parquet(path)
+    frame.write.option("compression", "zstd").parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
