@@ -53,10 +53,12 @@ RAW_SOURCE_ANSWER = "RAW_PAPER_RETURNED_AS_ANSWER"
 INCOMPLETE_ANSWERS = "INCOMPLETE_QUESTION_ANSWERS"
 DEFERRED_BY_LIMIT = "ANALYSIS_DEFERRED_RUN_LIMIT"
 DEFERRED_BY_CUTOFF = "ANALYSIS_DEFERRED_AUTHORIZATION_CIRCUIT_OPEN"
-SKIPPED_NO_SOURCE_ACCESS = "ANALYSIS_SKIPPED_NO_MCP_CREDENTIALS"
 SKIPPED_NO_MODEL_ACCESS = "ANALYSIS_SKIPPED_NO_LLM_CREDENTIALS"
 INVALID_RUN_ID = "INVALID_RUN_ID"
 
+# --- fixed values: what error texts must not show ---
+SECRET_PATTERN = r"(?i)\b(authorization|bearer|access[_-]?token|token)\b(?:\s*[:=]\s*|\s+)(?:(?:bearer|basic|token)\s+)?[^\s,;]+"
+
 # --- fixed values: texts that mark an authorization failure ---
 AUTH_FAILURE_MARKS = ("http 401", "invalid authorization", "unauthorized")
 
@@ -78,7 +80,6 @@ METRIC_PATH = ("data", "paper_group", "metrics", "public_total_votes")
 MAX_ERROR_DETAIL = 500
 MAX_RECORDS = 10_000
 MAX_QUESTIONS = 10
-DEFAULT_MAX_NEW = 400
 
 # --- fixed values: names of the logs and the report table of a run ---
 ANALYSIS_LOG = "analysis-checkpoint.jsonl"

@@ -18,9 +18,13 @@ from enrichflow.schemas import LINKS, RAW_RECORDS, TEXT
 _ATTRS = (
     r"(?:\s++[^\s\"'<>=/]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'<>=`]++))?+)*+\s*+/?+"
 )
-_TAGS = r"(?:<[A-Za-z/!?](?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>)+"
-_HIDDEN = r"(?s)<!--.*?-->|<((?i:script|style))\b[^>]*>.*?</(?i:\1)\s*>"
-_ODD_BLOCKS = r"<(?i:!--|!\[CDATA\[|(?:script|style|textarea|xmp|plaintext|iframe|noembed|noframes)\b|title[^>]*>[^<]*<(?!/title))"
+# Runs are possessive: a run of many tags is then a loop, where a group that may give back recurses once per tag.
+_TAGS = r"(?:<[A-Za-z/!?](?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>)++"
+# Stands behind the page while hidden blocks are cut: a block that is never closed ends there, so each is scanned once.
+_END = "\u0001"
+_HIDDEN = rf"(?s)<!--.*?(?:-->|{_END})|<((?i:script|style))\b[^>{_END}]*+(?:{_END}|>.*?(?:</(?i:\1)\s*+>|{_END}))"
+_ODD_BLOCKS = r"<(?i:!--|!\[CDATA\[|(?:script|style|textarea|xmp|plaintext|iframe|noembed|noframes)\b|title[^<>]*+(?:<|>[^<]*+<(?!/title)))"
+_OPEN_TAG = r"<[A-Za-z/!?][^<>]*+<"  # a tag that meets the next one before it ends
 _ANCHOR_START = r"(?=<[aA][\s/>])"
 _ODD_ENTITY = r"&(?!(?:amp|lt|gt|quot|apos|nbsp|ndash|mdash|hellip|laquo|raquo|copy|#39|#34|#x27|#160);)#?[A-Za-z0-9]"
 _ENTITIES = (
@@ -66,12 +70,22 @@ def unescape(text: Column) -> Column:
 
 
 def _visible(html: Column) -> Column:
-    return F.regexp_replace(html, _HIDDEN, "<!>")
+    """The page without hidden blocks. The end mark is left unless a block is open or the page holds one itself."""
+    marked = F.concat(F.translate(html, _END, ""), F.lit(_END))
+    return F.when(html.contains(_END), "").otherwise(F.regexp_replace(marked, _HIDDEN, "<!>"))
 
 
-def _odd_blocks(html: Column) -> Column:
-    """Left-over comment starts and raw-text elements: markup the regexes do not follow."""
-    return html.rlike(_ODD_BLOCKS)
+def _odd_blocks(marked: Column) -> Column:
+    """Open or left-over comments, raw-text elements and tags: markup the regexes do not follow."""
+    return ~marked.endswith(_END) | marked.rlike(_ODD_BLOCKS) | marked.rlike(_OPEN_TAG)
+
+
+def _with_seen(pages, html: str, parser: str):
+    """Adds ``_seen``, what the regexes read. With ``parser='auto'`` that is nothing of an odd page, which is parsed anyway."""
+    marked = pages.withColumn("_marked", _visible(F.col(html)))
+    marked = marked.withColumn("_block", _odd_blocks(F.col("_marked")))
+    seen = F.translate("_marked", _END, "")
+    return marked.withColumn("_seen", F.when(F.col("_block"), "").otherwise(seen) if parser == "auto" else seen)
 
 
 def _odd_tags(html: Column, tags: str) -> Column:
@@ -148,9 +162,9 @@ def _class_pattern(css_class: str) -> str:
 def _raw_records(html: Column, shape: RecordShape) -> Column:
     opener = rf"<(?i:{shape.tag})(?=[\s/>])"
     if shape.css_class is not None:
-        opener += rf"(?=[^>]*{_class_pattern(shape.css_class)})"
+        opener += rf"(?=[^<>]*{_class_pattern(shape.css_class)})"
     segments = F.filter(F.split(html, f"(?={opener})"), lambda s: s.rlike(f"^{opener}"))
-    form = rf"(?s)<(?i:form)(?=[^>]*{_class_pattern(shape.form_class)})[^>]*>.*?(?=</(?i:form)|<(?i:form)[\s/>]|$)"
+    form = rf"(?s)<(?i:form)(?=[^<>]*{_class_pattern(shape.form_class)})[^<>]*+>.*?(?=</(?i:form)|<(?i:form)[\s/>]|$)"
 
     def authors(segment: Column) -> Column:
         inputs = F.flatten(
@@ -289,14 +303,14 @@ def with_links(pages, html: str = "html", into: str = "links", parser: str = "au
     parsed = _parser(LINKS, lambda tokens: _token_links(tokens, " "))
     if parser == "stdlib":
         return pages.withColumn(into, parsed(html)).drop(html)
-    raw = pages.withColumn("_seen", _visible(F.col(html))).withColumn("_raw", _anchors(F.col("_seen"), " "))
+    raw = _with_seen(pages, html, parser).withColumn("_raw", _anchors(F.col("_seen"), " "))
     if parser == "auto":
-        odd = _odd_blocks(F.col("_seen")) | _odd_anchors(F.col("_raw"))
+        odd = F.col("_block") | _odd_anchors(F.col("_raw"))
         raw = raw.withColumn("_odd", F.when(odd, F.col(html)))
         links = F.coalesce(parsed("_odd"), _tidy(F.col("_raw")))
     else:
         links = _tidy(F.col("_raw"))
-    return raw.withColumn(into, links).drop(html, "_seen", "_raw", "_odd")
+    return raw.withColumn(into, links).drop(html, "_marked", "_block", "_seen", "_raw", "_odd")
 
 
 def with_records(pages, shape: RecordShape = LISTING, html: str = "html", into: str = "records", parser: str = "auto"):
@@ -304,10 +318,10 @@ def with_records(pages, shape: RecordShape = LISTING, html: str = "html", into:
     parsed = _parser(RAW_RECORDS, lambda tokens: _token_records(tokens, shape))
     if parser == "stdlib":
         return pages.withColumn(into, parsed(html)).drop(html)
-    raw = pages.withColumn("_seen", _visible(F.col(html))).withColumn("_raw", _raw_records(F.col("_seen"), shape))
+    raw = _with_seen(pages, html, parser).withColumn("_raw", _raw_records(F.col("_seen"), shape))
     if parser == "auto":
         odd = (
-            _odd_blocks(F.col("_seen"))
+            F.col("_block")
             | _odd_tags(F.col("_seen"), f"form|input|{shape.tag}")
             | _records_odd(F.col("_raw"))
         )
@@ -315,4 +329,4 @@ def with_records(pages, shape: RecordShape = LISTING, html: str = "html", into:
         records = F.coalesce(parsed("_odd"), _tidy_records(F.col("_raw")))
     else:
         records = _tidy_records(F.col("_raw"))
-    return raw.withColumn(into, records).drop(html, "_seen", "_raw", "_odd")
+    return raw.withColumn(into, records).drop(html, "_marked", "_block", "_seen", "_raw", "_odd")

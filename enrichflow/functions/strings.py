@@ -41,9 +41,29 @@ def squeeze(col: Column) -> Column:
     return F.btrim(F.regexp_replace(col, r"[\s\x1c-\x1f\x85\p{Z}]+", " "), F.lit(" "))
 
 
+def _foldings() -> tuple[dict[str, str], str, str]:
+    """What full case folding does beyond ``lower()``: characters that become several, and single ones (from, to)."""
+    lowered = {chr(i).lower() for i in range(0x110000) if not 0xD800 <= i < 0xE000}
+    folded = {c: c.casefold() for c in sorted(lowered, key=lambda c: (len(c), c)) if len(c) == 1 and c.casefold() != c}
+    one = {c: f for c, f in folded.items() if len(f) == 1}
+    return {c: f for c, f in folded.items() if len(f) > 1}, "".join(one), "".join(one.values())
+
+
+_LONG, _FROM, _TO = _foldings()
+
+
 def fold_case(col: Column) -> Column:
-    """Lower case plus the two common full case foldings that lower() leaves alone."""
-    return F.replace(F.replace(F.lower(col), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    """Full Unicode case folding. Texts without a character that ``lower()`` leaves alone pay one pattern test."""
+    low = F.lower(col)
+
+    def fold(text: Column) -> Column:
+        out = F.translate(text, _FROM, _TO)
+        for char, several in _LONG.items():
+            out = F.replace(out, F.lit(char), F.lit(several))
+        return out
+
+    rare = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in [*_LONG, *_FROM]) + "]"
+    return bind(lambda text: F.when(text.rlike(rare), fold(text)).otherwise(text), text=low)
 
 
 def fold_title(col: Column) -> Column:

@@ -37,7 +37,7 @@ def task_violations() -> Column:
         *_required("title", "detail_url", "pdf_url", "arxiv_url", "conference_day", "paper_key", "arxiv_id"),
         ("BLANK_AUTHOR", blank_item(F.col("authors"))),
         ("BLANK_QUESTION", blank_item(F.col("questions"))),
-        ("QUESTION_COUNT", ~size.between(1, V.MAX_QUESTIONS)),
+        ("QUESTION_COUNT", size < 1),
         ("KEY_MISMATCH", ~F.col("paper_key").eqNullSafe(archive_key(F.col("arxiv_id")))),
     )
 
@@ -95,20 +95,21 @@ def page_violations() -> Column:
     return codes(("HTML_OR_ERROR", F.col("html").isNull() == F.col("error_code").isNull()))
 
 
-def run_input_violations() -> Column:
+def run_input_violations(max_records: int = V.MAX_RECORDS, max_questions: int = V.MAX_QUESTIONS) -> Column:
+    """Rules of a run request; its size bounds are parameters and bind no operator."""
     def outside(name: str, low, high) -> Column:
         return ~F.coalesce(F.col(name).between(low, high), F.lit(False))
 
     return codes(
         ("UNSUPPORTED_YEAR", ~F.coalesce(F.col("year").isin(2025, 2026), F.lit(False))),
         ("LIKES_STRATEGY", ~F.coalesce(F.col("likes_strategy").isin("alphaxiv_api", "shadowbot"), F.lit(False))),
-        ("MAX_PAPERS", outside("max_papers", 0, V.MAX_RECORDS)),
-        ("QUESTION_COUNT", ~F.size("paper_questions").between(1, V.MAX_QUESTIONS)),
+        ("MAX_PAPERS", outside("max_papers", 0, max_records)),
+        ("QUESTION_COUNT", ~F.size("paper_questions").between(1, max_questions)),
         ("BLANK_QUESTION", blank_item(F.col("paper_questions"))),
         ("BLANK_TOPIC", blank_item(F.col("topics"))),
         ("ANALYSIS_CONCURRENCY", outside("analysis_concurrency", 1, 3)),
         ("REQUEST_INTERVAL", outside("analysis_request_interval_seconds", 0, 300)),
-        ("MAX_NEW", outside("max_new_analyses_per_run", 0, V.MAX_RECORDS)),
+        ("MAX_NEW", outside("max_new_analyses_per_run", 0, max_records)),
     )
 
 

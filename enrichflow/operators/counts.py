@@ -37,16 +37,24 @@ def disposition_counts(disposed: DataFrame, *groups: str, names: Sequence[str] =
     return disposed.groupBy(*groups).agg(*(F.count_if(F.col("disposition") == n).alias(n) for n in names))
 
 
-def initial_counts(disposed: DataFrame, *groups: str) -> DataFrame:
-    """discovered, skipped (all reasons together) and selected before any enrichment."""
+def initial_counts(disposed: DataFrame, *groups: str, tasks: DataFrame | None = None) -> DataFrame:
+    """discovered, skipped (all reasons together) and selected before any enrichment.
+
+    A selection with a limit has fewer tasks than selected records; hand over ``tasks``, and they are what counts.
+    """
     per = disposition_counts(disposed, *groups)
     skipped = sum((F.col(n) for n in DISPOSITIONS if n != SELECTED), F.lit(0))
-    return per.select(
+    counted = per.select(
         *groups,
         (skipped + F.col(SELECTED)).cast("bigint").alias("discovered"),
         skipped.cast("bigint").alias("skipped"),
         F.col(SELECTED).alias("selected"),
     )
+    if tasks is None:
+        return counted
+    own = tasks.withColumn("_all", F.lit(0)).groupBy("_all", *groups).agg(F.count("*").alias("_tasks"))
+    met = counted.withColumn("_all", F.lit(0)).join(own, ["_all", *groups], "left")
+    return met.withColumn("selected", F.coalesce("_tasks", F.lit(0)).cast("bigint")).drop("_tasks", "_all")
 
 
 def state_histogram(

@@ -2,7 +2,7 @@
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from enrichflow import fixed_values as V
@@ -10,26 +10,20 @@ from enrichflow.functions.strings import fold_case, is_blank, strip
 from enrichflow.operators.jsonops import strict_path_bigint
 from enrichflow.schemas import ANALYSIS, ANALYSIS_RESULT, TEXT, TEXTS, row
 
-_SECRET = (
-    r"(?i)\b(authorization|bearer|access[_-]?token|token)\b(?:\s*[:=]\s*|\s+)"
-    r"(?:(?:bearer|basic|token)\s+)?[^\s,;]+"
-)
 _ATTEMPT = row(
     paper_key=TEXT, status=TEXT, analysis=ANALYSIS, error_code=TEXT, error_type=TEXT, error_message=TEXT,
     analysis_mode=TEXT, questions=TEXTS,
 )
-_NOT_TRIED = "deferred"
-
-
 def redact(text: Column) -> Column:
     """Replace token-like values, together with a scheme word before them, by ``<redacted>``."""
-    return F.regexp_replace(text, _SECRET, "$1=<redacted>")
+    return F.regexp_replace(text, V.SECRET_PATTERN, "$1=<redacted>")
 
 
-def error_detail(kind: Column, message: Column) -> Column:
-    """``Type: message`` without secrets, cut to the stored length."""
+def error_detail(kind: Column, message: Column, most: int | None = None) -> Column:
+    """``Type: message`` without secrets; whole, unless a stored shape asks for at most ``most`` characters."""
     said = F.when(is_blank(message), F.lit("No error message")).otherwise(strip(message))
-    return F.left(F.concat(kind, F.lit(": "), redact(said)), F.lit(V.MAX_ERROR_DETAIL))
+    detail = F.concat(kind, F.lit(": "), redact(said))
+    return detail if most is None else F.left(detail, F.lit(most))
 
 
 def is_auth_failure(message: Column) -> Column:
@@ -38,35 +32,29 @@ def is_auth_failure(message: Column) -> Column:
     return F.coalesce(hits[0] | hits[1] | hits[2], F.lit(False))
 
 
-def _says_unauthorized(error: Exception) -> bool:
-    said = str(error).casefold()
-    return any(mark in said for mark in V.AUTH_FAILURE_MARKS)
-
-
 def enrich_rows(
     tasks: DataFrame,
     make_function: Callable[[], Callable[[dict], dict]],
     mode: str | None = None,
     partitions: int | None = None,
-    stop_on_auth_failure: bool = True,
 ) -> DataFrame:
     """Call a function once per task and return ANALYSIS_RESULT rows; an exception fails its row only.
 
     ``make_function`` runs once per task partition and returns the callable (build clients there).
     The callable gets the task row as a dict and returns ANALYSIS fields. ``partitions`` bounds the
-    number of concurrent callers. After an authorization failure the rest of that partition is
-    returned as deferred without a call; ``cut_off`` applies the same rule across partitions.
-    Write the result before using it twice: a second action would call the function again.
+    number of concurrent callers. A ``run_id`` column is handed on. Every task is called: the cut-off
+    after an authorization failure is drawn between waves (``flow.analyse``), so it does not depend on
+    how rows lie in partitions. Write the result before using it twice: a second action calls again.
     """
-    arrow_schema = to_arrow_schema(_ATTEMPT)
-    columns = [c for c in tasks.columns if c in ("paper_key", "questions")]
-    if len(columns) != 2:
+    if not {"paper_key", "questions"} <= set(tasks.columns):
         raise ValueError("tasks need paper_key and questions")
+    carried = [tasks.schema["run_id"]] if "run_id" in tasks.columns else []
+    shape = T.StructType([*carried, *_ATTEMPT.fields])
+    arrow_schema = to_arrow_schema(shape)
     empty = {f.name: [] for f in ANALYSIS.fields if f.dataType == TEXTS}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = make_function()
-        closed = False
         for batch in batches:
             rows = []
             for task in batch.to_pylist():
@@ -75,14 +63,11 @@ def enrich_rows(
                     "analysis_mode": mode,
                     "questions": task["questions"],
                 }
-                if closed:
-                    rows.append(out | {"status": V.FAILED, "error_code": V.DEFERRED_BY_CUTOFF, "error_type": _NOT_TRIED})
-                    continue
+                out |= {f.name: task[f.name] for f in carried}
                 try:
                     found = {"paper_key": task["paper_key"], "answer_by_question": {}} | empty | call(task)
                     rows.append(out | {"status": V.SUCCESS, "analysis": found})
                 except Exception as error:
-                    closed = stop_on_auth_failure and _says_unauthorized(error)
                     rows.append(
                         out
                         | {
@@ -95,15 +80,16 @@ def enrich_rows(
             yield pa.RecordBatch.from_pylist(rows, schema=arrow_schema)
 
     source = tasks if partitions is None else tasks.repartition(partitions)
-    attempts = source.mapInArrow(run, _ATTEMPT)
-    tried_and_failed = (F.col("status") == V.FAILED) & (F.col("error_type") != _NOT_TRIED)
-    detail = F.when(tried_and_failed, error_detail(F.col("error_type"), F.col("error_message")))
-    return attempts.withColumn("error_detail", detail).select(*ANALYSIS_RESULT.names)
+    attempts = source.mapInArrow(run, shape)
+    detail = F.when(F.col("status") == V.FAILED, error_detail(F.col("error_type"), F.col("error_message")))
+    return attempts.withColumn("error_detail", detail).select(*(f.name for f in carried), *ANALYSIS_RESULT.names)
 
 
 def unavailable(tasks: DataFrame, code: str, mode: str | None = None) -> DataFrame:
     """FAILED analysis rows for every task when a branch cannot run at all."""
+    carried = [c for c in tasks.columns if c == "run_id"]
     return tasks.select(
+        *carried,
         "paper_key",
         F.lit(V.FAILED).alias("status"),
         F.lit(None).cast(ANALYSIS).alias("analysis"),
@@ -119,12 +105,19 @@ def likes_text(likes: Column) -> Column:
 
 
 def metric_results(tasks: DataFrame, responses: DataFrame) -> DataFrame:
-    """LIKES_RESULT per task from a response table (arxiv_id, http_status, payload), one row per id.
+    """LIKES_RESULT per task from a response table (arxiv_id, http_status, payload).
 
-    404 is NOT_FOUND. No response, another error status or an unusable payload is UNAVAILABLE.
+    404 is NOT_FOUND. No response, another error status or an unusable payload is UNAVAILABLE. Of repeated
+    responses for an id one counts: a usable one before others, then the largest (status, likes).
     """
     likes = strict_path_bigint(F.col("payload"), V.METRIC_PATH)
-    answered = responses.select("arxiv_id", "http_status", likes.alias("likes"))
+    usable = F.col("http_status").between(200, 299) & F.col("likes").isNotNull()
+    answered = (
+        responses.select("arxiv_id", "http_status", likes.alias("likes"))
+        .groupBy("arxiv_id")
+        .agg(F.max(F.struct(F.coalesce(usable, F.lit(False)).alias("usable"), "http_status", "likes")).alias("best"))
+        .select("arxiv_id", "best.http_status", "best.likes")
+    )
     joined = tasks.select(*[c for c in tasks.columns if c in ("paper_key", "arxiv_id", "ord", "run_id")]).join(
         answered, "arxiv_id", "left"
     )

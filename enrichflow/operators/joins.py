@@ -20,29 +20,31 @@ def orphan_keys(df: DataFrame, records: DataFrame, key: str) -> DataFrame:
     return key_counts(df, key, "n").join(records.select(key).distinct(), key, "left_anti")
 
 
-def completeness(records: DataFrame, results: DataFrame, key: str) -> DataFrame:
+def completeness(records: DataFrame, results: DataFrame, *keys: str) -> DataFrame:
     """Keys for which records and results do not match one to one, with both counts."""
-    expected = key_counts(records, key, "expected")
-    found = key_counts(results, key, "found")
-    both = expected.join(found, key, "full_outer").na.fill(0, ["expected", "found"])
+    expected = records.groupBy(*keys).agg(F.count("*").alias("expected"))
+    found = results.groupBy(*keys).agg(F.count("*").alias("found"))
+    both = expected.join(found, list(keys), "full_outer").na.fill(0, ["expected", "found"])
     return both.filter((F.col("expected") != 1) | (F.col("found") != 1))
 
 
-def integrity_report(records: DataFrame, analyses: DataFrame, likes: DataFrame, key: str = "paper_key") -> DataFrame:
-    """Every reason why the three tables may not be joined: (code, key, n).
+def integrity_report(records: DataFrame, analyses: DataFrame, likes: DataFrame, *keys: str) -> DataFrame:
+    """Every reason why the three tables may not be joined: (code, keys, n). The key is ``paper_key`` if none is named.
 
     One keyed aggregate over the union of the three key columns answers uniqueness and orphan
     questions together; identity is checked on a second keyed aggregate of (key, id) pairs.
     """
+    keys = keys or ("paper_key",)
+
     def side(df: DataFrame, name: str) -> DataFrame:
         flags = [F.lit(int(name == other)).cast("bigint").alias(other) for other in ("record", "analysis", "likes")]
-        return df.select(key, *flags)
+        return df.select(*keys, *flags)
 
     tally = (
         side(records, "record")
         .unionByName(side(analyses, "analysis"))
         .unionByName(side(likes, "likes"))
-        .groupBy(key)
+        .groupBy(*keys)
         .agg(F.sum("record").alias("record"), F.sum("analysis").alias("analysis"), F.sum("likes").alias("likes"))
     )
     no_record = F.col("record") == 0
@@ -59,22 +61,22 @@ def integrity_report(records: DataFrame, analyses: DataFrame, likes: DataFrame,
             ),
         )
     )
-    keyed = tally.select(key, F.explode(found).alias("hit")).select("hit.code", key, "hit.n")
+    keyed = tally.select(*keys, F.explode(found).alias("hit")).select("hit.code", *keys, "hit.n")
 
     def ids(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(key, "arxiv_id").agg(F.count("*").alias(name))
+        return df.groupBy(*keys, "arxiv_id").agg(F.count("*").alias(name))
 
     clash = (
         ids(likes, "n")
-        .join(records.select(key, F.col("arxiv_id").alias("own_id")).distinct(), key)
+        .join(records.select(*keys, F.col("arxiv_id").alias("own_id")).distinct(), list(keys))
         .filter(~F.col("arxiv_id").eqNullSafe(F.col("own_id")))
-        .select(F.lit(V.LIKES_MISMATCH).alias("code"), key, "n")
+        .select(F.lit(V.LIKES_MISMATCH).alias("code"), *keys, "n")
     )
     return keyed.unionByName(clash)
 
 
-def require_integrity(records: DataFrame, analyses: DataFrame, likes: DataFrame, key: str = "paper_key") -> None:
-    bad = integrity_report(records, analyses, likes, key).first()
+def require_integrity(records: DataFrame, analyses: DataFrame, likes: DataFrame, *keys: str) -> None:
+    bad = integrity_report(records, analyses, likes, *keys).first()
     if bad:
         raise ValueError(bad["code"])
 
@@ -88,26 +90,32 @@ def outcome(likes_ok: Column, analysis_ok: Column) -> Column:
     )
 
 
+def _shared_keys(*frames: DataFrame) -> list[str]:
+    """``paper_key``, and ``run_id`` where all frames have it: one paper may be in several runs."""
+    return [*(["run_id"] if all("run_id" in f.columns for f in frames) else []), "paper_key"]
+
+
 def join_results(records: DataFrame, analyses: DataFrame, likes: DataFrame, strict: bool = False) -> DataFrame:
     """Records with both branches attached; a branch without a row becomes a FAILED default.
 
     Columns: every non-payload column of ``records`` (such as ``ord`` and ``run_id``), then paper,
     likes, analysis, status, warnings. ``strict`` runs the integrity report first and raises.
     """
+    keys = _shared_keys(records, analyses, likes)
     if strict:
-        require_integrity(records, analyses, likes)
+        require_integrity(records, analyses, likes, *keys)
     payload = [c for c in RECORD_TASK.names if c in records.columns]
     carried = [c for c in records.columns if c not in payload]
     papers = records.select("paper_key", *carried, F.struct(*payload).alias("paper"))
     key = F.col("paper.paper_key")
     found_analysis = analyses.select(
-        "paper_key",
+        *keys,
         F.col("status").alias("_a_status"),
         F.col("error_code").alias("_a_code"),
         "analysis",
     )
-    found_likes = likes.select("paper_key", F.struct(*LIKES_RESULT.names).alias("_likes"))
-    joined = papers.join(found_analysis, "paper_key", "left").join(found_likes, "paper_key", "left")
+    found_likes = likes.select(*keys, F.struct(*LIKES_RESULT.names).alias("_likes"))
+    joined = papers.join(found_analysis, keys, "left").join(found_likes, keys, "left")
     no_likes = F.struct(
         key.alias("paper_key"),
         F.col("paper.arxiv_id").alias("arxiv_id"),
@@ -144,7 +152,7 @@ def resume_analyses(tasks: DataFrame, logged: DataFrame, mode: str) -> DataFrame
     Reusable means SUCCESS, same mode, same questions and (except in report mode) a usable answer.
     ``logged`` holds one row per key.
     """
-    previous = logged.select("paper_key", F.struct(*logged.columns).alias("previous"))
+    previous = logged.select(*_shared_keys(tasks, logged), F.struct(*logged.columns).alias("previous"))
     same = (
         (F.col("previous.status") == V.SUCCESS)
         & F.col("previous.analysis_mode").eqNullSafe(F.lit(mode))
@@ -157,14 +165,14 @@ def resume_analyses(tasks: DataFrame, logged: DataFrame, mode: str) -> DataFrame
 
 def resume_likes(tasks: DataFrame, logged: DataFrame) -> DataFrame:
     """Tasks with ``done``: the latest logged likes are SUCCESS for the same id."""
-    previous = logged.select("paper_key", F.struct(*logged.columns).alias("previous"))
+    previous = logged.select(*_shared_keys(tasks, logged), F.struct(*logged.columns).alias("previous"))
     same = (F.col("previous.status") == V.SUCCESS) & (F.col("previous.arxiv_id") == F.col("arxiv_id"))
     return _resumed(tasks, previous, same)
 
 
 def _resumed(tasks: DataFrame, previous: DataFrame, same: Column) -> DataFrame:
     done = F.coalesce(same, F.lit(False))
-    joined = tasks.join(previous, "paper_key", "left").withColumn("done", done)
+    joined = tasks.join(previous, _shared_keys(tasks, previous), "left").withColumn("done", done)
     return joined.withColumn("previous", F.when(F.col("done"), F.col("previous")))
 
 
@@ -173,15 +181,17 @@ def without_done(tasks: DataFrame, logged: DataFrame, key: str, is_done: Column)
     return tasks.join(logged.filter(is_done).select(key), key, "left_anti")
 
 
-def merge_by_priority(parts: list[DataFrame], inputs: DataFrame, key: str, order: str = "ord") -> DataFrame:
+def merge_by_priority(parts: list[DataFrame], inputs: DataFrame, *keys: str, order: str = "ord") -> DataFrame:
     """One row per input key from the last part that has it; parts go from lowest to highest priority.
 
-    Columns a part lacks become NULL. Rows come back with the input's order column.
+    Columns a part lacks become NULL. Rows come back with the input's order column. The priority of a key is settled
+    first on the key columns alone, so no wide row is sorted or aggregated.
     """
     ranked = [part.withColumn("_priority", F.lit(rank)) for rank, part in enumerate(parts)]
     stacked = ranked[0]
     for part in ranked[1:]:
         stacked = stacked.unionByName(part, allowMissingColumns=True)
-    fields = [c for c in stacked.columns if c not in (key, "_priority", order)]
-    best = stacked.groupBy(key).agg(F.max_by(F.struct(*fields), "_priority").alias("_row"))
-    return inputs.select(key, order).join(best, key).select(key, order, "_row.*")
+    fields = [c for c in stacked.columns if c not in (*keys, "_priority", order)]
+    best = stacked.groupBy(*keys).agg(F.max("_priority").alias("_priority"))
+    rows = stacked.join(best, [*keys, "_priority"]).select(*keys, *fields)
+    return inputs.select(*keys, order).join(rows, list(keys)).select(*keys, order, *fields)

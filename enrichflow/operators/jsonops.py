@@ -1,5 +1,6 @@
 """JSON columns: encode, decode, strict metric extraction, schema profile."""
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -65,6 +66,11 @@ def decode_json(df: DataFrame, column: str, into: str = "value") -> DataFrame:
 _PROFILE = T.ArrayType(row(path=TEXT, type=TEXT))
 
 
+def _name(key: str) -> str:
+    """A key as a piece of a path, quoted unless it is a plain word."""
+    return key if re.fullmatch("[A-Za-z0-9_]+", key) else json.dumps(key, ensure_ascii=False)
+
+
 @F.pandas_udf(_PROFILE)
 def _nested_types(texts: pd.Series) -> pd.Series:
     """(path, type) of everything inside one JSON container; array items are at ``[]``."""
@@ -73,7 +79,7 @@ def _nested_types(texts: pd.Series) -> pd.Series:
         if isinstance(value, dict):
             yield path, "object"
             for key, item in value.items():
-                yield from walk(item, f"{path}.{key}")
+                yield from walk(item, f"{path}.{_name(key)}")
         elif isinstance(value, list):
             yield path, "array"
             for item in value:
@@ -100,24 +106,35 @@ def _scalar_type(kind: Column) -> Column:
     )
 
 
+def _quoted(key: Column) -> Column:
+    listed = F.to_json(F.array(key))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
 def json_profile(df: DataFrame, column: str, *groups: str) -> DataFrame:
-    """(path, type, n) over a JSON object column: how many rows have this type at this path.
+    """(path, type, n) over a JSON column: how many values have this type at this path, ``$`` being the whole.
 
-    Several types at one path stand for a union; an empty array has string items. Top-level scalars
-    are typed in the JVM, only nested containers visit Python.
+    Several types at one path stand for a union; an empty array has string items. Keys that are no plain words are
+    quoted, so ``"c.d"`` and ``c`` with ``d`` inside differ. Root values and the scalars below them are typed in the JVM,
+    only nested containers visit Python.
     """
     parsed = df.select(*groups, F.try_parse_json(column).alias("_v")).filter(F.col("_v").isNotNull())
     spark = df.sparkSession
+    whole = F.schema_of_variant("_v")
+    kind = F.when(whole.startswith("OBJECT"), "object").when(whole.startswith("ARRAY"), "array").otherwise(_scalar_type(whole))
+    roots = parsed.select(*groups, F.lit("$").alias("path"), kind.alias("type")).groupBy(*groups, "path", "type").agg(F.count("*").alias("n"))
     entries = parsed.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer())).select(
         *groups, "key", "value", F.schema_of_variant("value").alias("_kind")
     )
     nested = F.col("_kind").rlike("^(OBJECT|ARRAY)")
-    root = F.concat(F.lit("$"), F.coalesce(F.concat(F.lit("."), F.col("key")), F.lit("[]")))
+    key = F.when(F.col("key").rlike("^[A-Za-z0-9_]+$"), F.col("key")).otherwise(_quoted(F.col("key")))
+    root = F.concat(F.lit("$"), F.coalesce(F.concat(F.lit("."), key), F.lit("[]")))
     scalar = F.array(F.struct(F.lit("").alias("path"), _scalar_type(F.col("_kind")).alias("type")))
     inside = _nested_types(F.when(nested, F.to_json("value")))
-    return (
+    below = (
         entries.select(*groups, root.alias("root"), F.coalesce(inside, scalar).alias("found"))
         .select(*groups, "root", F.explode("found").alias("f"))
         .groupBy(*groups, F.concat("root", "f.path").alias("path"), F.col("f.type").alias("type"))
         .agg(F.count("*").alias("n"))
     )
+    return roots.unionByName(below)

@@ -77,9 +77,10 @@ def interim_reports(tasks: DataFrame, analyses: DataFrame) -> DataFrame:
     payload = F.struct("title", "arxiv_id", "questions")
     carried = [c for c in tasks.columns if c in ("run_id", "ord")]
     papers = tasks.select("paper_key", *carried, payload.alias("paper"))
-    found = analyses.select("paper_key", "analysis", "error_code")
+    keys = [c for c in ("run_id", "paper_key") if c in tasks.columns and c in analyses.columns]
+    found = analyses.select(*keys, "analysis", "error_code")
     body = interim_report(F.col("paper"), F.col("analysis"), F.col("error_code"))
-    return papers.join(found, "paper_key").select(
+    return papers.join(found, keys).select(
         *carried, "paper_key", report_name(F.col("paper.arxiv_id")).alias("file_name"), body.alias("body")
     )
 

@@ -31,12 +31,13 @@ def waterfall(reasons: Sequence[tuple[str, Column]], otherwise: str) -> Column:
 
 
 def check_selection(topics: Sequence[str], questions: Sequence[str], max_records: int) -> None:
-    if not 0 <= max_records <= V.MAX_RECORDS:
-        raise ValueError(f"max_papers must be between 0 and {V.MAX_RECORDS}")
+    """Shape of a selection; how large one may be is a rule of the run input (``contracts.run_input_violations``)."""
+    if max_records < 0:
+        raise ValueError("max_papers must not be negative")
     if any(not t.strip() for t in topics):
         raise ValueError("topics must not contain blank values")
-    if not 1 <= len(questions) <= V.MAX_QUESTIONS or any(not q.strip() for q in questions):
-        raise ValueError(f"questions must contain 1 to {V.MAX_QUESTIONS} non-blank values")
+    if not questions or any(not q.strip() for q in questions):
+        raise ValueError("questions must contain non-blank values")
 
 
 def dispose(seeds: DataFrame, topics: Sequence[str] = (), ids: IdShape = ARCHIVE) -> DataFrame:
@@ -109,6 +110,7 @@ def cap_new(remaining: DataFrame, limit: int, run: str = "run_id", order: str =
 def deferred(rows: DataFrame, code: str = V.DEFERRED_BY_LIMIT, mode: str | None = None) -> DataFrame:
     """FAILED analysis rows for tasks that were not started; they are reported, never logged."""
     return rows.select(
+        *(c for c in rows.columns if c == "run_id"),
         "paper_key",
         F.lit(V.FAILED).alias("status"),
         F.lit(code).alias("error_code"),

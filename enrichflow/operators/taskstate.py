@@ -60,8 +60,9 @@ def insert_counts(inserts: DataFrame, *groups: str) -> DataFrame:
 
 
 def pending_rows(inserts: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Rows to add to the task table; a conflict anywhere in the batch makes the caller add none."""
-    return inserts.filter("inserted > 0").select(
+    """Rows to add to the task table: none if any offer of the batch conflicts with a stored or earlier identity."""
+    clash = inserts.filter("conflicts > 0").select(F.lit(0).alias("_batch")).limit(1)
+    return inserts.filter("inserted > 0").withColumn("_batch", F.lit(0)).join(clash, "_batch", "left_anti").select(
         *keys, *IDENTITY, "seq", F.lit("PENDING").alias("state"), F.lit(0).alias("attempts")
     )
 

@@ -3,6 +3,7 @@
 Everything up to enrichment is one lazy plan. Enrichment output is appended to its log and read
 back, because a second action over it would repeat its side effects.
 """
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
@@ -10,9 +11,10 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from enrichflow import fixed_values as V
-from enrichflow.operators import contracts, counts, enrich, extract, joins, keyed, reports, selection
-from enrichflow.schemas import ANALYSIS_RESULT, LIKES_RESULT
+from enrichflow.operators import contracts, counts, enrich, extract, joins, keyed, reports, selection, texts
+from enrichflow.schemas import ANALYSIS_RESULT, LIKES_RESULT, RECORD_TASK
 from enrichflow.sources import logs, snapshots
+from enrichflow.sources.scratch import written
 
 
 @dataclass(frozen=True)
@@ -52,61 +54,98 @@ class Branch:
     fresh: DataFrame
 
 
+RUN_KEY = ("run_id", "paper_key")
+
+
+def _latest(log: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Last logged row of each task by run and paper; a line without a run counts for every run that has its paper."""
+    wanted = tasks.select(*RUN_KEY).distinct()
+    mine = log.withColumnRenamed("run_id", "_run").join(wanted, "paper_key")
+    mine = mine.filter(F.col("_run").isNull() | (F.col("_run") == F.col("run_id"))).drop("_run", "attempt")
+    return logs.latest_logged(mine, *RUN_KEY)
+
+
 def analyse(
     tasks: DataFrame,
     log_path: str,
     make_function: Callable[[], Callable[[dict], dict]] | None,
     mode: str,
-    max_new: int = V.DEFAULT_MAX_NEW,
+    max_new: int = 0,
     partitions: int | None = None,
     stop_on_auth_failure: bool = True,
+    wave: int = 10_000,
+    reports_path: str | None = None,
 ) -> Branch:
-    """Analysis branch: resume from the log, cap, call, append, merge. ``tasks`` need run_id and ord.
-
-    Deferred rows are returned but not logged, so they are tried again in the next run. Without a
-    function the remaining tasks fail as skipped, also unlogged.
+    """Analysis branch: resume from the log, call in waves, append each wave, merge. ``tasks`` need run_id and ord.
+
+    A wave is the next ``wave`` tasks of each run in order. It is logged (and its interim reports and question-answer
+    rows written under ``reports_path``) before the next one starts, so a failure keeps all finished waves and the next
+    call goes on from there. A run with an authorization failure in a wave starts no further one; which rows that
+    defers depends on the order alone. ``max_new`` above 0 caps the new calls of a run. Deferred rows are returned
+    but not logged, so they are tried again in the next run. Without a function the remaining tasks fail as
+    skipped, also unlogged.
     """
     spark = tasks.sparkSession
-    logged = logs.latest_logged(
-        logs.read_log(spark, log_path, ANALYSIS_RESULT, contracts.analysis_violations())
-    )
-    resumed = joins.resume_analyses(tasks, logged, mode)
+    logged = logs.read_log(spark, log_path, ANALYSIS_RESULT, contracts.analysis_violations())
+    resumed = joins.resume_analyses(tasks, _latest(logged, tasks), mode)
     done = _previous(resumed)
     remaining = resumed.filter(~F.col("done")).drop("done", "previous")
     if make_function is None:
         skipped = enrich.unavailable(remaining, V.SKIPPED_NO_MODEL_ACCESS, mode)
-        return Branch(results=joins.merge_by_priority([done, skipped], tasks, "paper_key"), fresh=skipped)
-    capped = selection.cap_new(remaining, max_new)
+        return Branch(results=joins.merge_by_priority([done, skipped], tasks, *RUN_KEY), fresh=skipped)
+    capped = written(selection.cap_new(remaining, max_new))
+    done = written(done)
     scheduled = capped.filter("scheduled").drop("scheduled")
-    attempts = enrich.enrich_rows(scheduled, make_function, mode, partitions, stop_on_auth_failure)
-    not_tried = F.col("error_code").eqNullSafe(F.lit(V.DEFERRED_BY_CUTOFF))
-    logs.append_log(attempts.filter(~not_tried), log_path)
-    fresh = of_tasks(logs.latest_logged(logs.read_log(spark, log_path, ANALYSIS_RESULT)), scheduled)
+    attempt, rest = uuid.uuid4().hex, scheduled
+    while True:
+        ends = written(keyed.first_n_cutoff(rest, ["run_id"], "ord", wave))
+        if ends.first() is None:
+            break
+        now = rest.join(ends, "run_id").filter(F.col("ord") <= F.col("cutoff")).drop("cutoff")
+        attempts = written(enrich.enrich_rows(now, make_function, mode, partitions))
+        logs.append_log(attempts, log_path, attempt)
+        if reports_path is not None:
+            _write_wave(now, attempts, reports_path)
+        rest = rest.join(ends, "run_id").filter(F.col("ord") > F.col("cutoff")).drop("cutoff")
+        if stop_on_auth_failure:
+            closed = attempts.filter(enrich.is_auth_failure(F.col("error_detail"))).select("run_id").distinct()
+            rest = rest.join(written(closed), "run_id", "left_anti")
+        rest = written(rest)
+    tried = logs.read_log(spark, log_path, ANALYSIS_RESULT).filter(F.col("attempt") == attempt)
+    fresh = _latest(tried, scheduled)
     late = selection.deferred(capped.filter(~F.col("scheduled")), V.DEFERRED_BY_LIMIT, mode)
-    closed = selection.deferred(
-        scheduled.join(fresh.select("paper_key"), "paper_key", "left_anti"), V.DEFERRED_BY_CUTOFF, mode
-    )
-    merged = joins.merge_by_priority([done, fresh, closed, late], tasks, "paper_key")
+    closed = selection.deferred(scheduled.join(fresh.select(*RUN_KEY), list(RUN_KEY), "left_anti"), V.DEFERRED_BY_CUTOFF, mode)
+    merged = joins.merge_by_priority([done, fresh, closed, late], tasks, *RUN_KEY)
     return Branch(results=merged, fresh=fresh)
 
 
-def _previous(resumed: DataFrame) -> DataFrame:
-    return resumed.filter("done").select("previous.*")
+def _write_wave(tasks: DataFrame, attempts: DataFrame, path: str) -> None:
+    """Interim reports and question-answer rows of the tasks of a wave."""
+    interim = reports.interim_reports(tasks, attempts)
+    paper = F.struct(*(c for c in RECORD_TASK.names if c in tasks.columns)).alias("paper")
+    found = tasks.select("run_id", "paper_key", "ord", paper).join(attempts.select(*RUN_KEY, "analysis"), list(RUN_KEY))
+    interim.write.mode("append").parquet(f"{path}/interim-reports")
+    texts.qa_records(found).write.mode("append").parquet(f"{path}/qa-log")
 
 
-def of_tasks(rows: DataFrame, tasks: DataFrame) -> DataFrame:
-    return rows.join(tasks.select("paper_key"), "paper_key", "left_semi")
+def _previous(resumed: DataFrame) -> DataFrame:
+    return resumed.filter("done").select("previous.*")
 
 
 def collect_likes(tasks: DataFrame, log_path: str, responses: DataFrame) -> Branch:
-    """Metric branch over a response table: resume from the log, evaluate, append, merge."""
+    """Metric branch over a response table: resume from the log, evaluate, check, append, merge."""
     spark = tasks.sparkSession
-    logged = logs.latest_logged(logs.read_log(spark, log_path, LIKES_RESULT, contracts.likes_violations()))
-    resumed = joins.resume_likes(tasks, logged)
+    logged = logs.read_log(spark, log_path, LIKES_RESULT, contracts.likes_violations())
+    resumed = joins.resume_likes(tasks, _latest(logged, tasks))
     remaining = resumed.filter(~F.col("done")).drop("done", "previous")
-    fresh = enrich.metric_results(remaining, responses).select(*LIKES_RESULT.names)
-    logs.append_log(fresh, log_path)
-    merged = joins.merge_by_priority([_previous(resumed), fresh], tasks, "paper_key")
+    found = written(enrich.metric_results(remaining, responses).select("run_id", *LIKES_RESULT.names))
+    if joins.completeness(remaining, found, *RUN_KEY).first() is not None:
+        raise ValueError(V.LIKES_MISMATCH)
+    done = written(_previous(resumed))
+    attempt = logs.append_log(found, log_path)
+    tried = logs.read_log(spark, log_path, LIKES_RESULT).filter(F.col("attempt") == attempt)
+    fresh = _latest(tried, tasks)
+    merged = joins.merge_by_priority([done, fresh], tasks, *RUN_KEY)
     return Branch(results=merged, fresh=fresh)
 
 
@@ -129,16 +168,9 @@ def persist_results(
     """
     contracts.require_run_ids(tasks)
     if analyses is None:
-        analyses = of_tasks(
-            logs.latest_logged(
-                logs.read_log(spark, analysis_log, ANALYSIS_RESULT, contracts.analysis_violations())
-            ),
-            tasks,
-        )
+        analyses = _latest(logs.read_log(spark, analysis_log, ANALYSIS_RESULT, contracts.analysis_violations()), tasks)
     if likes is None:
-        likes = of_tasks(
-            logs.latest_logged(logs.read_log(spark, likes_log, LIKES_RESULT, contracts.likes_violations())), tasks
-        )
+        likes = _latest(logs.read_log(spark, likes_log, LIKES_RESULT, contracts.likes_violations()), tasks)
     analyses = snapshots.settle(analyses, snapshots.version_path(root, "latest-analyses", version))
     likes = snapshots.settle(likes, snapshots.version_path(root, "latest-likes", version))
     joined = joins.join_results(tasks, analyses, likes, strict=True)

@@ -92,15 +92,12 @@ def q_auth_cutoff(spark, sf_dir):
     return enrich.cut_off(attempts).select(F.col("ord").alias("event_id"), "deferred")
 
 
-_SECRET_SQL = (
-    r"(?i)\b(authorization|bearer|access[_-]?token|token)\b(?:\s*[:=]\s*|\s+)(?:(?:bearer|basic|token)\s+)?[^\s,;]+"
-)
-
-
 @query(
     f"""
-SELECT doc_id, md5(clean) AS clean, clean <> text AS changed, left('Error: ' || trim(clean, chr(10) || chr(9) || ' '), 500) AS detail
-FROM (SELECT doc_id, text, regexp_replace(text, '{_SECRET_SQL}', '\\1=<redacted>', 'g') AS clean FROM documents)"""
+SELECT doc_id, md5(clean) AS clean, clean <> text AS changed, md5(detail) AS detail,
+       left(detail, 500) AS short_detail
+FROM (SELECT *, 'Error: ' || trim(clean, chr(10) || chr(9) || ' ') AS detail FROM (
+  SELECT doc_id, text, regexp_replace(text, '{V.SECRET_PATTERN}', '\\1=<redacted>', 'g') AS clean FROM documents))"""
 )
 def q_redact(spark, sf_dir):
     text = F.col("text")
@@ -111,7 +108,8 @@ def q_redact(spark, sf_dir):
             "doc_id",
             F.md5("clean").alias("clean"),
             (F.col("clean") != text).alias("changed"),
-            enrich.error_detail(F.lit("Error"), text).alias("detail"),
+            F.md5(enrich.error_detail(F.lit("Error"), text)).alias("detail"),
+            enrich.error_detail(F.lit("Error"), text, V.MAX_ERROR_DETAIL).alias("short_detail"),
         )
     )
 
@@ -188,11 +186,11 @@ WITH k AS (SELECT conv_id, min(turn) FILTER (role = 'assistant') AS a, min(turn)
 SELECT k.conv_id, coalesce(x.text, y.text) AS text, CASE WHEN x.text IS NOT NULL THEN 'primary'
        WHEN y.text IS NOT NULL THEN 'fallback' END AS source,
        CASE WHEN coalesce(x.text, y.text) IS NULL THEN 'ALPHAXIV_EVIDENCE_UNAVAILABLE' END AS error_code
-FROM k LEFT JOIN conversations x ON k.conv_id = x.conv_id AND x.turn = k.a AND x.turn < 2
+FROM k LEFT JOIN conversations x ON k.conv_id = x.conv_id AND x.turn = k.a
        LEFT JOIN conversations y ON k.conv_id = y.conv_id AND y.turn = k.u"""
 )
 def q_fallback(spark, sf_dir):
-    """First assistant turn if it is among the first two turns, else the first user turn."""
+    """First assistant turn, else the first user turn."""
     turns = text_table(spark, sf_dir, "conversations")
 
     def first(role: str):
@@ -203,7 +201,7 @@ def q_fallback(spark, sf_dir):
         )
 
     keys = turns.select("conv_id").distinct()
-    return enrich.with_fallback(keys, first("assistant").filter("turn < 2"), first("user"), "conv_id", "text")
+    return enrich.with_fallback(keys, first("assistant"), first("user"), "conv_id", "text")
 
 
 _WORDS = "[A-Z][a-z]+tion[a-z]*"
@@ -231,17 +229,18 @@ def q_projection(spark, sf_dir):
 
 
 @query(
-    """
-SELECT conv_id, turn, CAST(length(list) AS INTEGER) AS questions, md5(array_to_string([i || '. ' || x FOR x, i IN list], chr(10))) AS numbered
-FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS list FROM conversations WHERE role = 'user')"""
+    f"""
+SELECT conv_id, turn, CAST(length(list) AS INTEGER) AS questions,
+       md5('{texts.ANSWERS_TASK}' || chr(10) || chr(10) || 'Title: ' || role || chr(10) || 'arXiv: ' || conv_id || chr(10) || chr(10)
+           || 'Questions:' || chr(10) || array_to_string([i || '. ' || x FOR x, i IN list], chr(10)) || chr(10) || chr(10)
+           || 'Report:' || chr(10) || text || chr(10)) AS prompt
+FROM (SELECT *, string_split(text, chr(10)) AS list FROM conversations)"""
 )
 def q_prompts(spark, sf_dir):
-    """Prompt per user turn, its lines being the questions; the numbered block is compared."""
-    turns = text_table(spark, sf_dir, "conversations").filter("role = 'user'")
-    asked = turns.select("conv_id", "turn", F.split("text", "\n").alias("questions"))
-    prompt = texts.answers_prompt(F.lit("T"), F.lit("1"), F.col("questions"), F.lit("R"))
-    block = F.substring_index(F.substring_index(prompt, "\n\nQuestions:\n", -1), "\n\nReport:\n", 1)
-    return asked.select("conv_id", "turn", F.size("questions").alias("questions"), F.md5(block).alias("numbered"))
+    """Prompt per turn: its lines are the questions, the whole text is the report."""
+    asked = text_table(spark, sf_dir, "conversations").withColumn("questions", F.split("text", "\n"))
+    prompt = texts.answers_prompt(F.col("role"), F.col("conv_id").cast("string"), F.col("questions"), F.col("text"))
+    return asked.select("conv_id", "turn", F.size("questions").alias("questions"), F.md5(prompt).alias("prompt"))
 
 
 @query(
@@ -329,6 +328,7 @@ WITH t AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1),
 a AS (SELECT sum(n) AS n FROM t)
 SELECT path, type, CAST(n AS BIGINT) AS n FROM (
   SELECT '$.k' AS path, 'integer' AS type, n FROM a
+  UNION ALL SELECT '$', 'object', n FROM a
   UNION ALL SELECT '$.value', 'number', n FROM t WHERE event_type = 'view'
   UNION ALL SELECT '$.value', 'string', n FROM t WHERE event_type = 'click'
   UNION ALL SELECT '$.value', 'array', n FROM t WHERE event_type = 'purchase'

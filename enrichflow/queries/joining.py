@@ -70,18 +70,23 @@ def q_run_counts(spark, sf_dir):
 
 
 _SIDES_SQL = """
-orders_k AS (SELECT o_orderkey AS k, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1),
-lines_k AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem WHERE l_linenumber = 1 GROUP BY 1),
-likes_k AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem WHERE l_linenumber = 2 GROUP BY 1)"""
+orders_k AS (SELECT o_orderkey AS k, count(*) AS n FROM orders GROUP BY 1),
+lines_k AS (SELECT CASE WHEN l_suppkey % 7 = 0 THEN -l_orderkey ELSE l_orderkey END AS k, count(*) AS n FROM lineitem
+            WHERE l_linenumber % 2 = 1 GROUP BY 1),
+likes_k AS (SELECT CASE WHEN l_suppkey % 7 = 0 THEN -l_orderkey ELSE l_orderkey END AS k, count(*) AS n FROM lineitem
+            WHERE l_linenumber % 2 = 0 GROUP BY 1)"""
 
 
 def _order_sides(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'")
+    """Orders, and their odd and even lines as the two branches; lines of every seventh supplier have a key of no order."""
+    orders = table(spark, sf_dir, "orders")
     records = orders.select(F.col("o_orderkey").alias("paper_key"), F.col("o_orderstatus").alias("arxiv_id"))
     lines = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("paper_key"), F.col("l_linestatus").alias("arxiv_id"), "l_linenumber"
+        F.when(F.col("l_suppkey") % 7 == 0, -F.col("l_orderkey")).otherwise(F.col("l_orderkey")).alias("paper_key"),
+        F.col("l_linestatus").alias("arxiv_id"),
+        "l_linenumber",
     )
-    return records, lines.filter("l_linenumber = 1"), lines.filter("l_linenumber = 2")
+    return records, lines.filter("l_linenumber % 2 = 1"), lines.filter("l_linenumber % 2 = 0")
 
 
 @query(
@@ -92,7 +97,7 @@ UNION ALL
 SELECT 'LIKES_RESULT_MISMATCH', k, n FROM likes_k WHERE n > 1 OR k NOT IN (SELECT k FROM orders_k)
 UNION ALL
 SELECT 'LIKES_RESULT_MISMATCH', l_orderkey, count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-WHERE l_linenumber = 2 AND o_orderstatus <> 'P' AND l_linestatus <> o_orderstatus GROUP BY l_orderkey, l_linestatus"""
+WHERE l_linenumber % 2 = 0 AND l_suppkey % 7 <> 0 AND l_linestatus <> o_orderstatus GROUP BY l_orderkey, l_linestatus"""
 )
 def q_join_integrity(spark, sf_dir):
     return joins.integrity_report(*_order_sides(spark, sf_dir))
@@ -179,8 +184,8 @@ def q_resume_analyses(spark, sf_dir):
     """
 SELECT user_id, event_id, event_type FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY
-    CASE event_type WHEN 'error' THEN 3 WHEN 'click' THEN 2 ELSE 1 END DESC, event_id DESC) AS n
-  FROM events WHERE event_type IN ('error', 'click', 'purchase')) WHERE n = 1"""
+    CASE event_type WHEN 'error' THEN 5 WHEN 'click' THEN 4 WHEN 'purchase' THEN 3 WHEN 'view' THEN 2 ELSE 1 END DESC,
+    event_id DESC) AS n FROM events) WHERE n = 1"""
 )
 def q_priority_merge(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
@@ -189,7 +194,8 @@ def q_priority_merge(spark, sf_dir):
         return keyed.last_per_key(events.filter(F.col("event_type") == kind), ["user_id"], ["event_id"])
 
     users = events.groupBy("user_id").agg(F.min("event_id").alias("ord"))
-    merged = joins.merge_by_priority([part("purchase"), part("click"), part("error")], users, "user_id")
+    parts = [part(kind) for kind in ("signup", "view", "purchase", "click", "error")]
+    merged = joins.merge_by_priority(parts, users, "user_id")
     return merged.select("user_id", "event_id", "event_type")
 
 

@@ -9,9 +9,10 @@ from enrichflow.plans import flow
 from enrichflow.queries import tables
 from enrichflow.queries.joining import CUT, JOINED_SQL, PROTECTED_SQL, event_rows, joined
 from enrichflow.queries.registry import query
-from enrichflow.queries.tables import QUESTIONS, prop_number, table, work_dir
+from enrichflow.queries.tables import QUESTIONS, prop_number, table
 from enrichflow.schemas import LIKES_RESULT
 from enrichflow.sources import logs, snapshots
+from enrichflow.sources.scratch import folder
 from enrichflow.streaming import latest
 
 LOG_SQL = """
@@ -134,7 +135,7 @@ def q_task_states(spark, sf_dir):
     return taskstate.run_states(folded(spark, sf_dir))
 
 
-_HEAD = "'# ' || string_split(text, chr(10))[1] || chr(10) || chr(10) || '- arXiv: ' || doc_id || chr(10) || '- Status: ' || "
+_HEAD = "'# ' || text || chr(10) || chr(10) || '- arXiv: ' || doc_id || chr(10) || '- Status: ' || "
 _BODY = (
     "chr(10) || chr(10) || '## Questions' || chr(10) || chr(10) || '1. What is new?' || chr(10) || '2. What is missing?' "
     "|| chr(10) || chr(10) || '## Answers' || chr(10) || chr(10) || coalesce(answer, 'Unavailable') || chr(10)"
@@ -186,7 +187,10 @@ def manifest(spark, sf_dir):
         "disposition", F.when(F.col("has"), selection.SELECTED).otherwise(selection.INVALID_LINK)
     ).withColumn("position", F.lit(0))
     rejected = selection.rejected_links(disposed, "run_id")
-    failures = tasks.limit(0).select("run_id", F.lit(0).alias("position"), F.lit("").alias("error_code"))
+    toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select(tables.document_key().alias("paper_key"))
+    failures = tasks.join(toxic, "paper_key").select(
+        "run_id", F.lit(0).alias("position"), F.lit(V.PAGE_UNAVAILABLE).alias("error_code")
+    )
     return results, reports.manifest_rows(
         results,
         counts.initial_counts(disposed, "run_id"),
@@ -199,12 +203,14 @@ def manifest(spark, sf_dir):
 
 @query(
     "WITH" + JOINED_SQL + """,
-first AS (SELECT source, count(*) AS discovered, count(*) FILTER (l_code = 'MISSING_LIKES_RESULT') AS skipped FROM results GROUP BY 1)
+first AS (SELECT source, count(*) AS discovered, count(*) FILTER (l_code = 'MISSING_LIKES_RESULT') AS skipped FROM results GROUP BY 1),
+lost AS (SELECT source, count(*) AS lost FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 GROUP BY 1)
 SELECT source AS run_id, run_status AS status, 2026 AS year, TIMESTAMP '2026-01-01 00:00:00' AS started_at,
        TIMESTAMP '2026-01-02 00:00:00' AS finished_at, discovered, skipped, discovered - skipped AS selected_at_start, selected,
        likes_success, likes_failed, analysis_success, analysis_failed, completed, partial, failed,
-       CASE WHEN skipped > 0 THEN '1 INVALID_ARXIV_URL ' || skipped END AS warnings
-FROM runs JOIN first USING (source)"""
+       coalesce(concat_ws('; ', '0 DAY_PAGE_UNAVAILABLE ' || lost, CASE WHEN skipped > 0 THEN '1 INVALID_ARXIV_URL ' || skipped END), '')
+         AS warnings
+FROM runs JOIN first USING (source) LEFT JOIN lost USING (source)"""
 )
 def q_manifest(spark, sf_dir):
     _, rows = manifest(spark, sf_dir)
@@ -243,7 +249,7 @@ SELECT source AS run_id, paper_key, status, likes, warnings, md5({_FINAL}) AS bo
 )
 def q_persist_roundtrip(spark, sf_dir):
     """Branches appended to logs (with repeats), read back, joined, stored, stored again over the first version."""
-    root = work_dir(spark)
+    root = folder(spark)
     tasks = tables.record_tasks(spark, sf_dir).withColumns(
         {
             "conference": F.lit("CVPR"),
@@ -299,7 +305,7 @@ def replayed(rows, order: str, path: str) -> str:
 
 @query(PROTECTED_SQL)
 def q_stream_latest(spark, sf_dir):
-    root = work_dir(spark)
+    root = folder(spark)
     rows = event_rows(spark, sf_dir)
     stream = latest.file_stream(spark, replayed(rows, "event_id", f"{root}/in"), rows.schema)
     updates = latest.stream_latest(stream, ["user_id"], ["event_id"])
@@ -310,7 +316,7 @@ def q_stream_latest(spark, sf_dir):
 
 
 def streamed_steps(spark, sf_dir):
-    root = work_dir(spark)
+    root = folder(spark)
     rows = tables.task_events(spark, sf_dir)
     stream = latest.file_stream(spark, replayed(rows, "seq", f"{root}/in"), rows.schema)
     latest.start_sink(latest.stream_task_steps(stream), f"{root}/out", f"{root}/state").awaitTermination()
@@ -325,19 +331,19 @@ def q_stream_state(spark, sf_dir):
 @query(
     "WITH" + JOINED_SQL + f"""
 SELECT paper_key, doc_id || '.md' AS file_name,
-       md5(CASE WHEN doc_id % 3 = 0 THEN {_INTERIM} ELSE {_FINAL} END) AS body
+       md5({_FINAL}) AS body
 FROM results WHERE a_code IS NULL OR a_code <> 'MISSING_ANALYSIS_RESULT'"""
 )
 def q_stream_report(spark, sf_dir):
-    """Analyses stream in first, likes later; likes of every third document never arrive."""
-    root = work_dir(spark)
+    """Analyses stream in first, likes later."""
+    root = folder(spark)
     analyses, found = tables.analyses(spark, sf_dir), tables.likes(spark, sf_dir)
     likes = F.struct(*LIKES_RESULT.names)
     rows = (
         analyses.select("paper_key", F.lit(0).cast("bigint").alias("seq"),
                         F.struct("status", "analysis", "error_code").alias("analysis_result"))
         .unionByName(
-            found.filter(F.col("arxiv_id").cast("bigint") % 3 != 0).select(
+            found.select(
                 "paper_key", F.lit(1).cast("bigint").alias("seq"), likes.alias("likes_result")
             ),
             allowMissingColumns=True,

@@ -1,13 +1,9 @@
 """The test tables read as the record, result, block and event tables the operators work on."""
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from enrichflow import fixed_values as V
 from enrichflow.functions.strings import archive_key
 from enrichflow.operators import enrich, texts
-from enrichflow.sources.scans import spread
 
 QUESTIONS = ("What is new?", "What is missing?")
 
@@ -17,18 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table for heavy per-row text work, spread over all cores if its files are fewer."""
-    return spread(table(spark, sf_dir, name))
-
+    """A table for heavy per-row text work.
 
-def work_dir(spark: SparkSession) -> str:
-    """A fresh folder in the shared folder of the cluster, or in a temporary one for local runs."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="enrichflow-")
-    return f"{shared}/enrichflow-{uuid.uuid4().hex}"
+    A session that asks for a least number of file partitions (the tests and the bench do, as each of their tables is
+    one small file that Spark cannot split) gets the rows dealt out to as many.
+    """
+    least = spark.conf.get("spark.sql.files.minPartitionNum", None)
+    rows = table(spark, sf_dir, name)
+    return rows.repartition(int(least)) if least else rows
 
 
 def document_key() -> Column:
@@ -43,7 +35,7 @@ def record_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("ord"),
         document_key().alias("paper_key"),
         doc_id.alias("arxiv_id"),
-        F.substring_index("text", "\n", 1).alias("title"),
+        F.col("text").alias("title"),
         F.concat(F.lit("https://arxiv.org/abs/"), doc_id).alias("arxiv_url"),
         F.array(*(F.lit(q) for q in QUESTIONS)).alias("questions"),
     )

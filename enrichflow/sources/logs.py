@@ -1,42 +1,53 @@
 """Append logs and result tables as JSON lines."""
+import time
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from enrichflow.functions.strings import strip
 from enrichflow.operators.contracts import unknown_fields
 from enrichflow.operators.keyed import last_per_key
+from enrichflow.schemas import LONG, TEXT, row
 
 LINE = "_line"
 _BAD = "_bad"
+# Written with every line: its run, the call that wrote it, the time of the append and the place in it.
+PLACE = row(run_id=TEXT, attempt=TEXT, batch=LONG, line=LONG)
 
 
 def read_log(spark: SparkSession, path: str, schema: T.StructType, violations: Column | None = None) -> DataFrame:
     """Usable rows of an append log; blank, malformed, unknown-field and contract-breaking lines are skipped.
 
-    A missing path is an empty log. ``_line`` orders the lines as they were appended: file time, file,
-    block and position in the block (the last only compares lines of one block, which share a task).
+    A missing path is an empty log. Rows also have ``run_id`` and ``attempt``. ``_line`` orders the lines as they
+    were appended: batch number and place in the batch. Lines of other writers without them come first, in the order
+    of file time, file, block and position in the block (the last only compares lines of one block, which share a task).
     """
+    schema = T.StructType([f for f in schema.fields if f.name not in PLACE.names])
     try:
         text = spark.read.text(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        line_type = T.StructType().add("at", T.TimestampType())
-        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField(LINE, line_type)]))
+        line_type = T.StructType().add("batch", T.LongType())
+        return spark.createDataFrame([], T.StructType([*schema.fields, *PLACE.fields[:2], T.StructField(LINE, line_type)]))
     line = F.struct(
         F.col("_metadata.file_modification_time").alias("at"),
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("pos"),
     )
-    shape = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
+    known = T.StructType([*schema.fields, *PLACE.fields])
+    shape = T.StructType([*known.fields, T.StructField(_BAD, T.StringType())])
     parsed = (
         text.select("value", line.alias(LINE))
         .filter(strip(F.col("value")) != "")
         .withColumn("r", F.from_json("value", shape, {"columnNameOfCorruptRecord": _BAD}))
-        .filter(F.col("r").isNotNull() & F.col(f"r.{_BAD}").isNull() & ~_has_unknown(F.col("value"), schema))
+        .filter(F.col("r").isNotNull() & F.col(f"r.{_BAD}").isNull() & ~_has_unknown(F.col("value"), known))
     )
-    rows = parsed.select(*(F.col(f"r.{f.name}").alias(f.name) for f in schema.fields), LINE)
+    names = [*schema.names, "run_id", "attempt"]
+    order = F.struct("r.batch", "r.line", f"{LINE}.*")
+    rows = parsed.select(*(F.col(f"r.{name}").alias(name) for name in names), order.alias(LINE))
     return rows if violations is None else rows.filter(F.size(violations) == 0)
 
 
@@ -49,15 +60,23 @@ def _has_unknown(text: Column, schema: T.StructType) -> Column:
     return found
 
 
-def latest_logged(log: DataFrame, key: str = "paper_key") -> DataFrame:
-    """Last line of each key."""
-    return last_per_key(log, [key], [LINE]).drop(LINE)
+def latest_logged(log: DataFrame, *keys: str) -> DataFrame:
+    """Last line of each key (by default ``paper_key``)."""
+    return last_per_key(log, keys or ["paper_key"], [LINE]).drop(LINE)
+
 
+def append_log(rows: DataFrame, path: str, attempt: str | None = None) -> str:
+    """Append rows as JSON lines with explicit nulls; returns the id of the attempt.
 
-def append_log(rows: DataFrame, path: str, *partitions: str) -> None:
-    """Append rows as JSON lines with explicit nulls."""
-    writer = rows.drop(LINE).write.mode("append").option("ignoreNullFields", "false")
-    (writer.partitionBy(*partitions) if partitions else writer).json(path)
+    The batch number is the driver's clock in nanoseconds, so appends of one second keep their order.
+    """
+    attempt = attempt or uuid.uuid4().hex
+    run = F.col("run_id") if "run_id" in rows.columns else F.lit(None).cast("string")
+    placed = rows.drop(LINE).withColumns(
+        {"run_id": run, "attempt": F.lit(attempt), "batch": F.lit(time.time_ns()), "line": F.monotonically_increasing_id()}
+    )
+    placed.write.mode("append").option("ignoreNullFields", "false").json(path)
+    return attempt
 
 
 def read_results(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -19,6 +19,7 @@ def session():
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.files.minPartitionNum", "8")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )

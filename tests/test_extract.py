@@ -123,3 +123,13 @@ def test_clean_discovery_is_completed(spark):
     assert (row.status, row.raw_count, row.unique_count) == ("COMPLETED", 2, 2)
     empty = flow.discover(frame(spark, [])).counts.first()
     assert (empty.raw_count, empty.failed_page_count, empty.status) == (0, 0, "COMPLETED")
+
+
+@pytest.mark.parametrize("piece", ["<br>", "<!-- open ", "<script>x", "<script ", "<title", "<dt class='ptitle' ", "<a href=x>", "</a>", "<form class='authsearch'>", '<a x="<'])
+def test_pages_of_one_piece_are_parsed_in_one_pass(spark, piece):
+    start = '<dt class="ptitle"><a href="/one">first'
+    page = start + piece * 100_000 + " last</a></dt>"
+    pages = spark.createDataFrame([(page,)], "html string")
+    for parse, column in ((markup.with_links, "links"), (markup.with_records, "records")):
+        got, plain = (parse(pages, parser=p).select(column).first()[0] for p in ("auto", "stdlib"))
+        assert got == plain

@@ -42,12 +42,7 @@ def test_failure_stays_in_its_row(spark):
 
 
 @pytest.mark.parametrize(("message", "deferred"), [("HTTP 401", 3), ("Unauthorized user", 3), ("HTTP 429", 0)])
-def test_cut_off_in_one_partition_and_over_a_log(spark, message, deferred):
-    six = tasks(spark, *"123456").coalesce(1)
-    found = enrich.enrich_rows(six, factory({"3"}, message), partitions=None)
-    late = found.filter("error_code = 'ANALYSIS_DEFERRED_AUTHORIZATION_CIRCUIT_OPEN'")
-    assert late.count() == deferred and found.count() == 6
-    assert late.filter("error_detail IS NOT NULL").count() == 0
+def test_cut_off_over_a_log(spark, message, deferred):
     attempts = spark.createDataFrame(
         [("r", i, "FAILED" if i == 2 else "SUCCESS", None, f"RuntimeError: {message}" if i == 2 else None) for i in range(6)],
         "run_id string, ord int, status string, error_code string, error_detail string",
@@ -57,6 +52,64 @@ def test_cut_off_in_one_partition_and_over_a_log(spark, message, deferred):
     assert {r.ord for r in later.collect()} == ({3, 4, 5} if deferred else set())
 
 
+@pytest.mark.parametrize("partitions", [1, 4])
+def test_cut_off_between_waves_ignores_partitions(spark, tmp_path, partitions):
+    work = tasks(spark, *"12345678").withColumn("run_id", F.lit("r")).unionByName(tasks(spark, *"123").withColumn("run_id", F.lit("s")))
+    made = flow.analyse(work, f"{tmp_path}/log", factory({"3"}, "HTTP 401"), "structured_llm", partitions=partitions, wave=2,
+                        reports_path=str(tmp_path))
+    late = made.results.filter("error_code = 'ANALYSIS_DEFERRED_AUTHORIZATION_CIRCUIT_OPEN'")
+    assert {(r.run_id, r.paper_key[-1]) for r in late.collect()} == {("r", i) for i in "5678"}
+    assert made.results.count() == 11 and made.fresh.count() == 7
+    assert spark.read.parquet(f"{tmp_path}/interim-reports").count() == spark.read.parquet(f"{tmp_path}/qa-log").count() == 7
+
+
+def test_finished_waves_stay_when_a_later_one_fails(spark, tmp_path):
+    work, log = tasks(spark, *"12345").withColumn("run_id", F.lit("r")), f"{tmp_path}/log"
+
+    def dying():
+        def call(task):
+            if task["arxiv_id"] == "3":
+                raise SystemExit("executor lost")
+            return {"raw_answer": "a"}
+
+        return call
+
+    with pytest.raises(Exception):
+        flow.analyse(work, log, dying, "structured_llm", partitions=1, wave=2)
+    assert spark.read.json(log).count() == 2
+    again = flow.analyse(work, log, factory(), "structured_llm", wave=2)
+    assert again.fresh.count() == 3 and {r.status for r in again.results.collect()} == {"SUCCESS"}
+
+
+def test_a_run_without_options_defers_nothing(spark, tmp_path):
+    work = spark.range(1000).selectExpr("'r' AS run_id", "id AS ord", "concat('arxiv:', id) AS paper_key", "array('q') AS questions", "'1' AS arxiv_id",
+                                        "'t' AS title")
+    assert flow.analyse(work, f"{tmp_path}/log", factory(), "structured_llm").results.filter("status = 'SUCCESS'").count() == 1000
+
+
+def test_two_runs_with_one_paper_and_old_failures(spark, tmp_path):
+    both = tasks(spark, "1", "2").withColumn("run_id", F.lit("r")).unionByName(tasks(spark, "1").withColumn("run_id", F.lit("s")))
+    a_log, l_log = f"{tmp_path}/a", f"{tmp_path}/l"
+    flow.analyse(both, a_log, factory({"2"}, "OLD failure"), "structured_llm")
+    metric = '{"data":{"paper_group":{"metrics":{"public_total_votes":%d}}}}'
+    answers = spark.createDataFrame([("1", 200, metric % 5), ("1", 200, metric % 4), ("1", 500, None)], "arxiv_id string, http_status int, payload string")
+    assert flow.collect_likes(both, l_log, answers).fresh.count() == 3
+    stored = flow.persist_results(spark, both, a_log, l_log, str(tmp_path), version=1)
+    assert {(r.run_id, r.paper_key[-1]): (r.status, r.likes.likes) for r in stored.collect()} == {
+        ("r", "1"): ("COMPLETED", 5), ("s", "1"): ("COMPLETED", 5), ("r", "2"): ("FAILED", None)}
+    more = both.unionByName(tasks(spark, "0").withColumns({"run_id": F.lit("r"), "ord": F.lit(-1)}))
+    now = flow.analyse(more, a_log, factory({"0"}, "HTTP 401"), "structured_llm", wave=1)
+    got = {(r.run_id, r.paper_key[-1]): r.error_code for r in now.results.collect()}
+    assert got[("r", "2")] == "ANALYSIS_DEFERRED_AUTHORIZATION_CIRCUIT_OPEN" and got[("r", "0")] == "PAPER_ANALYSIS_FAILED"
+
+
+def test_appends_of_one_second_keep_their_order(spark, tmp_path):
+    log = f"{tmp_path}/log"
+    for n in (3, 9, 4):
+        logs.append_log(likes(spark, liked("1", n)), log)
+    assert [r.likes for r in logs.latest_logged(logs.read_log(spark, log, LIKES_RESULT)).collect()] == [4]
+
+
 def test_metric_results(spark):
     payload = '{"data":{"paper_group":{"metrics":{"public_total_votes":%s}}}}'
     responses = spark.createDataFrame(
