@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from enrichflow.operators.counts import state_histogram
+from enrichflow.sources.scratch import written
 
 ENQUEUE, CLAIM, RESULT_OK, RESULT_BAD = "enqueue", "claim", "success", "failure"
 KEYS = ("run_id", "paper_key")
@@ -60,9 +61,9 @@ def insert_counts(inserts: DataFrame, *groups: str) -> DataFrame:
 
 
 def pending_rows(inserts: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Rows to add to the task table: none if any offer of the batch conflicts with a stored or earlier identity."""
-    clash = inserts.filter("conflicts > 0").select(F.lit(0).alias("_batch")).limit(1)
-    return inserts.filter("inserted > 0").withColumn("_batch", F.lit(0)).join(clash, "_batch", "left_anti").select(
+    """Rows to add to the task table: none of a run whose batch conflicts with a stored or earlier identity anywhere."""
+    clash = inserts.filter("conflicts > 0").select("run_id").distinct()
+    return inserts.filter("inserted > 0").join(clash, "run_id", "left_anti").select(
         *keys, *IDENTITY, "seq", F.lit("PENDING").alias("state"), F.lit(0).alias("attempts")
     )
 
@@ -78,44 +79,35 @@ def next_pending(tasks: DataFrame, run: str = "run_id", order: str = "seq") -> D
 def _first_after(events: DataFrame, anchors: DataFrame, keys: list[str], after: str, into: str) -> DataFrame:
     """Per key the first event (as a struct) with a sequence number above the anchor's ``after``.
 
-    ``anchors`` has one row per key. Events are cut into sequence blocks: those of the anchor's own
-    block are compared one by one, a join that a block bounds; of every later block only its first
-    event takes part, and those are reduced before their shuffle. So a key with very many events
-    never meets its anchor in one task.
+    ``anchors`` has one row per key. Events are cut into sequence blocks. Each block gives its first event, and the
+    anchor's own block its first one above the anchor, in one pass over the events whose join and reduction share a
+    shuffle by key and block. So a key with very many events never meets its anchor in one task.
     """
     fields = [c for c in events.columns if c not in keys]
     row = F.struct(*fields)
-    block = F.shiftright("seq", _BLOCK_BITS)
     cut = anchors.select(*keys, F.col(after).alias("_after"), F.shiftright(after, _BLOCK_BITS).alias("_block"))
-    near = (
-        events.select(*keys, block.alias("_block"), row.alias(into))
-        .join(cut, [*keys, "_block"])
-        .filter(F.col(f"{into}.seq") > F.col("_after"))
-    )
-    far = (
-        events.groupBy(*keys, block.alias("_first_block"))
-        .agg(F.min_by(row, "seq").alias(into))
-        .join(cut, keys)
-        .filter(F.col("_first_block") > F.col("_block"))
-    )
-    found = near.select(*keys, into).unionByName(far.select(*keys, into))
-    return found.groupBy(*keys).agg(F.min_by(into, f"{into}.seq").alias(into))
+    blocked = events.withColumn("_block", F.shiftright("seq", _BLOCK_BITS)).join(cut, [*keys, "_block"], "left")
+    late = F.col("_after").isNull() | (F.col("seq") > F.col("_after"))
+    firsts = blocked.groupBy(*keys, "_block").agg(F.min_by(row, F.when(late, F.col("seq"))).alias(into)).filter(F.col(into).isNotNull())
+    met = firsts.join(cut.drop("_after").withColumnRenamed("_block", "_own"), keys).filter(F.col("_block") >= F.col("_own"))
+    return met.groupBy(*keys).agg(F.min_by(into, f"{into}.seq").alias(into))
 
 
 def fold_states(events: DataFrame, keys: Sequence[str] = KEYS, carry: Sequence[str] = IDENTITY) -> DataFrame:
     """Current task table from the log: first enqueue, first claim after it, first result after that.
 
-    A result counts only when its id is the enqueued one.
+    A result counts only when its id is the enqueued one. Enqueued and claimed tasks are stored on the way, so
+    the log is read three times in all.
     """
     keys = list(keys)
-    enqueued = (
+    enqueued = written(
         events.filter(F.col("kind") == ENQUEUE)
         .groupBy(*keys)
         .agg(F.min_by(F.struct("seq", *carry), "seq").alias("_task"))
     )
     anchors = enqueued.select(*keys, F.col("_task.seq").alias("seq"), F.col("_task.arxiv_id").alias("arxiv_id"))
     claims = events.filter(F.col("kind") == CLAIM).select(*keys, "seq")
-    claimed = _first_after(claims, anchors, keys, "seq", "_claim")
+    claimed = written(_first_after(claims, anchors, keys, "seq", "_claim"))
     results = events.filter(F.col("kind").isin(RESULT_OK, RESULT_BAD)).select(
         *keys, "arxiv_id", "seq", "kind", "likes", "raw_text", "error_code"
     )

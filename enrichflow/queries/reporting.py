@@ -1,7 +1,7 @@
 """Queries on task state, reports, storage and streams."""
 from datetime import datetime
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from enrichflow import fixed_values as V
 from enrichflow.operators import counts, reports, selection, taskstate, texts
@@ -10,7 +10,7 @@ from enrichflow.queries import tables
 from enrichflow.queries.joining import CUT, JOINED_SQL, PROTECTED_SQL, event_rows, joined
 from enrichflow.queries.registry import query
 from enrichflow.queries.tables import QUESTIONS, prop_number, table
-from enrichflow.schemas import LIKES_RESULT
+from enrichflow.schemas import JOINED_RESULT, LIKES_RESULT
 from enrichflow.sources import logs, snapshots
 from enrichflow.sources.scratch import folder
 from enrichflow.streaming import latest
@@ -290,6 +290,72 @@ def q_persist_roundtrip(spark, sf_dir):
     )
 
 
+@query("WITH" + JOINED_SQL + f" SELECT source AS run_id, doc_id || '.md' AS file_name, md5({_FINAL}) AS body FROM results")
+def q_report_files(spark, sf_dir):
+    """Final reports written as files and read back whole."""
+    path = folder(spark)
+    snapshots.export_report_files(reports.final_reports(joined(spark, sf_dir)), path)
+    return snapshots.read_report_files(spark, path).select("run_id", "file_name", F.md5("body").alias("body"))
+
+
+@query(
+    "WITH" + JOINED_SQL + """
+SELECT paper_key, md5(text) AS title, status, likes, warnings, CASE WHEN a_ok THEN answer END AS answer FROM results"""
+)
+def q_strict_results(spark, sf_dir):
+    """Joined results exported as JSON lines in record order and read back strictly."""
+    path = folder(spark)
+    snapshots.export_jsonl(joined(spark, sf_dir).select(*JOINED_RESULT.names, "ord"), path, "ord")
+    shape = T.StructType([*JOINED_RESULT.fields, T.StructField("ord", T.LongType())])
+    return logs.read_results(spark, path, shape).select(
+        "paper.paper_key", F.md5("paper.title").alias("title"), "status", "likes.likes",
+        F.array_join("warnings", ", ").alias("warnings"), F.col("analysis.raw_answer").alias("answer"),
+    )
+
+
+@query(
+    "WITH" + JOINED_SQL + """
+SELECT source AS run_id, '# CVPR 2026 Research Summary' AS text FROM runs
+UNION ALL SELECT source, unnest(['', '', '']) FROM runs
+UNION ALL SELECT source, 'Run status: ' || run_status FROM runs
+UNION ALL SELECT source, 'Selected: ' || selected || '; Completed: ' || completed || '; Partial: ' || partial
+                         || '; Failed: ' || failed || '.' FROM runs
+UNION ALL SELECT source, unnest(['| arXiv ID | Status | Likes |', '|---|---|---:|']) FROM runs
+UNION ALL SELECT source, '| ' || doc_id || ' | ' || status || ' | ' || coalesce(CAST(likes AS VARCHAR), 'FAILED') || ' |' FROM results"""
+)
+def q_summary_files(spark, sf_dir):
+    """Manifest and summary written, the summary made from the manifest as it was read back."""
+    path = folder(spark)
+    results, rows = manifest(spark, sf_dir)
+    snapshots.write_manifest(rows, f"{path}/manifest")
+    saved = spark.read.schema(rows.schema).json(f"{path}/manifest")
+    snapshots.write_summary(reports.summary_lines(results, saved), f"{path}/summary")
+    return spark.read.text(f"{path}/summary").select("run_id", F.col("value").alias("text"))
+
+
+@query(
+    "WITH" + JOINED_SQL + """
+SELECT 'papers' AS name, paper_key, md5(text) AS value FROM results
+UNION ALL SELECT 'likes-results', paper_key, coalesce(CAST(likes AS VARCHAR), l_code) FROM results
+UNION ALL SELECT 'qa-results', paper_key, coalesce(answer, 'FAILED') FROM results"""
+)
+def q_snapshot_tables(spark, sf_dir):
+    """The tables of a stored version besides results and reports, read back."""
+    root = folder(spark)
+    rows = joined(spark, sf_dir).withColumn("batch", F.lit(1).cast("bigint"))
+    snapshots.write_snapshot(rows, root, 1)
+
+    def part(name, value):
+        stored = snapshots.read_table(spark, root, name, 1)
+        return stored.select(F.lit(name).alias("name"), "paper_key", value.alias("value"))
+
+    return (
+        part("papers", F.md5("title"))
+        .unionByName(part("likes-results", F.coalesce(F.col("likes").cast("string"), "error_code")))
+        .unionByName(part("qa-results", F.coalesce("answer", "status")))
+    )
+
+
 PARTS = 4
 
 

@@ -4,9 +4,6 @@ A version is its own directory, so a job never overwrites what it reads. The res
 written first and the other tables are projected from the written files: one computation, nothing
 cached, and a lost executor only repeats a scan.
 """
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from enrichflow import fixed_values as V
@@ -71,22 +68,20 @@ def export_jsonl(table: DataFrame, path: str, *order: str) -> None:
 
 
 def export_report_files(reports: DataFrame, folder: str) -> None:
-    """One Markdown file per report in a folder all executors share; a retried task rewrites its files."""
+    """Each report as a text file in its own folder, ``run_id=…/file_name=…``, on any file system that Spark writes to.
+
+    Folders of reports that are not among these rows stay. The text sink ends a file with a line break of its own.
+    """
     if "run_id" in reports.columns:
         require_run_ids(reports)
+    keys = [c for c in reports.columns if c in ("run_id", "file_name")]
+    texts = reports.select(*keys, F.regexp_replace("body", "\n\\z", "").alias("value"))
+    texts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).text(folder)
+
 
-    def save(rows) -> None:
-        for row in rows:
-            home = os.path.join(folder, row["run_id"]) if "run_id" in row else folder
-            os.makedirs(home, exist_ok=True)
-            target = os.path.join(home, row["file_name"])
-            draft = f"{target}.{uuid.uuid4().hex}"
-            with open(draft, "w", encoding="utf-8") as out:
-                out.write(row["body"])
-            os.replace(draft, target)
-
-    columns = [c for c in reports.columns if c in ("run_id", "file_name", "body")]
-    reports.select(*columns).foreachPartition(save)
+def read_report_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(run columns, file_name, body) of exported reports."""
+    return spark.read.text(folder, wholetext=True).withColumnRenamed("value", "body")
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:

@@ -264,7 +264,9 @@ def test_reports_and_files(spark, tmp_path):
     assert "- Status: ANALYSIS_FAILED\n- Likes: Pending\n- Warnings: WHY\n" in interim["2.md"]
     folder = str(tmp_path / "out")
     snapshots.export_report_files(reports.final_reports(joined), folder)
-    assert open(f"{folder}/r/cs__1.md").read() == rows["cs__1.md"] and len(os.listdir(f"{folder}/r")) == 3
+    snapshots.export_report_files(reports.final_reports(joined), folder)
+    assert {r.file_name: r.body for r in snapshots.read_report_files(spark, folder).collect()} == rows
+    assert len([n for n in os.listdir(f"{folder}/run_id=r") if n.startswith("file_name=")]) == 3
     snapshots.export_jsonl(joined, str(tmp_path / "j"), "ord")
     back = logs.read_results(spark, str(tmp_path / "j"), JOINED_RESULT)
     assert {r.paper.arxiv_id for r in back.collect()} == {"cs/1", "2", "3"}

@@ -93,7 +93,9 @@ def test_insert(spark):
     conflicts = {(r.paper_key, r.title) for r in inserts.filter("conflicts > 0").collect()}
     assert conflicts == {("a", "other"), ("c", "second")}
     pending = taskstate.pending_rows(inserts)
-    assert {(r.run_id, r.paper_key, r.title, r.state) for r in pending.collect()} == {
+    assert {(r.run_id, r.paper_key, r.title, r.state) for r in pending.collect()} == {("s", "a", "A", "PENDING")}
+    sound = taskstate.insert_tasks(stored, spark.createDataFrame([o for o in offered if o[2] not in ("other", "second")], columns))
+    assert {(r.run_id, r.paper_key, r.title, r.state) for r in taskstate.pending_rows(sound).collect()} == {
         ("r", "b", "B", "PENDING"), ("s", "a", "A", "PENDING"), ("r", "c", "first", "PENDING")
     }
     empty = taskstate.insert_tasks(stored, spark.createDataFrame([], columns))
