@@ -22,7 +22,6 @@ FOUND = "doc_id bigint, keys binary"
 LOAD = 600_000
 BUCKET_WORDS = 1_000_000
 _CUT = np.uint64(33)
-_LOW = np.uint64((1 << 33) - 1)
 _SENT_SCHEMA = pa.schema([("bucket", pa.int32()), ("settled", pa.bool_()), ("docs", pa.binary()), ("counts", pa.binary()),
                           ("keys", pa.binary())])
 
@@ -33,9 +32,13 @@ def bucket_count(docs: DataFrame, text: str = "text") -> int:
     return max(4, -(-int(size) // (6 * BUCKET_WORDS)))
 
 
-def tags(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """What ``shared`` reports of a hash: its upper bits and its bucket."""
-    return (hashes >> _CUT << _CUT) | (hashes % np.uint64(buckets) & _LOW)
+def tags(hashes: np.ndarray) -> np.ndarray:
+    """What ``shared`` reports of a hash: its upper 31 bits. They only have to tell the hashes of one document apart."""
+    return (hashes >> _CUT).astype(np.uint32)
+
+
+def _width(rule: str) -> int:
+    return 8 if rule == "later" else 4
 
 
 def _runs(values: np.ndarray) -> np.ndarray:
@@ -75,9 +78,9 @@ def _load(hashes: np.ndarray, docs: np.ndarray, flags: np.ndarray, buckets: int,
         known = np.repeat(least != most, sizes)
         keys = (group >> _CUT << np.uint64(1)) | (flag if rule == "shared" else least != most).astype(np.uint64)
     if known.any():
-        told = hashes[known] if rule == "later" else tags(hashes[known], buckets)
-        yield from _packed(_home(docs[known], buckets), docs[known], told, 8, True)
-    yield from _packed(bucket, least, keys, 8 if rule == "later" else 4, False)
+        told = hashes[known] if rule == "later" else hashes[known] >> _CUT
+        yield from _packed(_home(docs[known], buckets), docs[known], told, _width(rule), True)
+    yield from _packed(bucket, least, keys, _width(rule), False)
 
 
 def send(entries: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: int, rule: str) -> Iterator[pa.RecordBatch]:
@@ -116,7 +119,7 @@ def _open(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(docs), np.concatenate(keys)) if docs else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
-def _met(docs: np.ndarray, keys: np.ndarray, bucket: int, rule: str) -> tuple[np.ndarray, np.ndarray]:
+def _met(docs: np.ndarray, keys: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys, kind="stable")
     docs, keys = docs[order], keys[order]
     plain = keys if rule == "later" else keys >> np.uint64(1)
@@ -131,25 +134,29 @@ def _met(docs: np.ndarray, keys: np.ndarray, bucket: int, rule: str) -> tuple[np
         hit = np.repeat(several & np.logical_or.reduceat(flags, at), sizes)
     else:
         hit = np.repeat(several, sizes) & ~flags
-    return docs[hit], (plain[hit] << _CUT) | (np.uint64(bucket) & _LOW)
+    return docs[hit], plain[hit]
 
 
 def meet(sent: DataFrame, rule: str, buckets: int) -> DataFrame:
-    """(doc_id, keys): all hashes of a document that met the rule, packed as 64-bit numbers; one row per document."""
+    """(doc_id, keys): all hashes of a document that met the rule, one row per document.
+
+    ``keys`` packs whole 64-bit hashes for ``later`` and 32-bit ``tags`` otherwise.
+    """
+    width = _width(rule)
 
-    def bucket(key, table):
+    def bucket(table):
         settled = table["settled"].to_numpy(zero_copy_only=False).astype(bool)
-        docs, keys = _open(table.filter(pa.array(~settled)), 8 if rule == "later" else 4)
+        docs, keys = _open(table.filter(pa.array(~settled)), width)
         rows = []
         if len(docs):
-            docs, keys = _met(docs, keys, key[0].as_py(), rule)
-            rows = list(_packed(_home(docs, buckets), docs, keys, 8, True))
+            docs, keys = _met(docs, keys, rule)
+            rows = list(_packed(_home(docs, buckets), docs, keys, width, True))
         return pa.concat_tables([table.filter(pa.array(settled)).cast(_SENT_SCHEMA), pa.Table.from_pylist(rows, _SENT_SCHEMA)])
 
     def documents(table):
-        docs, keys = _open(table, 8)
+        docs, keys = _open(table, width)
         order = np.argsort(docs, kind="stable")
-        docs, keys = docs[order], keys[order]
+        docs, keys = docs[order], keys[order].astype(f"<u{width}")
         at = _runs(docs)
         ends = np.append(at[1:], len(docs))
         return pa.table({"doc_id": docs[at], "keys": [keys[a:b].tobytes() for a, b in zip(at, ends)]},

@@ -80,7 +80,7 @@ def _shared(docs: DataFrame, size: int) -> DataFrame:
             yield grams, ids, np.zeros(len(grams), bool)
 
     sent = docs.mapInArrow(lambda batches: exchange.send(entries(batches), buckets, "counted"), exchange.SENT)
-    return exchange.meet(sent, "counted", buckets).select("doc_id", (F.octet_length("keys") / 8).cast("bigint").alias("shared"))
+    return exchange.meet(sent, "counted", buckets).select("doc_id", (F.octet_length("keys") / 4).cast("bigint").alias("shared"))
 
 
 def _stored_sets(docs: DataFrame, size: int) -> DataFrame:

@@ -40,14 +40,14 @@ def digests(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(rows, WORDS)
 
 
-def _held(keys: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+def _held(keys: pa.Array | pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
     """Row and number of every packed number of a binary column."""
     rows, values = [], []
     for i, cell in enumerate(keys):
-        own = np.frombuffer(cell.as_buffer(), np.uint64)
+        own = np.frombuffer(cell.as_buffer(), kind)
         rows.append(np.full(len(own), i))
         values.append(own)
-    return (np.concatenate(rows), np.concatenate(values)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    return (np.concatenate(rows), np.concatenate(values)) if rows else (np.zeros(0, np.int64), np.zeros(0, kind))
 
 
 def _member(rows: np.ndarray, values: np.ndarray, of: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -89,7 +89,7 @@ def changed_texts(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) ->
         for part, words in pieces(batches):
             ids, hashes = part.column("doc_id").to_numpy(), words.hashes()
             grams, at = words.grams(hashes, block)
-            hit = _member(words.text_of[at], exchange.tags(grams, buckets), _held(part.column("keys")))
+            hit = _member(words.text_of[at], exchange.tags(grams), _held(part.column("keys"), np.uint32))
             seen = np.zeros(len(hashes) + 1, np.int64)
             seen[at[hit] + 1] = 1
             seen = np.cumsum(seen)
@@ -100,7 +100,7 @@ def changed_texts(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) ->
     def cut(batches):
         for part, words in pieces(batches):
             grams, at = words.grams(words.hashes(), window)
-            gone = _covered(words, at[_member(words.text_of[at], grams, _held(part.column("keys")))], window)
+            gone = _covered(words, at[_member(words.text_of[at], grams, _held(part.column("keys"), np.uint64))], window)
             out = []
             for i in range(part.num_rows):
                 first, own = words.first[i], gone[words.first[i]:words.first[i + 1]]
