@@ -96,7 +96,8 @@ def _agreement(near: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
         return frame.select(key, text.alias("plain")).filter("plain <> ''").select(
             key, _tokens(F.col("plain")).alias(f"{name}_raw"), once(_tokens(template(F.col("plain")))).alias(f"{name}_kind"))
 
-    met = near.join(tokens(docs, "doc_id", "doc"), "doc_id").join(tokens(items, "item_id", "item"), "item_id")
+    met_docs = docs.join(near.select("doc_id").distinct(), "doc_id", "left_semi")  # before their texts are rewritten again
+    met = near.join(tokens(met_docs, "doc_id", "doc"), "doc_id").join(tokens(items, "item_id", "item"), "item_id")
     at = F.explode(F.sequence("begin", F.col("end") - 1)).alias("at")
     met = met.select("doc_id", "item_id", "diagonal", "doc_raw", "doc_kind", "item_raw", "item_kind", at)
     there = F.col("at") + F.col("diagonal")
