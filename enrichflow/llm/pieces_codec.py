@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,7 +31,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 ENCODED = "doc_id bigint, n_tokens int, ids array<int>, n_bytes int, parity boolean, round_trip boolean"
-BATCH_BYTES, KNOWN, TOGETHER = 1 << 20, 500_000, 500
+BATCH_BYTES, KNOWN, TOGETHER = 1 << 18, 60_000, 500
 
 
 @dataclass
@@ -144,11 +145,15 @@ def build(model: SpModel):
     return out
 
 
+def _packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
 class Coder:
     """Both backends of a model; texts are cut into words where that is exact, and each new word is encoded once.
 
-    Per text it gives the ids, whether both backends agree on all parts and whether all parts decode to what they were. The
-    table of known words is emptied when it has ``KNOWN`` entries.
+    Per text it gives the ids as packed 32-bit numbers, whether both backends agree on all parts and whether all parts
+    decode to what they were. The table of known words is emptied when it has ``KNOWN`` entries.
     """
 
     def __init__(self, raw: bytes, threads: int):
@@ -162,16 +167,18 @@ class Coder:
         self.names = [t[0] for t in self.model.pieces]
         self.begins = np.array([n.startswith(MARK) for n in self.names], bool)
         self.blank_end = np.array([n.endswith(MARK) for n in self.names], bool)
-        self.end = ([self.names.index(MARK)], True, True) if MARK in self.names else None
-        self.by_word = self.by_word and self.end is not None
-        self.known: dict[str, tuple[list[int], bool, bool]] = {MARK: self.end}
+        self.by_word = self.by_word and MARK in self.names
+        self.end = _packed([self.names.index(MARK)]) if self.by_word else b""
+        self.known: dict[str, bytes] = {MARK: self.end}
+        self.unequal: set[str] = set()
+        self.altered: set[str] = set()
 
-    def whole(self, texts: list[str]) -> Iterator[tuple[list[int], bool, bool]]:
+    def whole(self, texts: list[str]) -> Iterator[tuple[bytes, bool, bool]]:
         ids = [e.ids for e in self.ours.encode_batch_fast(texts, add_special_tokens=False)]
         check = self.theirs.encode(texts, num_threads=self.threads)
         back = self.ours.decode_batch(ids, skip_special_tokens=False)
         for one, two, text in zip(ids, check, back):
-            yield one, one == two, text == self.theirs.decode(two)
+            yield _packed(one), one == two, text == self.theirs.decode(two)
 
     def learn(self, groups: list[list[str]]) -> None:
         """Encode groups of new words, each group as one text; words start with the marker, so they stay apart."""
@@ -185,16 +192,20 @@ class Coder:
             cuts = [*np.flatnonzero(begins), len(ids)]
             for k, word in enumerate(group):
                 own = ids[cuts[k]:cuts[k + 1]]
-                agree = alike or own == self.theirs.encode(word[1:].replace(MARK, " "))
+                self.known[word] = _packed(own)
+                if not alike and own != self.theirs.encode(word[1:].replace(MARK, " ")):
+                    self.unequal.add(word)
                 same = "".join([self.names[i] for i in own]) == word
-                self.known[word] = own, same or self.ours.decode(own, skip_special_tokens=False) == word[1:].replace(MARK, " "), agree
+                if not same and self.ours.decode(own, skip_special_tokens=False) != word[1:].replace(MARK, " "):
+                    self.altered.add(word)
 
-    def __call__(self, texts: list[str]) -> Iterator[tuple[list[int], bool, bool]]:
+    def __call__(self, texts: list[str]) -> Iterator[tuple[bytes, bool, bool]]:
         if not self.by_word:
             yield from self.whole(texts)
             return
         if len(self.known) > KNOWN:
             self.known = {MARK: self.end}
+            self.unequal, self.altered = set(), set()
         words = [re.findall(f"{MARK}+[^{MARK}]*", MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         new = set().union(*words).difference(self.known)
         blank = [w for w in new if not w.strip(MARK)]
@@ -202,8 +213,8 @@ class Coder:
         fresh = sorted(new.difference(blank))
         self.learn([fresh[k:k + TOGETHER] for k in range(0, len(fresh), TOGETHER)])
         for text, own in zip(texts, words):
-            found = [self.known[w] for w in own]
-            yield ([i for f in found for i in f[0]], all(f[2] for f in found), all(f[1] for f in found) and MARK not in text)
+            ids = b"".join(map(self.known.__getitem__, own))
+            yield ids, self.unequal.isdisjoint(own), self.altered.isdisjoint(own) and MARK not in text
 
 
 def encoded(docs: DataFrame, raw: bytes, threads: int = 2) -> DataFrame:
@@ -215,9 +226,10 @@ def encoded(docs: DataFrame, raw: bytes, threads: int = 2) -> DataFrame:
         fallback[[i for i, t in enumerate(coder.model.pieces) if t[2] == BYTE]] = 1
         for part in slices(batches, most=BATCH_BYTES):
             ids, parity, back = zip(*coder([t or "" for t in part.column("text").to_pylist()]))
-            flat = pa.array(ids, pa.list_(pa.int32()))
-            counts = np.diff(flat.offsets.to_numpy())
-            sums = np.append(0, np.cumsum(fallback[flat.values.to_numpy()]))[flat.offsets.to_numpy()]
+            counts = np.array([len(x) // 4 for x in ids], np.int32)
+            offsets, values = np.append(0, np.cumsum(counts)).astype(np.int32), np.frombuffer(b"".join(ids), np.int32)
+            flat = pa.ListArray.from_arrays(offsets, values)
+            sums = np.append(0, np.cumsum(fallback[values]))[offsets]
             yield pa.record_batch({
                 "doc_id": part.column("doc_id"), "n_tokens": pa.array(counts, pa.int32()), "ids": flat,
                 "n_bytes": pa.array(np.diff(sums), pa.int32()), "parity": pa.array(parity), "round_trip": pa.array(back)})

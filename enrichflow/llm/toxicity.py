@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from enrichflow.llm.learning import logistic, sampled_labels, sigmoid
 from enrichflow.llm.words import Words, mix, pieces
 
-PER_CLASS, WINDOWS, LENGTH = 1500, 8, 128
+PER_CLASS, WINDOWS, LENGTH = 1000, 6, 128
 DIMENSIONS, TEMPLATES, BLOCK = 1 << 18, 5, 64
 SCORED = "doc_id bigint, score double, n_toxic double, spans array<struct<start: bigint, end: bigint>>"
 _LETTER = np.zeros(256, bool)
@@ -126,9 +126,11 @@ def fit_chain(features: np.ndarray, target: np.ndarray, valid: np.ndarray, steps
 
     ``features`` has feature numbers by token, column and template; the first weight past them is the constant.
     """
-    used, codes = np.unique(features, return_inverse=True)
-    codes = codes.reshape(features.shape)
+    used = np.flatnonzero(np.bincount(features.ravel(), minlength=DIMENSIONS))
     size = len(used)
+    place = np.zeros(DIMENSIONS, np.int32)
+    place[used] = np.arange(size)
+    codes = place[features]
     theta = np.zeros(size + 4)
     theta[size:] = (-4.0, -2.0, -1.0, 1.0)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
@@ -162,11 +164,13 @@ def fit_chain(features: np.ndarray, target: np.ndarray, valid: np.ndarray, steps
 
 def toxic_features(features: np.ndarray, valid: np.ndarray, toxic: np.ndarray, support: int = 5, odds: float = 20.0) -> np.ndarray:
     """Word and prefix features whose share of toxic windows is ``odds`` times that of clean ones, in ``support`` of them."""
-    column = np.broadcast_to(np.arange(len(toxic))[None, :, None], features[:, :, :4].shape)
-    keep = np.broadcast_to(valid[:, :, None], column.shape)
-    pairs = np.unique(features[:, :, :4][keep].astype(np.int64) * len(toxic) + column[keep])
-    feature, bad = pairs // len(toxic), toxic[pairs % len(toxic)]
-    ill, well = (np.bincount(feature[m], minlength=DIMENSIONS) for m in (bad, ~bad))
+    ill, well = np.zeros(DIMENSIONS, np.int64), np.zeros(DIMENSIONS, np.int64)
+    window = np.broadcast_to(np.arange(len(toxic)), valid.shape)[valid]
+    for template in range(4):  # features of different templates differ
+        pairs = np.unique(features[:, :, template][valid].astype(np.int64) * len(toxic) + window)
+        feature, bad = pairs // len(toxic), toxic[pairs % len(toxic)]
+        ill += np.bincount(feature[bad], minlength=DIMENSIONS)
+        well += np.bincount(feature[~bad], minlength=DIMENSIONS)
     rate = (ill / max(toxic.sum(), 1)) / ((well + 0.5) / max((~toxic).sum(), 1))
     return (ill >= support) & (rate >= odds)
 

@@ -12,8 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 1 << 20
-_HASH_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
+_HASH_BYTES = 1 << 17
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -133,7 +133,10 @@ class Words:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with at most ``most`` bytes of text, or one text each."""
+    """Slices of the batches with at most ``most`` bytes of text, or one text each.
+
+    Memory that Arrow no longer uses goes back to the system, as Python workers live on between tasks.
+    """
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         total, at = np.cumsum(sizes), 0
@@ -142,6 +145,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             until = max(at + 1, int(np.searchsorted(total, done + most, "right")))
             yield batch.slice(at, until - at)
             at = until
+        pa.default_memory_pool().release_unused()
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", lower: bool = False,
