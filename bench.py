@@ -13,6 +13,9 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 
+UNTIMED = {"q_report_files"}  # one file and folder per document: it times the disk
+
+
 def run(item, spark, sf_dir):
     start = time.perf_counter()
     item.run(spark, sf_dir).write.format("noop").mode("overwrite").save()
@@ -38,7 +41,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1000).selectExpr("sum(id)").collect()
     cold, warm = {}, {}
-    for name in sys.argv[1:] or CATALOG:
+    for name in sys.argv[1:] or [n for n in CATALOG if n not in UNTIMED]:
         item = CATALOG[name]
         cold[name] = round(run(item, spark, sf_dir), 3)
         warm[name] = round(run(item, spark, sf_dir), 3)
