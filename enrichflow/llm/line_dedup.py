@@ -1,9 +1,7 @@
 """Delete blocks of lines that an earlier document has, by pairwise alignment.
 
 Lines are compared by a 64-bit hash after trimming blanks. A line of at least ``ANCHOR_WORDS`` words that several documents hold
-belongs to the earliest of them, its owner. For a later document those lines are rare that few documents hold (``RARE``), and
-always the ones that the fewest hold, so a document of a large group of copies still finds the first one. A document is
-aligned with the owners of its rare lines by patience diff: lines that are unique on both sides form the longest common
+belongs to the earliest of them, its owner. A document is aligned with the owners of all its lines by patience diff: lines that are unique on both sides form the longest common
 order, and equal neighbours extend it. Aligned runs with at least ``BLOCK_WORDS`` words are deleted from the later document.
 
 Every line has one owner, so a line held by very many documents gives one pair for each of them, never all pairs. Later
@@ -21,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from enrichflow.sources.scratch import written
 
-ANCHOR_WORDS, RARE, BLOCK_WORDS = 5, 100, 20
+ANCHOR_WORDS, BLOCK_WORDS = 5, 20
 _BLANKS = r"[ \t-\r]+"
 
 
@@ -97,18 +95,23 @@ def _lines(docs: DataFrame) -> DataFrame:
         F.transform("lines", lambda x: F.when(x == "", 0).otherwise(F.size(F.split(x, _BLANKS, -1)))).alias("words")).dropDuplicates(["key"])
 
 
-def pairs(lines: DataFrame, anchor_words: int = ANCHOR_WORDS, rare: int = RARE) -> DataFrame:
-    """(key, owner): later documents and the owners of their rare lines."""
+def pairs(lines: DataFrame, anchor_words: int = ANCHOR_WORDS, rare: int | None = None) -> DataFrame:
+    """(key, owner): later documents and the owners of their lines.
+
+    ``rare`` is for callers who want fewer pairs and may lose blocks: owners of lines with more holders go, but for the rarest.
+    """
     held = lines.select("key", F.explode(F.arrays_zip("hashes", "words")).alias("line")).filter(F.col("line.words") >= anchor_words)
     held = held.select("key", F.col("line.hashes").alias("line")).distinct()
     shared = held.groupBy("line").agg(F.min("key").alias("owner"), F.count("*").alias("n")).filter("n > 1")
     met = held.join(shared, "line").filter("owner < key").select("key", "owner", "n")
     best = met.groupBy("key", "owner").agg(F.min("n").alias("n"))
+    if rare is None:
+        return best.select("key", "owner")
     least = best.groupBy("key").agg(F.min("n").alias("least"))
     return best.join(least, "key").filter((F.col("n") <= rare) | (F.col("n") == F.col("least"))).select("key", "owner")
 
 
-def repeated_lines(docs: DataFrame, anchor_words: int = ANCHOR_WORDS, rare: int = RARE, block_words: int = BLOCK_WORDS) -> DataFrame:
+def repeated_lines(docs: DataFrame, anchor_words: int = ANCHOR_WORDS, rare: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(key, removed): line numbers to delete, counted from 0; ``key`` is document id and text hash."""
     lines = written(_lines(docs))
     near = pairs(lines, anchor_words, rare)
