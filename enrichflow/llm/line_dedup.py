@@ -1,10 +1,12 @@
 """Delete blocks of lines that an earlier document has, by pairwise alignment.
 
-Lines are compared by a 64-bit hash after trimming blanks. A line of at least ``ANCHOR_WORDS`` words that several documents hold
-belongs to the earliest of them, its owner. A document is aligned with the owners of all its lines by patience diff: lines that are unique on both sides form the longest common
+Lines are compared by a 64-bit hash after trimming blanks. From each line the shortest run of lines with ``BLOCK_WORDS`` words,
+forward and backward, is a key, which belongs to the earliest document that holds it, its owner. Every line of a common block
+of that size lies in such a run inside the block, however short the lines are and whoever else holds them one by one. A
+document is aligned with the owners of all its keys by patience diff: lines that are unique on both sides form the longest common
 order, and equal neighbours extend it. Aligned runs with at least ``BLOCK_WORDS`` words are deleted from the later document.
 
-Every line has one owner, so a line held by very many documents gives one pair for each of them, never all pairs. Later
+Every key has one owner, so a run held by very many documents gives one pair for each of them, never all pairs. Later
 means a larger ``doc_id``, then a larger text hash for rows that share an id; equal rows are one document. Null and empty texts
 and rows without ``doc_id`` stay as they are. All other columns are kept.
 """
@@ -14,12 +16,14 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from enrichflow.llm.words import run_hashes
 from enrichflow.sources.scratch import written
 
-ANCHOR_WORDS, BLOCK_WORDS = 5, 20
+BLOCK_WORDS = 20
 _BLANKS = r"[ \t-\r]+"
 
 
@@ -67,6 +71,20 @@ def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def shortest_runs(words: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First line and end of the runs with at least ``least`` words that are the shortest from their first or up to their last line.
+
+    ``words`` counts those of the lines of several texts; text ``i`` has lines ``first[i]`` to ``first[i + 1]``.
+    """
+    sums, at = np.append(0, np.cumsum(words)), np.arange(len(words))
+    sizes = np.diff(first)
+    begin, end = np.repeat(first[:-1], sizes), np.repeat(first[1:], sizes)
+    until = np.searchsorted(sums, sums[:-1] + least, "left")
+    since = np.searchsorted(sums, sums[1:] - least, "right") - 1
+    ahead, back = until <= end, since >= begin
+    return np.append(at[ahead], since[back]), np.append(until[ahead], at[back] + 1)
+
+
 def common_blocks(earlier: Sequence[int], later: Sequence[int], words: Sequence[int], least: int) -> list[int]:
     """Positions in ``later`` of aligned runs with at least ``least`` words; ``words`` counts those of each later line."""
     out: list[int] = []
@@ -95,13 +113,32 @@ def _lines(docs: DataFrame) -> DataFrame:
         F.transform("lines", lambda x: F.when(x == "", 0).otherwise(F.size(F.split(x, _BLANKS, -1)))).alias("words")).dropDuplicates(["key"])
 
 
-def pairs(lines: DataFrame, anchor_words: int = ANCHOR_WORDS, rare: int | None = None) -> DataFrame:
-    """(key, owner): later documents and the owners of their lines.
-
-    ``rare`` is for callers who want fewer pairs and may lose blocks: owners of lines with more holders go, but for the rarest.
+def _keys(lines: DataFrame, block_words: int) -> DataFrame:
+    """(id, hash, line): hashes of the shortest runs of each document's lines, each once a document."""
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, words = batch.column("hashes"), batch.column("words")
+            first = hashes.offsets.to_numpy().astype(np.int64)
+            first, values = first - first[0], hashes.flatten().to_numpy().view(np.uint64)
+            starts, ends = shortest_runs(words.flatten().to_numpy().astype(np.int64), first, block_words)
+            found = run_hashes(values, starts, ends)
+            doc = np.searchsorted(first, starts, "right") - 1
+            order = np.lexsort((found, doc))
+            found, doc = found[order], doc[order]
+            once = np.append(True, (found[1:] != found[:-1]) | (doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, bool)
+            own = pa.array(doc[once])
+            yield pa.record_batch([batch.column("id").take(own), batch.column("hash").take(own), pa.array(found[once].view(np.int64))],
+                                  names=["id", "hash", "line"])
+
+    return lines.select("key.id", "key.hash", "hashes", "words").mapInArrow(keys, "id bigint, hash bigint, line bigint")
+
+
+def pairs(lines: DataFrame, rare: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(key, owner): later documents and the owners of their keys.
+
+    ``rare`` is for callers who want fewer pairs and may lose blocks: owners of keys with more holders go, but for the rarest.
     """
-    held = lines.select("key", F.explode(F.arrays_zip("hashes", "words")).alias("line")).filter(F.col("line.words") >= anchor_words)
-    held = held.select("key", F.col("line.hashes").alias("line")).distinct()
+    held = _keys(lines, block_words).select(F.struct("id", "hash").alias("key"), "line")
     shared = held.groupBy("line").agg(F.min("key").alias("owner"), F.count("*").alias("n")).filter("n > 1")
     met = held.join(shared, "line").filter("owner < key").select("key", "owner", "n")
     best = met.groupBy("key", "owner").agg(F.min("n").alias("n"))
@@ -111,10 +148,10 @@ def pairs(lines: DataFrame, anchor_words: int = ANCHOR_WORDS, rare: int | None =
     return best.join(least, "key").filter((F.col("n") <= rare) | (F.col("n") == F.col("least"))).select("key", "owner")
 
 
-def repeated_lines(docs: DataFrame, anchor_words: int = ANCHOR_WORDS, rare: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
+def repeated_lines(docs: DataFrame, rare: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(key, removed): line numbers to delete, counted from 0; ``key`` is document id and text hash."""
     lines = written(_lines(docs))
-    near = pairs(lines, anchor_words, rare)
+    near = pairs(lines, rare, block_words)
     met = near.join(lines.select("key", "hashes", "words"), "key").join(
         lines.select(F.col("key").alias("owner"), F.col("hashes").alias("earlier")), "owner")
 

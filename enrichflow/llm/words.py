@@ -62,6 +62,11 @@ def _range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powe
     return (sums[ends] - sums[starts]) * down[starts]
 
 
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each run of 64-bit values, from a start up to its end."""
+    return mix(_range_hashes(mix(values), starts, ends, _WORDS) + (ends - starts).astype(np.uint64))
+
+
 class Words:
     """Words of the texts of one Arrow column.
 

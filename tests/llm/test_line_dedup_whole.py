@@ -1,5 +1,12 @@
 """Line deduplication finds every block that an earlier document has."""
+from collections import defaultdict
+
+import duckdb
+import pytest
+
 from enrichflow.llm import line_dedup as op
+from enrichflow.llm.catalog import QUERIES
+from tests.llm.test_line_dedup import SF, words
 
 
 def removed(spark, rows):
@@ -16,3 +23,42 @@ def test_common_passage_goes_beside_a_rare_one(spark):
     rows += [(199, f"{passage('Q')}\nown words of document number 199"), (200, f"{passage('P')}\nbetween\n{passage('Q')}\nend")]
     got = removed(spark, rows)
     assert got[200] == [*range(6), *range(7, 13)] and got[199] == got[1] == [] and got[150] == [*range(6)]
+
+
+def blocks(rows, least=20):
+    """Line numbers, by doc_id, of all runs of lines with that many words that an earlier document holds; every pair of lines is looked at."""
+    lines = {i: [x.strip(" \t\n\x0b\f\r") for x in t.split("\n")] for i, t in rows if t is not None}
+    places = defaultdict(list)
+    out = {}
+    for i in sorted(lines):
+        own, gone = lines[i], set()
+        for k, x in enumerate(own):
+            for earlier, at in places[x]:
+                other = lines[earlier]
+                if k and at and own[k - 1] == other[at - 1]:
+                    continue  # not the first line of the block
+                n = 1
+                while k + n < len(own) and at + n < len(other) and own[k + n] == other[at + n]:
+                    n += 1
+                if sum(words(y) for y in own[k:k + n]) >= least:
+                    gone.update(range(k, k + n))
+        for k, x in enumerate(own):
+            places[x].append((i, k))
+        if gone:
+            out[i] = sorted(gone)
+    return out
+
+
+def test_lines_with_different_owners_form_a_block(spark):
+    a, b = "eight words that make up the first line", "twelve other words that make up the second line of this block"
+    rows = [(1, f"{a}\nalone in one"), (2, f"alone in two\n{b}"), (3, f"in three\n{a}\n{b}\nends"), (4, f"in four\n{a}\n{b}\nstops")]
+    assert words(a) + words(b) == 20
+    assert removed(spark, rows) == {1: [], 2: [], 3: [], 4: [1, 2]}
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_query_finds_every_block(spark, size):
+    folder = SF.replace("sf0.01", size)
+    rows = duckdb.sql(f"SELECT doc_id, text FROM '{folder}/documents.parquet'").fetchall()
+    got = {r.doc_id: r.removed for r in QUERIES["op7_line_dedup"].run(spark, folder).collect() if r.removed}
+    assert got == blocks(rows) and got
