@@ -62,3 +62,10 @@ def test_query_finds_every_block(spark, size):
     rows = duckdb.sql(f"SELECT doc_id, text FROM '{folder}/documents.parquet'").fetchall()
     got = {r.doc_id: r.removed for r in QUERIES["op7_line_dedup"].run(spark, folder).collect() if r.removed}
     assert got == blocks(rows) and got
+
+
+@pytest.mark.parametrize("text", [" ".join(f"{k} verse" for k in range(200)).replace(" verse ", " verse\n"), "\n".join(f"行{k}" for k in range(60))])
+def test_blocks_of_short_lines(spark, text):
+    n = text.count("\n") + 1
+    got = removed(spark, [(1, f"one\n{text}\nalone"), (2, f"two\nthree\n{text}\nother"), (3, text)])
+    assert got == {1: [], 2: [*range(2, n + 2)], 3: [*range(n)]}
