@@ -4,7 +4,8 @@ Lines are compared by a 64-bit hash after trimming blanks. From each line the sh
 forward and backward, is a key, which belongs to the earliest document that holds it, its owner. Every line of a common block
 of that size lies in such a run inside the block, however short the lines are and whoever else holds them one by one. A
 document is aligned with the owners of all its keys by patience diff: lines that are unique on both sides form the longest common
-order, and equal neighbours extend it. Aligned runs with at least ``BLOCK_WORDS`` words are deleted from the later document.
+order, and equal neighbours extend it. Aligned runs with at least ``BLOCK_WORDS`` words are deleted from the later document, and so
+are such runs that the alignment leaves because they are repeated or stand in another order.
 
 Every key has one owner, so a run held by very many documents gives one pair for each of them, never all pairs. Later
 means a larger ``doc_id``, then a larger text hash for rows that share an id; equal rows are one document. Null and empty texts
@@ -85,8 +86,31 @@ def shortest_runs(words: np.ndarray, first: np.ndarray, least: int) -> tuple[np.
     return np.append(at[ahead], since[back]), np.append(until[ahead], at[back] + 1)
 
 
+def left_blocks(earlier: Sequence[int], later: Sequence[int], words: Sequence[int], least: int) -> set[int]:
+    """Positions in ``later`` of all runs with at least ``least`` words that ``earlier`` has, in any order and number."""
+    codes: dict[int, int] = {}
+    values = np.array([codes.setdefault(x, len(codes)) for x in later], np.uint64)
+    counts = np.zeros(len(codes) + 1, np.int64)
+    counts[values] = words
+    other = np.array([codes.get(x, len(codes)) for x in earlier], np.uint64)
+    counts[-1] = 0
+    found = []
+    for side in (values, other):
+        starts, ends = shortest_runs(counts[side], np.array([0, len(side)]), least)
+        found.append((run_hashes(side, starts, ends), starts, ends))
+    (keys, starts, ends), (there, _, _) = found
+    hit = np.isin(keys, there)
+    cover = np.zeros(len(later) + 1, np.int64)
+    np.add.at(cover, starts[hit], 1)
+    np.add.at(cover, ends[hit], -1)
+    return set(np.flatnonzero(np.cumsum(cover)[:-1]).tolist())
+
+
 def common_blocks(earlier: Sequence[int], later: Sequence[int], words: Sequence[int], least: int) -> list[int]:
-    """Positions in ``later`` of aligned runs with at least ``least`` words; ``words`` counts those of each later line."""
+    """Positions in ``later`` of aligned runs with at least ``least`` words; ``words`` counts those of each later line.
+
+    Patience diff leaves out what is repeated or in another order; blocks left in the later document are matched by their runs.
+    """
     out: list[int] = []
     run: list[int] = []
     last = (-2, -2)
@@ -97,6 +121,8 @@ def common_blocks(earlier: Sequence[int], later: Sequence[int], words: Sequence[
             run = []
         run.append(j)
         last = (i, j)
+    if len(out) < len(later):
+        return sorted(left_blocks(earlier, later, words, least).union(out))
     return out
 
 

@@ -1,4 +1,5 @@
 """Line deduplication finds every block that an earlier document has."""
+import random
 from collections import defaultdict
 
 import duckdb
@@ -69,3 +70,20 @@ def test_blocks_of_short_lines(spark, text):
     n = text.count("\n") + 1
     got = removed(spark, [(1, f"one\n{text}\nalone"), (2, f"two\nthree\n{text}\nother"), (3, text)])
     assert got == {1: [], 2: [*range(2, n + 2)], 3: [*range(n)]}
+
+
+def test_repeated_and_moved_blocks(spark):
+    p, q = passage("P", 3), passage("Q", 3)
+    rows = [(1, f"u\n{p}\nv"), (2, f"x\n{p}\ny\n{p}\nz"), (11, f"{q}\nmiddle of eleven\n{passage('R', 3)}"), (12, f"{passage('R', 3)}\nin twelve\n{q}"),
+            (21, f"{passage('S', 3)}\nm\n{passage('S', 3)}"), (22, f"n\n{passage('S', 3)}\no")]
+    assert removed(spark, rows) == {1: [], 2: [1, 2, 3, 5, 6, 7], 11: [], 12: [0, 1, 2, 4, 5, 6], 21: [], 22: [1, 2, 3]} == {
+        1: [], 11: [], 21: [], **blocks(rows)}
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_common_blocks_are_all_found(seed):
+    draw = random.Random(seed)
+    a, b = ([draw.randrange(5) for _ in range(draw.randrange(60))] for _ in range(2))
+    count = [0, 1, 7, 11, 19]
+    text = lambda x: "\n".join(" ".join([f"w{v}"] * count[v]) for v in x)
+    assert op.common_blocks(a, b, [count[v] for v in b], 20) == blocks([(1, text(a)), (2, text(b))]).get(2, [])
