@@ -7,6 +7,11 @@ template tokens are joined by hash, so a re-parameterised question still meets i
 one document value, apart from ``1 - AGREE`` of the slots (edited copies). A document leaks an item if its consistent diagonals cover at least ``SHARE`` of the
 item's windows.
 
+Three forms of a text are compared, each for itself: the tokens as they are, the tokens with a run of capitalised words folded
+into one ``<name>`` (so a two-word name may stand for a one-word one; its value is the run without the words that begin both), and all in lower case without
+names (so a copy in another case is found). The first form that meets the rule gives the figures of a result. In lower case
+only whole windows count, as a few words without slots are ordinary text.
+
 An item shorter than a window is one window of its own length. Windows need ``LITERALS`` tokens that are no slots; an item
 without such a window cannot be told from ordinary text and is never found. Null and empty texts and items hold nothing.
 Rows without ``doc_id`` or ``item_id`` are left out, repeated rows give one result, other columns are ignored.
@@ -23,6 +28,10 @@ UNITS = ("%", "km", "m", "cm", "mm", "kg", "g", "mg", "lb", "l", "ml", "s", "ms"
          "seconds", "days", "day", "weeks", "years", "year", "dollars", "euros", "cents", "meters", "metres", "miles", "feet",
          "inches", "liters", "litres", "grams", "pounds", "percent", "degrees", "mph", "kmh", "kb", "mb", "gb")
 _SLOTS = ("<num>", "<unit>", "<name>")
+_NAME, _JOINED = r"\p{Lu}\p{Ll}+", "\u0001"
+#: Words that begin both runs of names, as "If" in "If Anna" and "If Mary Ann", are no part of what stands for what.
+_SAME_START = r"^((?:[^\u0001\u0002]+\u0001)+)([^\u0002]*\u0002)\1"
+AS_IS, FOLDED, LOWER = 0, 1, 2
 
 
 def plain(text: str = "text") -> Column:
@@ -35,7 +44,7 @@ def plain(text: str = "text") -> Column:
 
 def template(text: Column) -> Column:
     """The template of a plain text, token by token."""
-    out = F.regexp_replace(text, r"(?<![^ ])\p{Lu}\p{Ll}+(?![^ ])", "<name>")
+    out = F.regexp_replace(text, rf"(?<![^ ]){_NAME}(?:{_JOINED}{_NAME})*(?![^ ])", "<name>")
     out = F.regexp_replace(out, r"(?<![^ ])\p{N}[\p{N}.]*(?![^ ])", "<num>")
     out = F.regexp_replace(out, r"(?<![^ ])[$€£] <num>", "<unit> <num>")
     out = F.regexp_replace(out, r"(?i)<num> (?:" + "|".join(UNITS) + ")(?![^ ])", "<num> <unit>")
@@ -46,16 +55,25 @@ def _tokens(text: Column) -> Column:
     return F.split(text, " ", -1)
 
 
+def _forms(rows: DataFrame, key: str) -> DataFrame:
+    """(key, form, plain): the plain text in each form."""
+    text = F.col("plain")
+    folded = F.regexp_replace(text, rf"(?<![^ ])({_NAME}) (?={_NAME}(?![^ ]))", f"$1{_JOINED}")
+    forms = F.array(*(F.struct(F.lit(form).alias("form"), x.alias("plain"))
+                      for form, x in ((AS_IS, text), (FOLDED, folded), (LOWER, F.lower(text)))))
+    return rows.select(key, once(plain()).alias("plain")).select(key, F.explode(once(forms)).alias("f")).select(key, "f.form", "f.plain")
+
+
 def _codes(rows: DataFrame, key: str) -> DataFrame:
-    """(key, codes): a hash of each template token."""
-    tokens = once(_tokens(template(plain())))
-    return rows.select(key, once(F.transform(tokens, lambda t: F.xxhash64(t))).alias("codes"))
+    """(key, form, codes): a hash of each template token."""
+    tokens = once(_tokens(template(F.col("plain"))))
+    return _forms(rows, key).select(key, "form", once(F.transform(tokens, lambda t: F.xxhash64(t))).alias("codes"))
 
 
 def _windows(rows: DataFrame, size: int, *keep: str) -> DataFrame:
     """A row for each run of ``size`` codes: the ``keep`` columns, ``size``, ``at`` and ``hash``."""
     starts = F.sequence(F.lit(0), F.size("codes") - size)
-    hashes = F.transform(starts, lambda i: F.xxhash64(*(F.get("codes", i + k) for k in range(size))))
+    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice("codes", i + 1, size)))
     return rows.filter(F.size("codes") >= size).select(*keep, F.lit(size).alias("size"), F.posexplode(hashes).alias("at", "hash"))
 
 
@@ -67,44 +85,46 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def item_windows(items: DataFrame, window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
-    """(item_id, size, at, hash, total): windows of the items with enough literal tokens, and how many an item has."""
+    """(item_id, form, size, at, hash, total): windows of the items with enough literal tokens, and how many an item has."""
     rows = _codes(items.filter("item_id IS NOT NULL"), "item_id")
     slots = F.array(*(F.xxhash64(F.lit(s)) for s in _SLOTS))
     rows = rows.withColumn("literal", F.transform("codes", lambda c: (~F.array_contains(slots, c)).cast("int")))
     own = [rows if size == window else rows.filter(F.size("codes") == size) for size in range(1, window + 1)]
-    all_ = _union([_windows(part, size, "item_id", "literal") for size, part in enumerate(own, 1)])
+    all_ = _union([_windows(part, size, "item_id", "form", "literal") for size, part in enumerate(own, 1)])
     solid = F.aggregate(F.slice("literal", F.col("at") + 1, F.col("size")), F.lit(0), lambda n, x: n + x)
-    all_ = all_.filter(solid >= literals).select("item_id", "size", "at", "hash").distinct()
-    return all_.join(all_.groupBy("item_id").agg(F.count_distinct("at").alias("total")), "item_id")
+    all_ = all_.filter((solid >= literals) & ((F.col("form") != LOWER) | (F.col("size") == window)))
+    all_ = all_.select("item_id", "form", "size", "at", "hash").distinct()
+    return all_.join(all_.groupBy("item_id", "form").agg(F.count_distinct("at").alias("total")), ["item_id", "form"])
 
 
 def meetings(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """(doc_id, item_id, total, size, at, place): windows of documents that have the hash of an item's window.
+    """(doc_id, item_id, form, total, size, at, place): windows of documents that have the hash of an item's window.
 
     ``windows`` should be stored, so that Spark knows its size and broadcasts it only if small.
     """
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # at most the window length
     rows = _codes(docs.filter("doc_id IS NOT NULL"), "doc_id")
-    found = _union([_windows(rows, size, "doc_id").withColumnRenamed("at", "place") for size in sizes or [WINDOW]])
-    return found.join(windows, ["hash", "size"]).select("doc_id", "item_id", "total", "size", "at", "place").distinct()
+    found = _union([_windows(rows, size, "doc_id", "form").withColumnRenamed("at", "place") for size in sizes or [WINDOW]])
+    return found.join(windows, ["hash", "size", "form"]).select("doc_id", "item_id", "form", "total", "size", "at", "place").distinct()
 
 
 def _agreement(near: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, diagonal, slots, agreeing): slots on each diagonal, and those with the usual value of their item value."""
+    """(doc_id, item_id, form, diagonal, slots, agreeing): slots on each diagonal, and those with the usual value of their item value."""
     def tokens(frame: DataFrame, key: str, name: str) -> DataFrame:
-        text = once(plain())
-        return frame.select(key, text.alias("plain")).filter("plain <> ''").select(
-            key, _tokens(F.col("plain")).alias(f"{name}_raw"), once(_tokens(template(F.col("plain")))).alias(f"{name}_kind"))
+        return _forms(frame, key).filter("plain <> ''").select(
+            key, "form", _tokens(F.col("plain")).alias(f"{name}_raw"), once(_tokens(template(F.col("plain")))).alias(f"{name}_kind"))
 
     met_docs = docs.join(near.select("doc_id").distinct(), "doc_id", "left_semi")  # before their texts are rewritten again
-    met = near.join(tokens(met_docs, "doc_id", "doc"), "doc_id").join(tokens(items, "item_id", "item"), "item_id")
+    met = near.join(tokens(met_docs, "doc_id", "doc"), ["doc_id", "form"]).join(tokens(items, "item_id", "item"), ["item_id", "form"])
     at = F.explode(F.sequence("begin", F.col("end") - 1)).alias("at")
-    met = met.select("doc_id", "item_id", "diagonal", "doc_raw", "doc_kind", "item_raw", "item_kind", at)
+    met = met.select("doc_id", "item_id", "form", "diagonal", "doc_raw", "doc_kind", "item_raw", "item_kind", at)
     there = F.col("at") + F.col("diagonal")
-    pairs = met.select("doc_id", "item_id", "diagonal", F.get("item_kind", F.col("at")).alias("kind"), F.get("doc_kind", there).alias("other"),
+    pairs = met.select("doc_id", "item_id", "form", "diagonal", F.get("item_kind", F.col("at")).alias("kind"), F.get("doc_kind", there).alias("other"),
                        F.get("item_raw", F.col("at")).alias("value"), F.get("doc_raw", there).alias("stands"))
     pairs = pairs.filter(F.col("kind").isin(*_SLOTS) & (F.col("kind") == F.col("other")))
-    keys = ["doc_id", "item_id", "diagonal"]
+    both = F.split(F.regexp_replace(F.concat("value", F.lit("\u0002"), "stands"), _SAME_START, "$2"), "\u0002", -1)
+    pairs = pairs.withColumn("both", once(both)).withColumns({"value": F.get("both", F.lit(0)), "stands": F.get("both", F.lit(1))}).drop("both")
+    keys = ["doc_id", "item_id", "form", "diagonal"]
     counted = pairs.groupBy(*keys, "kind", "value", "stands").count()
     usual = counted.groupBy(*keys, "kind", "value").agg(F.max("count").alias("most"), F.sum("count").alias("all"))
     return usual.groupBy(*keys).agg(F.sum("all").alias("slots"), F.sum("most").alias("agreeing"))
@@ -115,16 +135,17 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, literals: int
     """(doc_id, item_id, n_windows, total, slots, agreeing): documents that hold most of an item."""
     windows = written(item_windows(items, window, literals))
     met = meetings(docs, windows).withColumn("diagonal", F.col("place") - F.col("at"))
-    near = met.groupBy("doc_id", "item_id", "total", "diagonal").agg(
+    near = met.groupBy("doc_id", "item_id", "form", "total", "diagonal").agg(
         F.collect_set("at").alias("places"), F.min("at").alias("begin"), F.max(F.col("at") + F.col("size")).alias("end"))
     near = written(near)
     enough = F.size(F.array_distinct(F.flatten(F.collect_list("places")))) >= share * F.col("total")
-    mostly = near.groupBy("doc_id", "item_id", "total").agg(enough.alias("enough")).filter("enough")
-    near = written(near.join(mostly.select("doc_id", "item_id"), ["doc_id", "item_id"]))
+    mostly = near.groupBy("doc_id", "item_id", "form", "total").agg(enough.alias("enough")).filter("enough")
+    near = written(near.join(mostly.select("doc_id", "item_id", "form"), ["doc_id", "item_id", "form"]))
     slots = _agreement(near, docs, items)
-    kept = near.join(slots, ["doc_id", "item_id", "diagonal"], "left").fillna(0, ["slots", "agreeing"])
+    kept = near.join(slots, ["doc_id", "item_id", "form", "diagonal"], "left").fillna(0, ["slots", "agreeing"])
     kept = kept.filter(F.col("agreeing") >= agree * F.col("slots"))
-    return kept.groupBy("doc_id", "item_id", "total").agg(
+    held = kept.groupBy("doc_id", "item_id", "form", "total").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("bigint").alias("n_windows"),
-        F.sum("slots").alias("slots"), F.sum("agreeing").alias("agreeing")).filter(F.col("n_windows") >= share * F.col("total")).select(
-        "doc_id", "item_id", "n_windows", "total", "slots", "agreeing")
+        F.sum("slots").alias("slots"), F.sum("agreeing").alias("agreeing")).filter(F.col("n_windows") >= share * F.col("total"))
+    first = held.groupBy("doc_id", "item_id").agg(F.min(F.struct("form", "n_windows", "total", "slots", "agreeing")).alias("r"))
+    return first.select("doc_id", "item_id", "r.n_windows", "r.total", "r.slots", "r.agreeing")
