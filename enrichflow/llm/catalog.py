@@ -113,3 +113,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from enrichflow.llm import chat as op
 
     return op.rendered(table(spark, sf_dir, "conversations"))
+
+
+@query()
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from enrichflow.llm import mixing as op
+
+    return op.mixed(table(spark, sf_dir, "documents"), weights=(1, 2, 3), limit=3)
