@@ -115,8 +115,42 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.rendered(table(spark, sf_dir, "conversations"))
 
 
+BYTE_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+@query()
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from enrichflow.llm import alignment as op
+
+    with open(BYTE_TOKENIZER, encoding="utf-8") as file:
+        return op.scored(table(spark, sf_dir, "documents"), file.read(), model_bytes())
+
+
 @query()
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from enrichflow.llm import mixing as op
 
     return op.mixed(table(spark, sf_dir, "documents"), weights=(1, 2, 3), limit=3)
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+@query(f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}') AS ts FROM documents
+           WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+s AS (SELECT count(*)::HUGEINT AS n_docs, coalesce(sum(len(ts)), 0)::HUGEINT AS n_terms FROM d WHERE len(ts) > 0),
+t AS (SELECT r, doc_id, len(ts) AS n, unnest(ts) AS term FROM d),
+c AS (SELECT r, doc_id, n, term, count(*) AS tf FROM t GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM c GROUP BY term),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}')) AS term FROM benchmark WHERE item_id IS NOT NULL),
+p AS (SELECT item_id, r, doc_id, sum(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT
+                 * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms)))) AS score
+      FROM i JOIN f USING (term) JOIN c USING (term) CROSS JOIN s GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM p WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score::BIGINT AS score FROM k WHERE rank <= 10""")
+def op12_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from enrichflow.llm import treap as op
+
+    return op.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)

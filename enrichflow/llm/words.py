@@ -71,9 +71,10 @@ class Words:
     """Words of the texts of one Arrow column.
 
     ``starts`` and ``ends`` are byte positions in ``data``; the words of text ``i`` are ``first[i]`` to ``first[i + 1]``.
+    ``apart`` marks the bytes between words.
     """
 
-    def __init__(self, column: pa.Array | pa.ChunkedArray, lower: bool = False):
+    def __init__(self, column: pa.Array | pa.ChunkedArray, lower: bool = False, apart: np.ndarray = _SPACE):
         if isinstance(column, pa.ChunkedArray):
             column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
         column = pc.fill_null(column.cast(pa.large_string()), "")
@@ -85,7 +86,7 @@ class Words:
         self.offsets = self.offsets - begin
         if lower:
             self.data = _LOWER[self.data]
-        space = _SPACE[self.data]
+        space = apart[self.data]
         before = np.ones(len(space), bool)
         before[1:] = space[:-1]
         after = np.ones(len(space), bool)
