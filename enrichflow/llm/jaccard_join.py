@@ -33,7 +33,9 @@ from enrichflow.llm.words import _WORDS, Words, _range_hashes, mix, pieces
 from enrichflow.sources.scratch import written
 
 SETS = "doc_id bigint, node bigint, n bigint"
-NODES = "node bigint, n bigint, grams binary, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
+SKETCH = 16  # words of 64 bits
+SKETCHES = [f"s{i}" for i in range(SKETCH)]
+NODES = "node bigint, n bigint, grams binary, " + ", ".join(f"{s} bigint" for s in SKETCHES)
 INDEX = "sig bigint, node bigint"
 ROW_COST, MEETING_COST = 1.0, 4.0
 
@@ -84,7 +86,7 @@ def _shared(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _stored_sets(docs: DataFrame, size: int) -> DataFrame:
-    """One row per distinct set: its sorted grams and a 256-bit parity sketch."""
+    """One row per distinct set: its sorted grams and a parity sketch of ``64 * SKETCH`` bits."""
 
     def rows(batches):
         seen: set[int] = set()
@@ -96,11 +98,11 @@ def _stored_sets(docs: DataFrame, size: int) -> DataFrame:
                     continue
                 seen.add(node)
                 own = grams[first[i]:first[i + 1]]
-                odd = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+                odd = np.bincount((own >> np.uint64(54)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
                 sketch = np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
                 out.append((node, len(own), own.tobytes(), *sketch))
             if out:
-                yield pa.record_batch([pa.array(c) for c in zip(*out)], names=["node", "n", "grams", "s0", "s1", "s2", "s3"])
+                yield pa.record_batch([pa.array(c) for c in zip(*out)], names=["node", "n", "grams", *SKETCHES])
 
     return docs.mapInArrow(rows, NODES).dropDuplicates(["node"])
 
@@ -202,16 +204,23 @@ def _index(nodes: DataFrame, tops: list[int], plan: dict[int, tuple[int, int, in
 
 
 def _possible(a: str, b: str, percent: int):
-    """Size and sketch tests that every linked pair passes."""
+    """Size and sketch tests that every linked pair passes: sets that differ in ``d`` grams have sketches at most ``d`` bits apart.
+
+    A quarter of the sketch is tested first. The whole one is wide enough that few pairs pass that miss the threshold by more
+    than a few grams, so members of a large group that are not linked do not meet in pairs.
+    """
     small, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-    apart = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(4)), F.lit(0))
     most = F.floor((small + large) * (100 - percent) / (100 + percent))
-    return (100 * small >= percent * large) & (apart <= most)
+
+    def apart(words):
+        return sum((F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in words), F.lit(0))
+
+    return (100 * small >= percent * large) & (apart(SKETCHES[:SKETCH // 4]) <= most) & (apart(SKETCHES) <= most)
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
-    slim = nodes.select("node", "n", "s0", "s1", "s2", "s3")
+    slim = nodes.select("node", "n", *SKETCHES)
     left, right = slim.alias("x"), slim.alias("y")
     likely = (pairs.join(left, F.col("a") == F.col("x.node")).join(right, F.col("b") == F.col("y.node"))
               .filter(_possible("x", "y", percent)).select("a", "b"))
@@ -253,7 +262,7 @@ def classes(nodes: DataFrame, percent: int, choose=allocate) -> DataFrame:
 
     open_rows = rooted(met.select("sig", "node"), "node")
     several = open_rows.groupBy("sig").agg(F.min("node_root").alias("x"), F.max("node_root").alias("y")).filter("x < y")
-    slim = nodes.select("node", "n", "s0", "s1", "s2", "s3")
+    slim = nodes.select("node", "n", *SKETCHES)
     ends = written(open_rows.join(several.select("sig"), "sig").join(slim, "node"))
     one, two = ends.alias("one"), ends.alias("two")
     rest = (one.join(two, (F.col("one.sig") == F.col("two.sig")) & (F.col("one.node") < F.col("two.node"))
