@@ -30,11 +30,12 @@ def test_strip_and_fold_follow_unicode(spark):
         ("access-token abc; x", "E: access-token=<redacted>; x"),
         ("tokens are fine", "E: tokens are fine"),
         ("  ", "E: No error message"),
-        ("x" * 600, "E: " + "x" * 497),
+        ("x" * 600, "E: " + "x" * 600),
     ],
 )
 def test_error_detail(spark, message, wanted):
     assert one(spark, enrich.error_detail(F.lit("E"), F.lit(message))) == wanted
+    assert one(spark, enrich.error_detail(F.lit("E"), F.lit(message), most=9)) == wanted[:9]
 
 
 def test_blocks(spark):
@@ -179,6 +180,6 @@ def test_json_profile(spark):
     docs = ['{"a":1,"b":[]}', '{"a":"x","b":[1,"y",{"c":null}]}', '{"a":1.5,"b":{"d":true}}', "bad", '{"a":2}']
     got = {(r.path, r.type): r.n for r in jsonops.json_profile(spark.createDataFrame([(d,) for d in docs], "t string"), "t").collect()}
     assert got == {
-        ("$.a", "integer"): 2, ("$.a", "string"): 1, ("$.a", "number"): 1, ("$.b", "array"): 2, ("$.b[]", "string"): 2,
+        ("$", "object"): 4, ("$.a", "integer"): 2, ("$.a", "string"): 1, ("$.a", "number"): 1, ("$.b", "array"): 2, ("$.b[]", "string"): 2,
         ("$.b[]", "integer"): 1, ("$.b[]", "object"): 1, ("$.b[].c", "any"): 1, ("$.b", "object"): 1, ("$.b.d", "boolean"): 1,
     }

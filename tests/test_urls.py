@@ -59,8 +59,9 @@ ID_CLAUSES = {
                    ["/abs/0704.123", "/abs/1812.987654", "/abs/12.98765", "/abs/q-bio/512345", "/abs/9q/0512345", "/abs/"]),
     "version": (["/abs/0704.1234v12", "/abs/q-bio/0512345v1"], ["/abs/0704.1234v", "/abs/0704.1234w1", "/abs/0704.1234v1v2"]),
     "file ending": (["/pdf/1812.98765.pdf", "/pdf/q-bio/0512345v2.pdf"], ["/pdf/1812.98765.ps", "/pdf/1812.98765.pdf.pdf"]),
-    "head": (["/pdf/0704.1234"], ["/ABS/0704.1234", "/0704.1234", "/html/0704.1234", "//abs/0704.1234"]),
-    "segments": (["/abs/q-bio/0512345"], ["/abs/a/q-bio/0512345", "/abs/0704.1234/"]),
+    "head": (["/pdf/0704.1234"], ["/ABS/0704.1234", "/0704.1234", "/html/0704.1234"]),
+    "segments": (["/abs/q-bio/0512345"], ["/abs/a/q-bio/0512345"]),
+    "empty segments": (["//abs/0704.1234", "/abs/0704.1234/", "/abs//q-bio///0512345/"], ["//", "/abs//", "///pdf/"]),
     "decoding": (["/abs/%30704.1234", "/pdf/q%2Dbio/0512345"], ["/abs/q-bio%2F0512345", "/abs/%2E/0704.1234", "/abs/q-bio%5C0512345", "/abs/%/0704.1234"]),
     "nothing behind": (["/abs/0704.1234"], ["/abs/0704.1234?", "/abs/0704.1234?a", "/abs/0704.1234#a"][1:]),
 }
@@ -69,7 +70,7 @@ ID_HOSTS = (["export.arxiv.org", "ARXIV.ORG"], ["arxiv.org:444", "a:b@export.arx
 
 def named(path):
     """Identifier of a good path, by plain text work."""
-    tail = path.split("/", 2)[2].replace("%30", "0").replace("%2D", "-").removesuffix(".pdf")
+    tail = "/".join([p for p in path.split("/") if p][1:]).replace("%30", "0").replace("%2D", "-").removesuffix(".pdf")
     return tail.rstrip("0123456789")[:-1] if tail.rstrip("0123456789").endswith("v") else tail
 
 
