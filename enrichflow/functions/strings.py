@@ -50,20 +50,35 @@ def _foldings() -> tuple[dict[str, str], str, str]:
 
 
 _LONG, _FROM, _TO = _foldings()
+_WESTERN = "\u0148"  # up to here, two characters fold further than lower() does
+
+
+def _ranges() -> str:
+    """A class of few ranges that holds every folding character above ``_WESTERN``; gaps of up to 64 code points are filled."""
+    points = sorted(ord(c) for c in [*_LONG, *_FROM] if c > _WESTERN)
+    runs = [[points[0], points[0]]]
+    for point in points[1:]:
+        if point - runs[-1][1] > 64:
+            runs.append([point, point])
+        runs[-1][1] = point
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]"
+
+
+_FAR = _ranges()
 
 
 def fold_case(col: Column) -> Column:
-    """Full Unicode case folding. Texts without a character that ``lower()`` leaves alone pay one pattern test."""
+    """Full Unicode case folding. A text without far characters that may fold costs one test and two replacements."""
     low = F.lower(col)
 
-    def fold(text: Column) -> Column:
-        out = F.translate(text, _FROM, _TO)
-        for char, several in _LONG.items():
-            out = F.replace(out, F.lit(char), F.lit(several))
+    def fold(singles: str, to: str, several: dict[str, str]) -> Column:
+        out = F.translate(low, singles, to) if singles else low
+        for char, text in several.items():
+            out = F.replace(out, F.lit(char), F.lit(text))
         return out
 
-    rare = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in [*_LONG, *_FROM]) + "]"
-    return bind(lambda text: F.when(text.rlike(rare), fold(text)).otherwise(text), text=low)
+    near = {c: f for c, f in {**_LONG, **dict(zip(_FROM, _TO))}.items() if c <= _WESTERN}
+    return F.when(low.rlike(_FAR), fold(_FROM, _TO, _LONG)).otherwise(fold("", "", near) if near else low)
 
 
 def fold_title(col: Column) -> Column:

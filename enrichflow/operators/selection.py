@@ -7,6 +7,8 @@ from enrichflow import fixed_values as V
 from enrichflow.functions.strings import archive_key, fold_title, once
 from enrichflow.functions.urls import ARCHIVE, IdShape, canonical_id
 from enrichflow.operators.keyed import first_n_cutoff
+from enrichflow.operators.keywords import containing
+from enrichflow.operators.ranking import ranked
 from enrichflow.schemas import RECORD_TASK
 
 NO_LINK, TOPIC_MISMATCH, INVALID_LINK, SELECTED = "no_link", "topic_mismatch", "invalid_link", "selected"
@@ -40,23 +42,38 @@ def check_selection(topics: Sequence[str], questions: Sequence[str], max_records
         raise ValueError("questions must contain non-blank values")
 
 
-def dispose(seeds: DataFrame, topics: Sequence[str] = (), ids: IdShape = ARCHIVE) -> DataFrame:
-    """Adds ``folded_title`` (of linked records), ``arxiv_id`` and ``disposition`` to unique records."""
+def on_topic(folded: DataFrame, topics: DataFrame, key: str = "detail_url") -> DataFrame:
+    """(key): titles that contain a topic of a table of any size; an empty table selects none."""
+    words = topics.select(fold_title(F.col(topics.columns[0])).alias("keyword"))
+    return containing(folded, words, key, "folded_title").select(key).distinct()
+
+
+def dispose(seeds: DataFrame, topics: Sequence[str] | DataFrame = (), ids: IdShape = ARCHIVE, key: str = "detail_url") -> DataFrame:
+    """Adds ``folded_title`` (of linked records), ``arxiv_id`` and ``disposition`` to unique records.
+
+    ``topics`` is a short list, tested title by title, or a table whose first column holds them, joined by an index of their n-grams;
+    then ``key`` must tell the records apart.
+    """
     linked = F.col("arxiv_url").isNotNull()
     folded = seeds.withColumn("folded_title", once(F.when(linked, fold_title(F.col("title"))))).withColumn(
         "arxiv_id", once(canonical_id(F.col("arxiv_url"), ids))
     )
+    if isinstance(topics, DataFrame):
+        found = on_topic(folded.filter(linked), topics, key).withColumn("_on_topic", F.lit(True))
+        folded, fits = folded.join(found, key, "left"), F.col("_on_topic").isNotNull()
+    else:
+        fits = matches_any(F.col("folded_title"), topics)
     return folded.withColumn(
         "disposition",
         waterfall(
             [
                 (NO_LINK, F.col("arxiv_url").isNull()),
-                (TOPIC_MISMATCH, ~matches_any(F.col("folded_title"), topics)),
+                (TOPIC_MISMATCH, ~fits),
                 (INVALID_LINK, F.col("arxiv_id").isNull()),
             ],
             SELECTED,
         ),
-    )
+    ).drop("_on_topic")
 
 
 def selected_tasks(disposed: DataFrame, questions: Sequence[str], max_records: int = 0) -> DataFrame:
@@ -107,6 +124,16 @@ def cap_new(remaining: DataFrame, limit: int, run: str = "run_id", order: str =
     )
 
 
+def in_waves(remaining: DataFrame, size: int, limit: int = 0, run: str = "run_id", order: str = "ord") -> DataFrame:
+    """Adds ``wave``: 0 for the first ``size`` rows of a run in order, 1 for the next, and so on; NULL beyond ``limit`` (0: none).
+
+    Rows are ranked once by ranges of the order, so a run may be of any size.
+    """
+    placed = ranked(remaining, [F.col(order).asc()], [run], "_rank", F.xxhash64("paper_key"))
+    within = F.col("_rank") < limit if limit else F.lit(True)
+    return placed.withColumn("wave", F.when(within, F.floor(F.col("_rank") / size).cast("int"))).drop("_rank")
+
+
 def deferred(rows: DataFrame, code: str = V.DEFERRED_BY_LIMIT, mode: str | None = None) -> DataFrame:
     """FAILED analysis rows for tasks that were not started; they are reported, never logged."""
     return rows.select(

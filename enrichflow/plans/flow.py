@@ -14,7 +14,7 @@ from enrichflow import fixed_values as V
 from enrichflow.operators import contracts, counts, enrich, extract, joins, keyed, reports, selection, texts
 from enrichflow.schemas import ANALYSIS_RESULT, LIKES_RESULT, RECORD_TASK
 from enrichflow.sources import logs, snapshots
-from enrichflow.sources.scratch import written
+from enrichflow.sources.scratch import folder, written
 
 
 @dataclass(frozen=True)
@@ -78,7 +78,8 @@ def analyse(
 ) -> Branch:
     """Analysis branch: resume from the log, call in waves, append each wave, merge. ``tasks`` need run_id and ord.
 
-    A wave is the next ``wave`` tasks of each run in order. It is logged (and its interim reports and question-answer
+    A wave is the next ``wave`` tasks of each run in order. Tasks are ranked once and stored by wave, so a wave reads its own
+    tasks only, however many waves there are. It is logged (and its interim reports and question-answer
     rows written under ``reports_path``) before the next one starts, so a failure keeps all finished waves and the next
     call goes on from there. A run with an authorization failure in a wave starts no further one; which rows that
     defers depends on the order alone. ``max_new`` above 0 caps the new calls of a run. Deferred rows are returned
@@ -93,27 +94,29 @@ def analyse(
     if make_function is None:
         skipped = enrich.unavailable(remaining, V.SKIPPED_NO_MODEL_ACCESS, mode)
         return Branch(results=joins.merge_by_priority([done, skipped], tasks, *RUN_KEY), fresh=skipped)
-    capped = written(selection.cap_new(remaining, max_new))
     done = written(done)
-    scheduled = capped.filter("scheduled").drop("scheduled")
-    attempt, rest = uuid.uuid4().hex, scheduled
-    while True:
-        ends = written(keyed.first_n_cutoff(rest, ["run_id"], "ord", wave))
-        if ends.first() is None:
-            break
-        now = rest.join(ends, "run_id").filter(F.col("ord") <= F.col("cutoff")).drop("cutoff")
-        attempts = written(enrich.enrich_rows(now, make_function, mode, partitions))
+    placed = selection.in_waves(remaining, wave, max_new)
+    capped = written(placed, by="wave")
+    scheduled = capped.filter("wave IS NOT NULL")
+    attempt, closed = uuid.uuid4().hex, folder(spark)
+    ends = written(scheduled.groupBy("run_id").agg(F.max("wave").alias("last")))
+    last = ends.agg(F.max("last")).first()[0]
+    for number in range(0 if last is None else last + 1):
+        now, open_runs = scheduled.filter(F.col("wave") == number), ends.filter(F.col("last") >= number)
+        if number and stop_on_auth_failure:
+            stopped = spark.read.schema("run_id string").parquet(closed)
+            now, open_runs = (rows.join(stopped, "run_id", "left_anti") for rows in (now, open_runs))
+            if open_runs.isEmpty():
+                break
+        attempts = written(enrich.enrich_rows(now.drop("wave"), make_function, mode, partitions))
         logs.append_log(attempts, log_path, attempt)
         if reports_path is not None:
             _write_wave(now, attempts, reports_path)
-        rest = rest.join(ends, "run_id").filter(F.col("ord") > F.col("cutoff")).drop("cutoff")
-        if stop_on_auth_failure:
-            closed = attempts.filter(enrich.is_auth_failure(F.col("error_detail"))).select("run_id").distinct()
-            rest = rest.join(written(closed), "run_id", "left_anti")
-        rest = written(rest)
+        failed = attempts.filter(enrich.is_auth_failure(F.col("error_detail"))).select("run_id").distinct()
+        failed.write.mode("append").parquet(closed)
     tried = logs.read_log(spark, log_path, ANALYSIS_RESULT).filter(F.col("attempt") == attempt)
     fresh = _latest(tried, scheduled)
-    late = selection.deferred(capped.filter(~F.col("scheduled")), V.DEFERRED_BY_LIMIT, mode)
+    late = selection.deferred(capped.filter("wave IS NULL"), V.DEFERRED_BY_LIMIT, mode)
     closed = selection.deferred(scheduled.join(fresh.select(*RUN_KEY), list(RUN_KEY), "left_anti"), V.DEFERRED_BY_CUTOFF, mode)
     merged = joins.merge_by_priority([done, fresh, closed, late], tasks, *RUN_KEY)
     return Branch(results=merged, fresh=fresh)
@@ -201,8 +204,12 @@ def aggregate_run(
     started_at: datetime,
     finished_at: datetime,
     page_count: int = 0,
+    tasks: DataFrame | None = None,
 ) -> DataFrame:
-    """Write manifest, warnings and summary of the stored results; returns the manifest."""
+    """Write manifest, warnings and summary of the stored results; returns the manifest.
+
+    ``tasks`` are the tasks that a run with a limit started from; without them all selected records count as tasks.
+    """
     spark = stored.sparkSession
     warnings = counts.warning_rows(failures, selection.rejected_links(disposed, "run_id"), "run_id")
     shown = F.struct(
@@ -212,7 +219,7 @@ def aggregate_run(
         )
     )
     manifest = reports.manifest_rows(
-        stored, counts.initial_counts(disposed, "run_id"), warnings, shown, started_at, finished_at, page_count
+        stored, counts.initial_counts(disposed, "run_id", tasks=tasks), warnings, shown, started_at, finished_at, page_count
     )
     path = snapshots.version_path(root, "manifest", version)
     snapshots.write_manifest(manifest, path)

@@ -4,9 +4,11 @@ from pyspark.sql import functions as F
 from enrichflow import fixed_values as V
 from enrichflow.functions.strings import escape_markup
 from enrichflow.operators import enrich, jsonops, texts
+from enrichflow.plans import flow
 from enrichflow.queries import tables
 from enrichflow.queries.registry import query
 from enrichflow.queries.tables import prop_number, table, text_table
+from enrichflow.sources.scratch import folder
 
 SHORT = 200
 
@@ -92,6 +94,38 @@ def q_auth_cutoff(spark, sf_dir):
     return enrich.cut_off(attempts).select(F.col("ord").alias("event_id"), "deferred")
 
 
+WAVE = 20
+
+
+def refusing():
+    """Function factory: longest words are counted; a text with a certain remainder of its length is refused."""
+
+    def call(task: dict) -> dict:
+        if len(task["title"]) % 97 == 0:
+            raise RuntimeError("HTTP 401")
+        return {"research_problem": str(max(map(len, task["title"].split(" "))))}
+
+    return call
+
+
+@query(
+    f"""
+WITH t AS (SELECT source AS run_id, doc_id, text, length(text) % 97 = 0 AS refused,
+                  (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // {WAVE} AS wave FROM documents),
+s AS (SELECT *, coalesce(min(CASE WHEN refused THEN wave END) OVER (PARTITION BY run_id), 1000000000) AS stop FROM t)
+SELECT run_id, 'arxiv:' || doc_id AS paper_key, CASE WHEN wave > stop OR refused THEN 'FAILED' ELSE 'SUCCESS' END AS status,
+       CASE WHEN wave > stop THEN 'ANALYSIS_DEFERRED_AUTHORIZATION_CIRCUIT_OPEN' WHEN refused THEN 'PAPER_ANALYSIS_FAILED' END AS error_code,
+       CASE WHEN wave <= stop AND NOT refused THEN
+         CAST(list_max(list_transform(string_split(text, ' '), lambda w: length(w))) AS VARCHAR) END AS problem
+FROM s"""
+)
+def q_enrich_waves(spark, sf_dir):
+    """All documents of each source in waves; a refused call closes its run after the wave."""
+    tasks = tables.record_tasks(spark, sf_dir)
+    made = flow.analyse(tasks, folder(spark), refusing, "structured_llm", wave=WAVE)
+    return made.results.select("run_id", "paper_key", "status", "error_code", F.col("analysis.research_problem").alias("problem"))
+
+
 @query(
     f"""
 SELECT doc_id, md5(clean) AS clean, clean <> text AS changed, md5(detail) AS detail,

@@ -59,6 +59,26 @@ def folded(spark, sf_dir):
     return taskstate.fold_states(tables.task_events(spark, sf_dir))
 
 
+def task_offers(spark, sf_dir, renamed_runs=None):
+    """What a batch offers to a stored task table: inserted, existing and conflicting rows by identity.
+
+    Tasks are enqueued before and after a cut; those of ``renamed_runs`` (None: all) may come back under another title.
+    """
+    events = tables.task_events(spark, sf_dir)
+    marked = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("seq"),
+        (prop_number() >= 90).alias("renamed"),
+        (F.col("ts") < F.lit(CUT).cast("timestamp")).alias("early"),
+    )
+    offers = events.filter(F.col("kind") == "enqueue").join(marked, "seq")
+    changes = F.col("renamed") if renamed_runs is None else F.col("renamed") & F.col("run_id").isin(*renamed_runs)
+    title = F.when(changes, F.concat("title", F.lit(" changed"))).otherwise(F.col("title"))
+    offers = offers.withColumn("title", title)
+    first = F.min_by(F.struct("title", "arxiv_url", "arxiv_id"), "seq")
+    stored = offers.filter("early").groupBy("run_id", "paper_key").agg(first.alias("t")).select("run_id", "paper_key", "t.*")
+    return taskstate.insert_tasks(stored, offers.filter("NOT early"))
+
+
 @query(
     f"""
 WITH offers AS (
@@ -77,18 +97,7 @@ SELECT run_id, paper_key, title, CAST(CASE WHEN same AND NOT known THEN 1 ELSE 0
 FROM j"""
 )
 def q_task_insert(spark, sf_dir):
-    events = tables.task_events(spark, sf_dir)
-    marked = table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("seq"),
-        (prop_number() >= 90).alias("renamed"),
-        (F.col("ts") < F.lit(CUT).cast("timestamp")).alias("early"),
-    )
-    offers = events.filter(F.col("kind") == "enqueue").join(marked, "seq")
-    title = F.when(F.col("renamed"), F.concat("title", F.lit(" changed"))).otherwise(F.col("title"))
-    offers = offers.withColumn("title", title)
-    first = F.min_by(F.struct("title", "arxiv_url", "arxiv_id"), "seq")
-    stored = offers.filter("early").groupBy("run_id", "paper_key").agg(first.alias("t")).select("run_id", "paper_key", "t.*")
-    inserts = taskstate.insert_tasks(stored, offers.filter("NOT early"))
+    inserts = task_offers(spark, sf_dir)
     return inserts.select("run_id", "paper_key", "title", "inserted", "existing", "conflicts")
 
 
@@ -374,18 +383,22 @@ def q_stream_latest(spark, sf_dir):
     root = folder(spark)
     rows = event_rows(spark, sf_dir)
     stream = latest.file_stream(spark, replayed(rows, "event_id", f"{root}/in"), rows.schema)
-    updates = latest.stream_latest(stream, ["user_id"], ["event_id"])
-    latest.start_sink(updates, f"{root}/out", f"{root}/state").awaitTermination()
-    return latest.current_rows(spark, f"{root}/out", ["user_id"]).select(
-        "user_id", F.col("number").alias("event_id"), "status"
-    )
+    table = latest.latest_table(f"{root}/table", rows.schema, ["user_id"], ["event_id"], buckets=8)
+    latest.start_upserts(stream, table, f"{root}/state").awaitTermination()
+    return table.current(spark).select("user_id", F.col("number").alias("event_id"), "status")
 
 
 def streamed_steps(spark, sf_dir):
     root = folder(spark)
     rows = tables.task_events(spark, sf_dir)
     stream = latest.file_stream(spark, replayed(rows, "seq", f"{root}/in"), rows.schema)
-    latest.start_sink(latest.stream_task_steps(stream), f"{root}/out", f"{root}/state").awaitTermination()
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, latest.ROCKS)
+    try:
+        latest.start_sink(latest.stream_task_steps(stream), f"{root}/out", f"{root}/state").awaitTermination()
+    finally:
+        spark.conf.set(store, before)
     return spark.read.parquet(f"{root}/out").drop("batch_id")
 
 
@@ -416,7 +429,7 @@ def q_stream_report(spark, sf_dir):
         )
     )
     stream = latest.file_stream(spark, replayed(rows, "seq", f"{root}/in"), rows.schema, files_per_trigger=1)
-    made = latest.stream_reports(stream, tables.record_tasks(spark, sf_dir))
-    latest.start_sink(made, f"{root}/out", f"{root}/state").awaitTermination()
-    written = latest.current_rows(spark, f"{root}/out", ["paper_key"])
+    feed = latest.ReportFeed(f"{root}/feed", rows.schema, tables.record_tasks(spark, sf_dir), buckets=8)
+    latest.start_reports(stream, feed, f"{root}/state").awaitTermination()
+    written = feed.reports.current(spark)
     return written.select("paper_key", "file_name", F.md5("body").alias("body"))

@@ -1,6 +1,7 @@
 """Append logs and result tables as JSON lines."""
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -31,24 +32,60 @@ def read_log(spark: SparkSession, path: str, schema: T.StructType, violations: C
             raise
         line_type = T.StructType().add("batch", T.LongType())
         return spark.createDataFrame([], T.StructType([*schema.fields, *PLACE.fields[:2], T.StructField(LINE, line_type)]))
-    line = F.struct(
-        F.col("_metadata.file_modification_time").alias("at"),
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("pos"),
-    )
+    rows, _ = _parsed(_placed_lines(text), schema)
+    return rows if violations is None else rows.filter(F.size(violations) == 0)
+
+
+_FILE = {"at": "_metadata.file_modification_time", "file": "_metadata.file_path", "block": "_metadata.file_block_start"}
+
+
+def _placed_lines(text: DataFrame) -> DataFrame:
+    return text.select("value", *(F.col(source).alias(name) for name, source in _FILE.items()))
+
+
+def _parsed(text: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(rows, bad lines) of lines with their place in a file."""
     known = T.StructType([*schema.fields, *PLACE.fields])
     shape = T.StructType([*known.fields, T.StructField(_BAD, T.StringType())])
+    line = F.struct("at", "file", "block", F.monotonically_increasing_id().alias("pos"))
     parsed = (
         text.select("value", line.alias(LINE))
         .filter(strip(F.col("value")) != "")
         .withColumn("r", F.from_json("value", shape, {"columnNameOfCorruptRecord": _BAD}))
-        .filter(F.col("r").isNotNull() & F.col(f"r.{_BAD}").isNull() & ~_has_unknown(F.col("value"), known))
+        .withColumn("good", F.col("r").isNotNull() & F.col(f"r.{_BAD}").isNull() & ~_has_unknown(F.col("value"), known))
     )
     names = [*schema.names, "run_id", "attempt"]
     order = F.struct("r.batch", "r.line", f"{LINE}.*")
-    rows = parsed.select(*(F.col(f"r.{name}").alias(name) for name in names), order.alias(LINE))
-    return rows if violations is None else rows.filter(F.size(violations) == 0)
+    rows = parsed.filter("good").select(*(F.col(f"r.{name}").alias(name) for name in names), order.alias(LINE))
+    return rows, parsed.filter(F.coalesce(~F.col("good"), F.lit(True))).select("value", f"{LINE}.file", f"{LINE}.block")
+
+
+def stream_log(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
+    """The lines of an append log as they arrive, with the file they come from; ``take_log`` reads its micro-batches."""
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
+    return _placed_lines(lines)
+
+
+def take_log(schema: T.StructType, good: str, bad: str, violations: Column | None = None) -> Callable[[DataFrame, int], None]:
+    """What to do with each micro-batch of ``stream_log``: usable rows go to ``good``, all other lines to the quarantine ``bad``.
+
+    Each batch has a folder ``batch_id=N`` in both, which a replay overwrites. Rows have ``_line`` as those of ``read_log``, so the newest line of a key
+    does not depend on when files arrive.
+    """
+    schema = T.StructType([f for f in schema.fields if f.name not in PLACE.names])
+
+    def take(batch: DataFrame, batch_id: int) -> None:
+        rows, rest = _parsed(batch, schema)
+        if violations is not None:
+            checked = rows.withColumn("_broken", F.size(violations) > 0)
+            broken = checked.filter("_broken").drop("_broken")
+            rows = checked.filter(F.coalesce(~F.col("_broken"), F.lit(False))).drop("_broken")
+            refused = broken.select(F.to_json(F.struct(*schema.names)).alias("value"), f"{LINE}.file", f"{LINE}.block")
+            rest = rest.unionByName(refused)
+        rows.write.mode("overwrite").parquet(f"{good}/batch_id={batch_id}")
+        rest.write.mode("overwrite").parquet(f"{bad}/batch_id={batch_id}")
+
+    return take
 
 
 def _has_unknown(text: Column, schema: T.StructType) -> Column:

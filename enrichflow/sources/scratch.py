@@ -1,17 +1,41 @@
-"""Folders for tables that one job writes and the next reads."""
+"""Folders for tables that one job writes and the next reads.
+
+All folders of a Spark application lie in one folder of its own; ``clear`` removes it when its results have been written elsewhere.
+"""
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _home(spark: SparkSession) -> str:
+    """The application's folder in ``spark.checkpoint.dir``, which all executors share; local mode may use the warehouse instead."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/enrichflow-{spark.sparkContext.applicationId}"
+
+
 def folder(spark: SparkSession) -> str:
-    """A new folder in ``spark.checkpoint.dir``, or in the warehouse where that is unset; all executors share both."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/enrichflow-{uuid.uuid4().hex}"
+    """A new folder of the application."""
+    return f"{_home(spark)}/{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove everything this application has written to its folders; frames that read them are of no use afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_home(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
 
+def written(frame: DataFrame, path: str | None = None, by: str | None = None) -> DataFrame:
+    """The frame, computed once and stored; it is read back, so a lost executor costs no earlier work.
 
-def written(frame: DataFrame, path: str | None = None) -> DataFrame:
-    """The frame, computed once and stored; it is read back, so a lost executor costs no earlier work."""
+    ``by`` gives each value of a column a folder of its own, which a filter on it reads alone.
+    """
     path = path or folder(frame.sparkSession)
-    frame.write.option("compression", "zstd").parquet(path)
+    writer = frame.write.option("compression", "zstd")
+    if by is not None:
+        writer = frame.hint("rebalance", by).write.option("compression", "zstd").partitionBy(by)
+    writer.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)

@@ -1,20 +1,23 @@
 """Streaming forms: latest row per key, task states, reports. Each equals its batch operator.
 
-State is kept by Structured Streaming; sinks write one directory per micro-batch and overwrite it
-when a batch is replayed, so results do not change after a restart.
+State that must last is in keyed tables (``upserts``) or in Structured Streaming's state store; sinks write one directory per
+micro-batch and overwrite it when a batch is replayed, so results do not change after a restart.
 """
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from enrichflow.fixed_values import COMPLETED
 from enrichflow.operators import joins, reports, taskstate
 from enrichflow.operators.keyed import last_per_key, protected_latest
 from enrichflow.schemas import INT, LONG, TEXT, row
+from enrichflow.streaming.upserts import KeyedTable, latest_by, start_each_batch
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 16) -> DataFrame:
@@ -42,10 +45,21 @@ def current_rows(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFra
     return last_per_key(spark.read.parquet(path), keys, ["batch_id"]).drop("batch_id")
 
 
+def latest_table(root: str, schema: T.StructType, keys: Sequence[str], order: Sequence[str], status: str = "status",
+                 final: str = COMPLETED, buckets: int = 64) -> KeyedTable:
+    """Row-by-row upsert as a keyed table: finished rows stay, otherwise the newest row wins."""
+    return KeyedTable(root, keys, schema, lambda rows: protected_latest(rows, keys, order, status, final), buckets)
+
+
+def start_upserts(events: DataFrame, table: KeyedTable, checkpoint: str, **trigger) -> StreamingQuery:
+    """Keep ``table`` up to date with a stream of its rows."""
+    return start_each_batch(events, table.apply, checkpoint, **trigger)
+
+
 def stream_latest(
     events: DataFrame, keys: Sequence[str], order: Sequence[str], status: str = "status", final: str = COMPLETED
 ) -> DataFrame:
-    """Row-by-row upsert of a stream: finished rows stay, otherwise the newest row wins."""
+    """The same as a streaming aggregate, for sinks that take updated rows."""
     return protected_latest(events, keys, order, status, final)
 
 
@@ -56,83 +70,141 @@ _STEP = row(
 _STATE = row(state=TEXT, arxiv_id=TEXT)
 
 
-def _first(mask: np.ndarray, start: int) -> int | None:
-    """Position of the first True at or after ``start``."""
-    hits = np.flatnonzero(mask[start:])
-    return start + int(hits[0]) if hits.size else None
+Chunks = Callable[[], Iterable[pd.DataFrame]]
+_NEVER = np.iinfo(np.int64).max
 
 
-def _advance(state: str | None, own_id: str | None, batch: pd.DataFrame) -> tuple[str | None, str | None, pd.DataFrame]:
-    """State after a task's events of one micro-batch, with the events that moved it or were refused.
+def _earliest(chunks: Chunks, wanted: Callable[[pd.DataFrame], np.ndarray]) -> tuple[int, pd.Series | None]:
+    """Smallest sequence number of the wanted events, and that event."""
+    seq, found = _NEVER, None
+    for chunk in chunks():
+        mine = chunk[wanted(chunk)]
+        if len(mine) and (least := int(mine["seq"].min())) < seq:
+            seq, found = least, mine.loc[mine["seq"].idxmin()]
+    return seq, found
 
-    A task moves at most three times, so the moves are found by search and all refusals in one go.
-    """
-    batch = batch.sort_values("seq", ignore_index=True)
-    kind, event_id = batch["kind"].to_numpy(), batch["arxiv_id"].to_numpy(object)
-    is_claim, is_ok = kind == taskstate.CLAIM, kind == taskstate.RESULT_OK
-    is_result = is_ok | (kind == taskstate.RESULT_BAD)
-    before = np.full(len(batch), state, dtype=object)
-    moved = np.zeros(len(batch), dtype=bool)
-    at = 0
-
-    def move(to: str, where: int) -> None:
-        nonlocal state, at
-        state, at = to, where + 1
-        moved[where] = True
-        before[at:] = to
-
-    if state is None and (hit := _first(kind == taskstate.ENQUEUE, at)) is not None:
-        own_id = event_id[hit]
-        move("PENDING", hit)
-    same_id = event_id == own_id
-    if state == "PENDING" and (hit := _first(is_claim, at)) is not None:
-        move("CLAIMED", hit)
-    if state == "CLAIMED" and (hit := _first(is_result & same_id, at)) is not None:
-        move("SUCCESS" if is_ok[hit] else "FAILED", hit)
 
+def _moves(state: str | None, own_id: str | None, chunks: Chunks) -> tuple[str | None, list[tuple[int, str | None]]]:
+    """Where a task moves within a micro-batch: its id, and (sequence number, state after it) for enqueue, claim and result.
+
+    A task moves at most three times, so three searches over the chunks find all moves, in whatever order events come.
+    """
+    at, steps = -_NEVER, []
+    if state is None:
+        at, event = _earliest(chunks, lambda c: (c["kind"] == taskstate.ENQUEUE).to_numpy())
+        own_id, state = (event["arxiv_id"], "PENDING") if event is not None else (own_id, None)
+        steps.append((at, "PENDING"))
+    if state == "PENDING":
+        after = at
+        at, event = _earliest(chunks, lambda c: ((c["kind"] == taskstate.CLAIM) & (c["seq"] > after)).to_numpy())
+        state = "CLAIMED" if event is not None else state
+        steps.append((at, "CLAIMED"))
+    if state == "CLAIMED":
+        claimed = at
+        at, event = _earliest(chunks, lambda c: (c["kind"].isin([taskstate.RESULT_OK, taskstate.RESULT_BAD]) & (c["arxiv_id"] == own_id)
+                                                 & (c["seq"] > claimed)).to_numpy())
+        if event is not None:
+            steps.append((at, "SUCCESS" if event["kind"] == taskstate.RESULT_OK else "FAILED"))
+    return own_id, steps
+
+
+def _judged(state: str | None, own_id: str | None, moves: list[tuple[int, str | None]], chunk: pd.DataFrame) -> pd.DataFrame:
+    """The events of a chunk that moved the task or were refused."""
+    seq, kind = chunk["seq"].to_numpy(), chunk["kind"].to_numpy(object)
+    before = np.full(len(chunk), state, dtype=object)
+    moved = np.zeros(len(chunk), dtype=bool)
+    after = before.copy()
+    for at, to in moves:
+        before[seq > at] = to
+        after[seq >= at] = to
+        moved |= seq == at
+    same_id = chunk["arxiv_id"].to_numpy(object) == own_id
     reason = np.select(
         [
             moved | (kind == taskstate.ENQUEUE),
             np.equal(before, None),
-            is_claim,
+            kind == taskstate.CLAIM,
             ~same_id,
             before == "SUCCESS",
         ],
         [None, taskstate.UNKNOWN_TASK, taskstate.NOT_PENDING, taskstate.OTHER_IDENTITY, taskstate.ALREADY_SUCCEEDED],
         taskstate.NOT_CLAIMED,
     )
-    after = np.append(before[1:], [state]).astype(object)
-    steps = batch.assign(state=after, reason=reason)
+    steps = chunk.assign(state=after, reason=reason)
     steps["attempts"] = steps["state"].isin(["CLAIMED", "SUCCESS", "FAILED"]).astype("int32")
     shown = moved | steps["reason"].notna().to_numpy()
-    steps, finished = steps[shown].copy(), (moved & is_result)[shown]
+    finished = (moved & np.isin(kind, [taskstate.RESULT_OK, taskstate.RESULT_BAD]))[shown]
+    steps = steps[shown].copy()
     for name in ("likes", "raw_text", "error_code"):
         steps[name] = steps[name].astype(object).where(finished, None)
     steps["likes"] = steps["likes"].astype("Int64")
-    return state, own_id, steps
+    return steps
 
 
-def stream_task_steps(events: DataFrame) -> DataFrame:
-    """One row per event that moved a task or was refused (``reason``); state is one small row per task.
+_EVENT = row(seq=LONG, kind=TEXT, arxiv_id=TEXT, likes=LONG, raw_text=TEXT, error_code=TEXT)
 
-    Events must arrive in sequence order between micro-batches; inside one they are sorted per task.
-    A task's events of one micro-batch are held together, which the trigger size bounds.
+
+class TaskMachine(StatefulProcessor):
+    """One task: its state and id are a value in the state store.
+
+    A task whose events of a micro-batch fill more than one Arrow batch has them put into a list of the state store, and read from there
+    chunk by chunk for each search; no frame holds them all.
     """
-    names = _STEP.names
 
-    def advance(key: tuple, chunks: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        state, own_id = held.get if held.exists else (None, None)
-        state, own_id, steps = _advance(state, own_id, pd.concat(list(chunks), ignore_index=True))
-        if state is not None:
-            held.update((state, own_id))
-        yield steps[names]
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("task", _STATE)
+        self.many = handle.getListState("events", _EVENT)
+
+    def _stored(self, size: int) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
+        for event in self.many.get():
+            rows.append(tuple(event))
+            if len(rows) == size:
+                yield pd.DataFrame(rows, columns=_EVENT.names)
+                rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=_EVENT.names)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        state, own_id = self.held.get() if self.held.exists() else (None, None)
+        first, second = next(rows), next(rows, None)
+        if second is None:
+            def chunks():
+                return [first]
+        else:
+            for chunk in (first, second, *rows):
+                plain = chunk[_EVENT.names].astype({"likes": "Int64"}).astype(object)
+                plain = plain.where(plain.notna(), None)
+                self.many.appendList(list(plain.itertuples(index=False, name=None)))
+
+            def chunks():
+                return self._stored(len(first))
+        own_id, moves = _moves(state, own_id, chunks)
+        moves = [m for m in moves if m[0] != _NEVER]
+        if moves:
+            self.held.update((moves[-1][1], own_id))
+        for chunk in chunks():
+            steps = _judged(state, own_id, moves, chunk)
+            steps["run_id"], steps["paper_key"] = key
+            yield steps[_STEP.names]
+        if second is not None:
+            self.many.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def stream_task_steps(events: DataFrame) -> DataFrame:
+    """One row per event that moved a task or was refused (``reason``); the session must use the RocksDB state store (``ROCKS``).
 
+    Events must arrive in sequence order between micro-batches; within one their order does not matter.
+    """
     known = events.filter(
         F.col("kind").isin(taskstate.ENQUEUE, taskstate.CLAIM, taskstate.RESULT_OK, taskstate.RESULT_BAD)
     )
-    slim = known.select("run_id", "paper_key", "seq", "kind", "arxiv_id", "likes", "raw_text", "error_code")
-    return slim.groupBy("run_id", "paper_key").applyInPandasWithState(
-        advance, _STEP, _STATE, "update", GroupStateTimeout.NoTimeout
+    slim = known.select("run_id", "paper_key", *_EVENT.names)
+    return slim.groupBy("run_id", "paper_key").transformWithStateInPandas(
+        TaskMachine(), outputStructType=_STEP, outputMode="Update", timeMode="None"
     )
 
 
@@ -146,25 +218,49 @@ def refused_from_steps(steps: DataFrame) -> DataFrame:
     return steps.filter(F.col("reason").isNotNull()).select("run_id", "paper_key", "seq", "kind", "reason")
 
 
-def stream_reports(branch_events: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Report of every task touched by a micro-batch: interim while only the analysis is there, then final.
+class ReportFeed:
+    """Reports of the papers that a micro-batch touches: interim while only the analysis is there, then final.
 
-    ``branch_events``: (paper_key, seq, analysis_result struct or NULL, likes_result struct or NULL).
-    The newest row of each branch is a streaming aggregate; records join from a static table.
+    ``branch_events``: (paper_key, seq, analysis_result struct or NULL, likes_result struct or NULL). The newest row of each branch
+    is kept in a keyed table under ``root``, not in a state store. A batch updates both tables, and renders what it touched from the
+    touched rows and a static table of records; ``reports`` holds the newest body of each paper.
     """
-    latest = branch_events.groupBy("paper_key").agg(
-        F.max_by("analysis_result", F.when(F.col("analysis_result").isNotNull(), F.col("seq"))).alias("a"),
-        F.max_by("likes_result", F.when(F.col("likes_result").isNotNull(), F.col("seq"))).alias("likes"),
-    )
-    papers = tasks.select("paper_key", F.struct("title", "arxiv_id", "questions").alias("paper"))
-    both = latest.filter(F.col("a").isNotNull()).join(papers, "paper_key")
-    analysis = F.col("a.analysis")
-    status = joins.outcome(F.col("likes.status") == "SUCCESS", F.col("a.status") == "SUCCESS")
-    warnings = F.array_compact(F.array(F.col("likes.error_code"), F.col("a.error_code")))
-    interim = reports.interim_report(F.col("paper"), analysis, F.col("a.error_code"))
-    final = reports.final_report(F.col("paper"), F.col("likes"), analysis, status, warnings)
-    return both.select(
-        "paper_key",
-        reports.report_name(F.col("paper.arxiv_id")).alias("file_name"),
-        F.when(F.col("likes").isNull(), interim).otherwise(final).alias("body"),
-    )
+
+    def __init__(self, root: str, events: T.StructType, tasks: DataFrame, buckets: int = 64):
+        self.tasks = tasks
+        self.branches = {
+            name: KeyedTable(f"{root}/{name}", ["paper_key"], T.StructType([events["paper_key"], events["seq"], events[name]]),
+                             latest_by(["paper_key"], ["seq"]), buckets)
+            for name in ("analysis_result", "likes_result")
+        }
+        shape = row(paper_key=TEXT, file_name=TEXT, body=TEXT, batch=LONG)
+        self.reports = KeyedTable(f"{root}/reports", ["paper_key"], shape, latest_by(["paper_key"], ["batch"]), buckets)
+
+    def apply(self, batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            for name, table in self.branches.items():
+                table.apply(batch.filter(F.col(name).isNotNull()), batch_id)
+            keys = batch.select("paper_key").distinct()
+            found = [table.touched(keys).select("paper_key", name) for name, table in self.branches.items()]
+            made = self._rendered(found[0].join(found[1], "paper_key", "left"))
+            self.reports.apply(made.withColumn("batch", F.lit(batch_id).cast("bigint")), batch_id)
+        finally:
+            batch.unpersist()
+
+    def _rendered(self, both: DataFrame) -> DataFrame:
+        papers = self.tasks.select("paper_key", F.struct("title", "arxiv_id", "questions").alias("paper"))
+        likes, analysis = F.col("likes_result"), F.col("analysis_result.analysis")
+        status = joins.outcome(F.col("likes_result.status") == "SUCCESS", F.col("analysis_result.status") == "SUCCESS")
+        warnings = F.array_compact(F.array(F.col("likes_result.error_code"), F.col("analysis_result.error_code")))
+        interim = reports.interim_report(F.col("paper"), analysis, F.col("analysis_result.error_code"))
+        final = reports.final_report(F.col("paper"), likes, analysis, status, warnings)
+        return both.join(papers, "paper_key").select(
+            "paper_key",
+            reports.report_name(F.col("paper.arxiv_id")).alias("file_name"),
+            F.when(likes.isNull(), interim).otherwise(final).alias("body"),
+        )
+
+
+def start_reports(branch_events: DataFrame, feed: ReportFeed, checkpoint: str, **trigger) -> StreamingQuery:
+    return start_each_batch(branch_events, feed.apply, checkpoint, **trigger)

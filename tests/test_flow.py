@@ -63,6 +63,24 @@ def test_cut_off_between_waves_ignores_partitions(spark, tmp_path, partitions):
     assert spark.read.parquet(f"{tmp_path}/interim-reports").count() == spark.read.parquet(f"{tmp_path}/qa-log").count() == 7
 
 
+def test_tasks_are_stored_once_for_all_waves(spark, tmp_path):
+    """Seven waves over one run: the task table is ranked and stored by wave once, and a wave reads its own folder."""
+    work = spark.range(70).selectExpr("'r' AS run_id", "id AS ord", "concat('arxiv:', id) AS paper_key", "array('q') AS questions",
+                                      "CAST(id AS STRING) AS arxiv_id", "'t' AS title")
+    stored = []
+    real, flow.written = flow.written, lambda frame, *a, **k: stored.append(k.get("by")) or real(frame, *a, **k)
+    try:
+        made = flow.analyse(work, f"{tmp_path}/log", factory(), "structured_llm", wave=10)
+    finally:
+        flow.written = real
+    assert stored.count("wave") == 1 and len(stored) == 3 + 7  # done rows, tasks, ends of runs, and the attempts of each wave
+    assert made.fresh.count() == 70
+    placed = selection.in_waves(work, 10, 35)
+    assert {(r.wave, r["count"]) for r in placed.groupBy("wave").count().collect()} == {(0, 10), (1, 10), (2, 10), (3, 5), (None, 35)}
+    waves = real(placed, by="wave")
+    assert "PartitionFilters: [isnotnull(wave" in waves.filter("wave = 2")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_finished_waves_stay_when_a_later_one_fails(spark, tmp_path):
     work, log = tasks(spark, *"12345").withColumn("run_id", F.lit("r")), f"{tmp_path}/log"
 

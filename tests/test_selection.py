@@ -150,3 +150,21 @@ def test_other_contracts(spark):
     assert [r[0] for r in rows.select(contracts.run_input_violations()).collect()] == [
         [], ["UNSUPPORTED_YEAR", "MAX_PAPERS", "QUESTION_COUNT", "ANALYSIS_CONCURRENCY"]
     ]
+
+
+def test_keyword_table_equals_a_loop(spark):
+    import random
+
+    from enrichflow.operators.keywords import containing
+
+    draw = random.Random(1)
+    letters = "abcdé 中🙂"
+    titles = [(i, "".join(draw.choices(letters, k=draw.randrange(0, 40)))) for i in range(200)] + [(900, None), (901, "")]
+    words = ["".join(draw.choices(letters, k=draw.randrange(1, 9))) for _ in range(300)] + ["a", "", None, "abcdabcd" * 3, titles[0][1]]
+    frame = spark.createDataFrame(titles, "id int, title string")
+    found = containing(frame, spark.createDataFrame([(w,) for w in words], "keyword string"), "id")
+    want = {(i, w) for i, t in titles if t is not None for w in words if w and w in t}
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert containing(frame, spark.createDataFrame([], "keyword string"), "id").count() == 0

@@ -2,11 +2,13 @@ import random
 
 from pyspark.sql import types as T
 
-from enrichflow.operators import reports
+from enrichflow.operators import contracts, reports, taskstate
 from enrichflow.operators.joins import join_results
 from enrichflow.operators.keyed import protected_latest
 from enrichflow.schemas import ANALYSIS, LIKES_RESULT, LONG, TEXT, row
+from enrichflow.sources import logs
 from enrichflow.streaming import latest
+from enrichflow.streaming.upserts import start_each_batch
 from tests.test_joins import analysis, liked, likes, tasks, unliked
 
 
@@ -45,9 +47,9 @@ def test_interim_then_final_report(spark, tmp_path):
 
     def run(rows):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
-        made = latest.stream_reports(latest.file_stream(spark, source, schema, 1), papers)
-        latest.start_sink(made, out, state).awaitTermination()
-        return {r.paper_key: r.body for r in latest.current_rows(spark, out, ["paper_key"]).collect()}
+        feed = latest.ReportFeed(out, schema, papers, buckets=3)
+        latest.start_reports(latest.file_stream(spark, source, schema, 1), feed, state).awaitTermination()
+        return {r.paper_key: r.body for r in feed.reports.current(spark).collect()}
 
     first = run([(f"arxiv:{i}", n, g, None) for n, (i, g) in enumerate(good.items())])
     found = spark.createDataFrame([(f"arxiv:{i}", *g) for i, g in good.items()], T.StructType([T.StructField("paper_key", TEXT), *result.fields]))
@@ -57,3 +59,86 @@ def test_interim_then_final_report(spark, tmp_path):
     joined = join_results(papers, found, likes(spark, liked("1", 4), unliked("3")))
     final = {r.paper_key: r.body for r in reports.final_reports(joined).collect()}
     assert second == {"arxiv:1": final["arxiv:1"], "arxiv:2": wanted["arxiv:2"], "arxiv:3": final["arxiv:3"]}
+
+
+def test_keyed_table_equals_batch_and_survives_replays(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(rng.choice(["hot", "hot", *"abcdefg", None]), i, rng.choice(["PARTIAL", "PARTIAL", "COMPLETED"]), i * 2) for i in range(300)]
+    schema = row(key=TEXT, ord=LONG, status=TEXT, v=LONG)
+    rng.shuffle(rows)
+    table = latest.latest_table(str(tmp_path / "t"), schema, ["key"], ["ord"], buckets=4)
+    assert table.current(spark).count() == 0
+    for n in range(3):
+        part = spark.createDataFrame(rows[n * 100:(n + 1) * 100], schema)
+        table.apply(part, n)
+        once = sorted(map(str, table.current(spark).collect()))
+        table.apply(part, n)  # a restart between the work and the commit of a batch
+        assert sorted(map(str, table.current(spark).collect())) == once
+        batch = protected_latest(spark.createDataFrame(rows[:(n + 1) * 100], schema), ["key"], ["ord"])
+        assert once == sorted(str(r) for r in batch.select(*schema.names).collect())
+    table.apply(spark.createDataFrame([("solo", 1000, "PARTIAL", 1)], schema), 3)
+    held = table._record(spark)
+    assert sorted(held.values())[-2:] == [2, 3] and table.current(spark).filter("key = 'solo'").count() == 1  # one bucket was rewritten
+    assert {r.key for r in table.touched(spark.createDataFrame([("solo",), ("a",), ("none",)], "key string")).collect()} == {"solo", "a"}
+
+
+def test_hot_task_is_read_chunk_by_chunk(spark, tmp_path):
+    """A third of the events on one task, in small Arrow batches: the same steps as the fold of the whole log."""
+    rng = random.Random(6)
+    kinds = [taskstate.ENQUEUE, taskstate.CLAIM, taskstate.RESULT_OK, taskstate.RESULT_BAD]
+    rows = [("r", "hot" if i % 3 == 0 else f"k{rng.randrange(9)}", i, rng.choice(kinds), rng.choice(["1", "2"]), i if i % 2 else None, "t", None)
+            for i in range(600)]
+    schema = row(run_id=TEXT, paper_key=TEXT, seq=LONG, kind=TEXT, arxiv_id=TEXT, likes=LONG, raw_text=TEXT, error_code=TEXT)
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for part in (rows[:350], rows[350:]):
+        spark.createDataFrame(rng.sample(part, len(part)), schema).coalesce(1).write.mode("append").parquet(source)
+    names = {"spark.sql.streaming.stateStore.providerClass": latest.ROCKS, "spark.sql.execution.arrow.maxRecordsPerBatch": "16"}
+    old = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        steps = latest.stream_task_steps(latest.file_stream(spark, source, schema, 1))
+        latest.start_sink(steps, out, state).awaitTermination()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    got = {(r.paper_key, r.seq): (r.state, r.reason, r.likes) for r in spark.read.parquet(out).collect()}
+    want = {}
+    now = {}
+    for _, key, seq, kind, own, likes, _, _ in rows:
+        held, task = now.get(key, (None, None))
+        after, reason = held, None
+        if kind == taskstate.ENQUEUE:
+            if held is not None:
+                continue
+            after, task = "PENDING", own
+        elif held is None:
+            reason = taskstate.UNKNOWN_TASK
+        elif kind == taskstate.CLAIM:
+            after, reason = ("CLAIMED", None) if held == "PENDING" else (held, taskstate.NOT_PENDING)
+        elif own != task:
+            reason = taskstate.OTHER_IDENTITY
+        elif held == "CLAIMED":
+            after = "SUCCESS" if kind == taskstate.RESULT_OK else "FAILED"
+        else:
+            reason = taskstate.ALREADY_SUCCEEDED if held == "SUCCESS" else taskstate.NOT_CLAIMED
+        now[key] = (after, task)
+        finished = reason is None and after in ("SUCCESS", "FAILED")
+        want[key, seq] = (after, reason, likes if finished else None)
+    assert got == want
+
+
+def test_stream_of_a_log_equals_the_log(spark, tmp_path):
+    log, good, bad, state = (str(tmp_path / n) for n in ("log", "good", "bad", "state"))
+    take = logs.take_log(LIKES_RESULT, good, bad, contracts.likes_violations())
+    for n in range(3):
+        logs.append_log(likes(spark, liked("1", n), unliked(str(n + 2))), log)
+        if n == 1:
+            spark.createDataFrame([("{bad",), ("",), ('{"paper_key": "arxiv:9", "status": "SUCCESS", "other": 1}',),
+                                   ('{"paper_key": "arxiv:9", "status": "SUCCESS"}',)], "value string").coalesce(1).write.mode("append").text(log)
+        start_each_batch(logs.stream_log(spark, log, 1), take, state).awaitTermination()
+        whole = logs.read_log(spark, log, LIKES_RESULT, contracts.likes_violations())
+        rows = spark.read.parquet(good).drop("batch_id")
+        assert sorted(map(str, rows.drop("_line").collect())) == sorted(map(str, whole.drop("_line").collect()))
+        assert sorted(map(str, logs.latest_logged(rows).collect())) == sorted(map(str, logs.latest_logged(whole).collect()))
+    assert spark.read.parquet(bad).count() == 3
