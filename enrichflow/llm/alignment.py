@@ -26,13 +26,12 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from enrichflow.llm.pieces_codec import BYTE, MARK, parse_model, splits_by_word
@@ -88,8 +87,8 @@ def fragment(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarra
     if not len(at):
         return Fragment(a, b), np.zeros(0, np.int64)
     links = (a[at].astype(np.int64) << 32) | b[bt]
-    xs, ys = a.tolist(), b.tolist()
-    closed = [group_text(xs[i + 1:k + 1], ys[j + 1:m + 1]) for i, k, j, m in zip(at[:-1].tolist(), at[1:].tolist(), bt[:-1].tolist(), bt[1:].tolist())]
+    xs, ys = [str(i) for i in a.tolist()], [str(i) for i in b.tolist()]
+    closed = [",".join(xs[i + 1:k + 1]) + "|" + ",".join(ys[j + 1:m + 1]) for i, k, j, m in zip(at[:-1].tolist(), at[1:].tolist(), bt[:-1].tolist(), bt[1:].tolist())]
     return Fragment(a[:at[0] + 1], b[:bt[0] + 1], True, closed, a[at[-1] + 1:], b[bt[-1] + 1:], len(closed)), links
 
 
@@ -117,23 +116,28 @@ def finished(whole: Fragment) -> tuple[int, str]:
     return whole.n_groups + 1, hashlib.sha256(text.encode()).hexdigest()
 
 
+def _ragged(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Positions of the ranges ``first`` to ``first + length``, one after the other."""
+    ends = np.cumsum(length)
+    return np.repeat(first - ends + length, length) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 @dataclass
-class Unit:
-    """Tokens of a unit: ids, the bytes (from its start) where they end, its groups as text, its id pairs; not ``good`` if bytes differ."""
+class Tokens:
+    """Tokens of many units, with the byte at which each ends, counted from the first unit on."""
 
-    good: bool
-    size: int
-    a: array
-    a_ends: array
-    b: array
-    b_ends: array
-    groups: str
-    n_groups: int
-    pairs: array
+    a: np.ndarray
+    a_ends: np.ndarray
+    b: np.ndarray
+    b_ends: np.ndarray
+    ends: np.ndarray
 
 
 class Pair:
-    """Both tokenizers. Units are encoded once; the table of known units is emptied when it has ``KNOWN`` entries."""
+    """Both tokenizers, with a table of encoded units: their tokens lie one after the other in flat arrays.
+
+    Each new unit is encoded once; the table is emptied when it has ``KNOWN`` units.
+    """
 
     def __init__(self, a_json: str, b_raw: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -149,9 +153,15 @@ class Pair:
         model = parse_model(b_raw)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_raw)
         self.b_bytes = [bytes([int(text[3:5], 16)]) if kind == BYTE else text.replace(MARK, " ").encode() for text, _, kind in model.pieces]
+        self.a_size, self.b_size = (np.array([len(t) for t in known], np.int64) for known in (self.a_bytes, self.b_bytes))
         plain = not (model.charsmap or model.squeeze or any(t[2] == 4 for t in model.pieces))
         self.by_unit = plain and model.dummy_prefix and splits_by_word(model)
-        self.known: dict[str, Unit] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.good, self.size = np.zeros(0, bool), np.zeros(0, np.int64)
+        self.sides = [{"ids": _EMPTY, "ends": np.zeros(0, np.int64), "first": np.zeros(0, np.int64), "count": np.zeros(0, np.int64)} for _ in range(2)]
 
     def units(self, text: str) -> list[str]:
         """The units of a text that begins with a blank; each begins with one."""
@@ -160,88 +170,126 @@ class Pair:
         cuts = [0, *(m.start() for m in _CUT.finditer(text)), len(text)]
         return [text[i:k] for i, k in zip(cuts, cuts[1:])]
 
+    def _encoded(self, text: str) -> tuple[bool, list[tuple[np.ndarray, np.ndarray]]]:
+        """Whether both give the text back, and ids with the bytes at which they end."""
+        whole, good, out = text.encode(), True, []
+        for ids, known, size in ((self.a.encode(text, add_special_tokens=False).ids, self.a_bytes, self.a_size), (self.b.encode(text[1:]), self.b_bytes, self.b_size)):
+            good = good and b"".join([known[i] for i in ids]) == whole
+            ids = np.array(ids, np.int32)
+            out.append((ids, np.cumsum(size[ids])))
+        return good, out
+
     def _learn(self, units: list[str]) -> None:
         """Encode new units. Several are encoded as one text and told apart at their borders, as no token lies across one."""
-        for at in range(0, len(units), TOGETHER):
-            some = units[at:at + TOGETHER] if self.by_unit else [units[at]]
-            # a unit may end in white space, which would change where the next one starts
-            ends_well = [u for u in some if not u[-1:].isspace() and not u[1:2].isspace() and len(u) > 1]
-            alone = [u for u in some if u not in set(ends_well)]
-            whole = "".join(ends_well)
-            jobs = ([(whole, ends_well)] if ends_well else []) + [(u, [u]) for u in alone]
-            for text, own in jobs:
-                a, b = self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:])
-                sizes = [len(u.encode()) for u in own]
-                sides = []
-                for ids, known in ((a, self.a_bytes), (b, self.b_bytes)):
-                    parts = [known[i] for i in ids]
-                    ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
-                    sides.append((np.array(ids, np.int32), ends, b"".join(parts) == text.encode()))
-                if len(own) > 1 and not (sides[0][2] and sides[1][2]):
-                    for u in own:  # some unit is not given back: each for itself
-                        self._one(u)
-                    continue
-                self._store(own, sizes, sides)
-
-    def _one(self, unit: str) -> None:
-        sides = []
-        for ids, known in ((self.a.encode(unit, add_special_tokens=False).ids, self.a_bytes), (self.b.encode(unit[1:]), self.b_bytes)):
-            parts = [known[i] for i in ids]
-            sides.append((np.array(ids, np.int32), np.cumsum([len(p) for p in parts], dtype=np.int64), b"".join(parts) == unit.encode()))
-        self._store([unit], [len(unit.encode())], sides)
-
-    def _store(self, units: list[str], sizes: list[int], sides: list[tuple]) -> None:
-        (a, a_ends, a_good), (b, b_ends, b_good) = sides
-        borders = np.cumsum([0, *sizes])
-        at, bt = np.searchsorted(a_ends, borders, "right"), np.searchsorted(b_ends, borders, "right")
-        for k, unit in enumerate(units):
-            if not (a_good and b_good):
-                self.known[unit] = Unit(False, sizes[k], *(array("i"),) * 4, "", 0, array("q"))
-                continue
-            x, y = slice(at[k], at[k + 1]), slice(bt[k], bt[k + 1])
-            ends = a_ends[x] - borders[k], b_ends[y] - borders[k]
-            whole, links = fragment(a[x], ends[0], b[y], ends[1])
-            groups = ";".join([group_text(whole.head_a, whole.head_b), *whole.closed])
-            self.known[unit] = Unit(True, sizes[k], array("i", a[x].tolist()), array("i", ends[0].tolist()), array("i", b[y].tolist()),
-                                    array("i", ends[1].tolist()), groups, whole.n_groups + 1, array("q", links.tolist()))
-
-    def __call__(self, texts: list[list[str]]) -> list[list[Unit]]:
-        """The encoded units of lists of units."""
+        done: list[tuple[str, bool, int]] = []
+        flat: list[list[np.ndarray]] = [[], [], [], [], [], []]  # ids, ends and counts of A, then of B
+
+        def keep(own: list[str], sizes: np.ndarray, good: bool, sides) -> None:
+            borders = np.append(0, np.cumsum(sizes))
+            for k, (ids, ends) in enumerate(sides):
+                at = np.searchsorted(ends, borders, "right") if good else np.zeros(len(borders), np.int64)
+                count = np.diff(at)
+                flat[3 * k].append(ids[:at[-1]])
+                flat[3 * k + 1].append(ends[:at[-1]] - np.repeat(borders[:-1], count))
+                flat[3 * k + 2].append(count)
+            done.extend((u, good, int(n)) for u, n in zip(own, sizes))
+
+        def encode(own: list[str]) -> None:
+            sizes = np.array([len(u.encode()) for u in own], np.int64)
+            good, sides = self._encoded("".join(own))
+            if good or len(own) == 1:
+                keep(own, sizes, good, sides)
+            else:
+                for u in own:  # some unit is not given back: each for itself
+                    encode([u])
+
+        # a unit that begins or ends in white space would change what stands next to it
+        apart = [u for u in units if not self.by_unit or len(u) < 2 or u[-1].isspace() or u[1].isspace()]
+        joint = sorted(set(units).difference(apart))
+        for at in range(0, len(joint), TOGETHER):
+            encode(joint[at:at + TOGETHER])
+        for u in apart:
+            encode([u])
+        base = len(self.known)
+        self.known.update((u, base + i) for i, (u, _, _) in enumerate(done))
+        self.good = np.append(self.good, np.array([g for _, g, _ in done], bool))
+        self.size = np.append(self.size, np.array([n for _, _, n in done], np.int64))
+        for k, side in enumerate(self.sides):
+            count = np.concatenate([side["count"], *flat[3 * k + 2]])
+            self.sides[k] = {"ids": np.concatenate([side["ids"], *flat[3 * k]]), "ends": np.concatenate([side["ends"], *flat[3 * k + 1]]),
+                             "first": np.cumsum(count) - count, "count": count}
+
+    def numbers(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The places of the units of each text in the table, which then holds them all."""
         if len(self.known) > KNOWN:
-            self.known = {}
-        self._learn(sorted(set().union(*texts).difference(self.known)) if texts else [])
-        return [[self.known[u] for u in own] for own in texts]
-
-
-@lru_cache(maxsize=2)
-def _pair(a_json: str, b_raw: bytes) -> Pair:
-    """One pair for all tasks of a Python worker."""
-    return Pair(a_json, b_raw)
-
-
-def _short(batches: Iterator[pa.RecordBatch], pair: Pair) -> Iterator[pa.RecordBatch]:
+            self._clear()
+        new = set().union(*texts).difference(self.known)
+        if new:
+            self._learn(sorted(new))
+        return [np.fromiter(map(self.known.__getitem__, own), np.int64, len(own)) for own in texts]
+
+    def tokens(self, numbers: np.ndarray) -> Tokens:
+        """The tokens of units that follow each other."""
+        ends = np.cumsum(self.size[numbers])
+        out = []
+        for side in self.sides:
+            at = _ragged(side["first"][numbers], side["count"][numbers])
+            out += [side["ids"][at], side["ends"][at] + np.repeat(ends - self.size[numbers], side["count"][numbers])]
+        return Tokens(*out, ends)
+
+
+_MARKS = pa.array([",", "|", ";"])
+
+
+def group_texts(t: Tokens, at: np.ndarray, bt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All groups as text, each behind a ``;`` but the first, in one buffer with a last ``;``, and where the text of each group ends.
+
+    ``at`` and ``bt`` are the tokens at which groups end; nothing is open behind the last one.
+    """
+    n_a, n_b = np.diff(at, prepend=-1), np.diff(bt, prepend=-1)
+    group_a, group_b = np.repeat(np.arange(len(at)), n_a), np.repeat(np.arange(len(bt)), n_b)
+    to_a = np.arange(len(group_a)) + (np.cumsum(n_b) - n_b)[group_a]
+    to_b = np.arange(len(group_b)) + np.cumsum(n_a)[group_b]
+    ids, mark = np.empty(len(to_a) + len(to_b), np.int32), np.zeros(len(to_a) + len(to_b), np.int8)
+    ids[to_a], ids[to_b] = t.a[:len(to_a)], t.b[:len(to_b)]
+    mark[to_a[at]], mark[to_b[bt]] = 1, 2
+    text = pc.binary_join_element_wise(pc.cast(pa.array(ids), pa.large_string()), _MARKS.cast(pa.large_string()).take(pa.array(mark)), pa.scalar("", pa.large_string()))
+    _, offsets, data = text.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[text.offset:text.offset + len(text) + 1]
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), offsets[to_b[bt] + 1]
+
+
+def _short(batches: Iterator[pa.RecordBatch], make: Callable[[], Pair]) -> Iterator[pa.RecordBatch]:
+    pair = None
     for part in slices(batches, most=BATCH_BYTES):
-        texts = [t or "" for t in part.column("text").to_pylist()]
-        rows = []
-        for own in pair([pair.units(" " + t) if t else [] for t in texts]):
-            if not own or not all(u.good for u in own):
-                rows.append((0, 0, 0, 0, "", b"", b""))
-                continue
-            flat = array("q")
-            for u in own:
-                flat.extend(u.pairs)
-            keys, counts = np.unique(np.frombuffer(flat, np.int64), return_counts=True)
-            digest = hashlib.sha256(";".join([u.groups for u in own]).encode()).hexdigest()
-            rows.append((sum(len(u.a) for u in own), sum(len(u.b) for u in own), sum(u.n_groups for u in own), len(flat), digest,
-                         keys.tobytes(), counts.astype(np.int32).tobytes()))
+        pair = pair or make()
+        numbers = pair.numbers([pair.units(" " + t) if t else [] for t in part.column("text").to_pylist()])
+        usable = [len(own) > 0 and bool(pair.good[own].all()) for own in numbers]
+        kept = [own for own, use in zip(numbers, usable) if use]
+        rows = [(0, 0, 0, 0, "", b"", b"")] * part.num_rows
+        if kept:
+            t = pair.tokens(np.concatenate(kept))
+            common, at, bt = np.intersect1d(t.a_ends, t.b_ends, assume_unique=True, return_indices=True)
+            text, stops = group_texts(t, at, bt)
+            links = (t.a[at].astype(np.int64) << 32) | t.b[bt]
+            last = np.searchsorted(common, t.ends[np.cumsum([len(own) for own in kept]) - 1], "right")
+            before = tokens_a = tokens_b = byte = 0
+            for i, until in zip(np.flatnonzero(usable).tolist(), last.tolist()):
+                keys, counts = np.unique(links[before:until], return_counts=True)
+                digest = hashlib.sha256(text[byte:stops[until - 1] - 1]).hexdigest()
+                n_a, n_b = int(at[until - 1]) + 1 - tokens_a, int(bt[until - 1]) + 1 - tokens_b
+                rows[i] = (n_a, n_b, until - before, until - before, digest, keys.tobytes(), counts.astype(np.int32).tobytes())
+                before, tokens_a, tokens_b, byte = until, tokens_a + n_a, tokens_b + n_b, int(stops[until - 1])
         n_a, n_b, groups, links, digest, keys, counts = zip(*rows)
         yield pa.record_batch({"row_id": part.column("row_id"), "doc_id": part.column("doc_id"), "n_a": n_a, "n_b": n_b, "n_groups": groups, "n_links": links,
                                "groups_sha256": digest, "pairs": pa.array(keys, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
 
-def _ranges(batches: Iterator[pa.RecordBatch], pair: Pair, chunk: int) -> Iterator[pa.RecordBatch]:
+def _ranges(batches: Iterator[pa.RecordBatch], make: Callable[[], Pair], chunk: int) -> Iterator[pa.RecordBatch]:
     """Byte ranges of long texts: range ``low`` to ``high`` of the units from byte ``base`` on."""
+    pair = None
     for part in slices(batches, most=BATCH_BYTES):
+        pair = pair or make()
         for row in part.select(["row_id", "doc_id", "text"]).to_pylist():
             units = pair.units(" " + row["text"])
             sizes = np.array([len(u.encode()) for u in units], np.int64)
@@ -268,21 +316,21 @@ _FRAGMENTS = pa.schema([(c.split()[0], {"bigint": pa.int64(), "boolean": pa.bool
                         for c in FRAGMENTS.split(", ")])
 
 
-def _fragments(batches: Iterator[pa.RecordBatch], pair: Pair) -> Iterator[pa.RecordBatch]:
+def _fragments(batches: Iterator[pa.RecordBatch], make: Callable[[], Pair]) -> Iterator[pa.RecordBatch]:
+    pair = None
     for part in slices(batches, most=BATCH_BYTES):
+        pair = pair or make()
         for row in part.to_pylist():
-            units = pair([pair.units(row["text"])])[0]
+            numbers = pair.numbers([pair.units(row["text"])])[0]
             low, high = row["low"], row["high"]
-            if not all(u.good for u in units):
+            if not pair.good[numbers].all():
                 out = _packed(row["row_id"], row["doc_id"], row["chunk"], False, 0, 0, Fragment(), np.zeros(0, np.int64), np.zeros(0, np.int64))
             else:
-                starts = row["base"] + np.cumsum([0, *(u.size for u in units)])
-                sides = []
-                for ids, ends in (("a", "a_ends"), ("b", "b_ends")):
-                    own = np.concatenate([np.array(getattr(u, ids), np.int32) for u in units])
-                    at = np.concatenate([np.array(getattr(u, ends), np.int64) + s for u, s in zip(units, starts)])
-                    inside = (at > low) & (at <= high)
-                    sides += [own[inside], at[inside]]
+                t, sides = pair.tokens(numbers), []
+                for ids, ends in ((t.a, t.a_ends), (t.b, t.b_ends)):
+                    ends = ends + row["base"]
+                    inside = (ends > low) & (ends <= high)
+                    sides += [ids[inside], ends[inside]]
                 made, links = fragment(*sides)
                 out = _packed(row["row_id"], row["doc_id"], row["chunk"], True, len(sides[0]), len(sides[2]), made, *merged([(links, np.ones(len(links), np.int64))]))
             yield pa.RecordBatch.from_pylist([out], schema=_FRAGMENTS)
@@ -317,12 +365,15 @@ def _closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def aligned(docs: DataFrame, a_json: str, b_raw: bytes, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """Per row: token, group and link counts, the digest of its groups, and its linked id pairs with their counts, packed."""
+    def make() -> Pair:
+        return Pair(a_json, b_raw)
+
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     long = F.coalesce(F.octet_length("text") > chunk, F.lit(False))
-    short = rows.filter(~long).mapInArrow(lambda batches: _short(batches, _pair(a_json, b_raw)), ALIGNED)
-    ranges = rows.filter(long).mapInArrow(lambda batches: _ranges(batches, _pair(a_json, b_raw), chunk),
+    short = rows.filter(~long).mapInArrow(lambda batches: _short(batches, make), ALIGNED)
+    ranges = rows.filter(long).mapInArrow(lambda batches: _ranges(batches, make, chunk),
                                           "row_id bigint, doc_id bigint, chunk bigint, low bigint, high bigint, base bigint, text string")
-    parts = written(ranges.repartition("row_id", "chunk").mapInArrow(lambda batches: _fragments(batches, _pair(a_json, b_raw)), FRAGMENTS))
+    parts = written(ranges.repartition("row_id", "chunk").mapInArrow(lambda batches: _fragments(batches, make), FRAGMENTS))
     last = parts.agg(F.max("chunk")).first()[0] or 0
     while True:
         parts = parts.withColumn("node", F.floor(F.col("chunk") / fan)).groupBy("row_id", "node").applyInArrow(

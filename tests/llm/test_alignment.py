@@ -71,7 +71,7 @@ def texts():
     return rows
 
 
-@pytest.mark.parametrize("chunk,fan,hot", [(op.CHUNK, op.FAN, op.HOT), (64, 2, 50), (500, 3, 10)])
+@pytest.mark.parametrize("chunk,fan,hot", [(op.CHUNK, op.FAN, op.HOT), (400, 4, 50), (3000, 2, 10)])
 def test_equals_whole_texts(spark, files, chunk, fan, hot):
     rows = texts()
     frame = spark.createDataFrame([(i, t, "other", "columns", "here") for i, t in rows], SCHEMA).repartition(5)
