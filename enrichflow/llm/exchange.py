@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from enrichflow.llm.words import release
+
 SENT = "bucket int, settled boolean, docs binary, counts binary, keys binary"
 FOUND = "doc_id bigint, keys binary"
 LOAD = 600_000
@@ -90,6 +92,7 @@ def send(entries: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], buckets:
     def out():
         parts = [np.concatenate(x) for x in zip(*held)]
         rows, weight = [], 0
+        held.clear()
         for row in _load(*parts, buckets, rule) if len(parts[0]) else ():
             rows.append(row)
             weight += len(row["keys"])
@@ -98,6 +101,8 @@ def send(entries: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], buckets:
                 rows, weight = [], 0
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=_SENT_SCHEMA)
+        del parts
+        release()
 
     for entry in entries:
         held.append(entry)
@@ -151,6 +156,8 @@ def meet(sent: DataFrame, rule: str, buckets: int) -> DataFrame:
         if len(docs):
             docs, keys = _met(docs, keys, rule)
             rows = list(_packed(_home(docs, buckets), docs, keys, width, True))
+        del docs, keys
+        release()
         return pa.concat_tables([table.filter(pa.array(settled)).cast(_SENT_SCHEMA), pa.Table.from_pylist(rows, _SENT_SCHEMA)])
 
     def documents(table):

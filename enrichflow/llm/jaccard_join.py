@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from enrichflow.llm import exchange
 from enrichflow.llm.components import components
-from enrichflow.llm.words import _WORDS, Words, _range_hashes, mix, pieces
+from enrichflow.llm.words import _WORDS, Words, _range_hashes, mix, pieces, release
 from enrichflow.sources.scratch import written
 
 SETS = "doc_id bigint, node bigint, n bigint"
@@ -199,6 +199,7 @@ def _index(nodes: DataFrame, tops: list[int], plan: dict[int, tuple[int, int, in
                     owner = np.repeat(np.arange(len(at)), [len(g) for g in grams])
                     for sig, own in _index_rows(np.concatenate(grams), owner, len(at), band, how):
                         yield pa.record_batch({"sig": sig.view(np.int64), "node": ids[at][own]})
+            release()
 
     return nodes.select("node", "n", "grams").mapInArrow(rows, INDEX)
 
@@ -237,6 +238,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 common = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * common >= percent * (len(both) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            release()
 
     return met.select("a", "b", "left", "right").mapInArrow(test, "a bigint, b bigint")
 

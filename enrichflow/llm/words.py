@@ -6,6 +6,7 @@ words.
 """
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,14 @@ _BYTE_BASE = 0x5B9D3C1F7A64E2D7
 _WORD_BASE = 0x3C79AC492BA7B653
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on between tasks, and several share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim is not None:
+        trim(0)
+
+
 def _powers(base: int, count: int) -> np.ndarray:
     out = np.full(count, base, np.uint64)
     if count:
@@ -139,10 +148,7 @@ class Words:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with at most ``most`` bytes of text, or one text each.
-
-    Memory that Arrow no longer uses goes back to the system, as Python workers live on between tasks.
-    """
+    """Slices of the batches with at most ``most`` bytes of text, or one text each; freed memory is given back after each batch."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         total, at = np.cumsum(sizes), 0
@@ -151,7 +157,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             until = max(at + 1, int(np.searchsorted(total, done + most, "right")))
             yield batch.slice(at, until - at)
             at = until
-        pa.default_memory_pool().release_unused()
+        release()
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", lower: bool = False,
