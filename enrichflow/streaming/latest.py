@@ -239,12 +239,14 @@ class ReportFeed:
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
+            hit = self.reports.hit(batch)  # all three tables have the same key and buckets
             for name, table in self.branches.items():
-                table.apply(batch.filter(F.col(name).isNotNull()), batch_id)
+                own = batch.filter(F.col(name).isNotNull())
+                table.apply(own, batch_id, hit & table.hit(own))
             keys = batch.select("paper_key").distinct()
-            found = [table.touched(keys).select("paper_key", name) for name, table in self.branches.items()]
+            found = [table.touched(keys, hit).select("paper_key", name) for name, table in self.branches.items()]
             made = self._rendered(found[0].join(found[1], "paper_key", "left"))
-            self.reports.apply(made.withColumn("batch", F.lit(batch_id).cast("bigint")), batch_id)
+            self.reports.apply(made.withColumn("batch", F.lit(batch_id).cast("bigint")), batch_id, hit)
         finally:
             batch.unpersist()
 

@@ -7,7 +7,7 @@ and changes nothing, and reading the table reads one version of each bucket, not
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -31,9 +31,13 @@ class KeyedTable:
     schema: T.StructType
     reduce: Callable[[DataFrame], DataFrame]
     buckets: int = BUCKETS
+    _known: dict[int, dict[int, int]] = field(default_factory=dict, repr=False, compare=False)  # records that this object wrote
 
     def _record(self, spark: SparkSession, before: int | None = None) -> dict[int, int]:
         """Which batch holds each bucket: at most ``buckets`` rows."""
+        mine = [b for b in self._known if before is None or b < before]
+        if mine:
+            return self._known[max(mine)]
         try:
             records = spark.read.schema(f"{_RECORD}, batch_id bigint").parquet(f"{self.root}/record")
         except AnalysisException as error:
@@ -53,30 +57,42 @@ class KeyedTable:
         """The table after the last batch."""
         return self._read(spark, self._record(spark))
 
-    def touched(self, keys: DataFrame) -> DataFrame:
-        """Rows of the given keys; reads their buckets only."""
+    def hit(self, rows: DataFrame) -> set[int]:
+        """Buckets of the keys of these rows: at most ``buckets``."""
+        return {r[0] for r in rows.select(self._bucket()).distinct().collect()}
+
+    def touched(self, keys: DataFrame, hit: set[int] | None = None) -> DataFrame:
+        """Rows of the given keys; reads their buckets only, which may be handed over."""
         spark = keys.sparkSession
-        hit = {r[0] for r in keys.select(self._bucket()).distinct().collect()}  # at most ``buckets``
+        hit = self.hit(keys) if hit is None else hit
         rows = self._read(spark, {b: held for b, held in self._record(spark).items() if b in hit})
         return rows.join(keys.select(*self.keys).distinct(), list(self.keys), "left_semi")
 
     def _bucket(self):
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int").alias(_BUCKET)
 
-    def apply(self, batch: DataFrame, batch_id: int) -> None:
-        """Merge the rows of one batch."""
+    def apply(self, batch: DataFrame, batch_id: int, hit: set[int] | None = None) -> None:
+        """Merge the rows of one batch; ``hit`` may name the buckets that its keys lie in."""
         spark = batch.sparkSession
         before = self._record(spark, batch_id)
-        path = f"{self.root}/rows/batch_id={batch_id}"
-        new = self.reduce(batch.select(*self.schema.names))  # each key once, before stored rows are read
-        new = new.select(*self.schema.names, self._bucket())
-        hit = {r[0] for r in new.select(_BUCKET).distinct().collect()}
+        hit = self.hit(batch) if hit is None else hit
         stored = self._read(spark, {b: held for b, held in before.items() if b in hit})
-        merged = self.reduce(stored.unionByName(new.select(*self.schema.names))).select(*self.schema.names)
-        merged.withColumn(_BUCKET, self._bucket()).repartition(_BUCKET).write.mode("overwrite").partitionBy(_BUCKET).parquet(path)
-        after = sorted((before | dict.fromkeys(hit, batch_id)).items())
-        record = spark.createDataFrame(after, _RECORD).coalesce(1)
+        merged = self.reduce(stored.unionByName(batch.select(*self.schema.names))).select(*self.schema.names, self._bucket())
+        path = f"{self.root}/rows/batch_id={batch_id}"
+        merged.repartition(_BUCKET).write.mode("overwrite").partitionBy(_BUCKET).parquet(path)
+        after = {b: held for b, held in before.items() if b not in hit} | dict.fromkeys(_folders(spark, path), batch_id)
+        record = spark.createDataFrame(sorted(after.items()), _RECORD).coalesce(1)
         record.write.mode("overwrite").parquet(f"{self.root}/record/batch_id={batch_id}")
+        self._known.clear()
+        self._known.update({batch_id: after} | ({batch_id - 1: before} if batch_id else {}))
+
+
+def _folders(spark: SparkSession, path: str) -> list[int]:
+    """Buckets that a batch wrote; one that only has keys without rows has no folder."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    listed = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(there)
+    names = [entry.getPath().getName() for entry in listed]
+    return [int(name.split("=")[1]) for name in names if name.startswith(f"{_BUCKET}=")]
 
 
 def latest_by(keys: Sequence[str], order: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
