@@ -167,7 +167,8 @@ def persist_results(
 
     Branches not passed are read from their logs. A log is first reduced to the selected keys, so
     that rows of an earlier, wider selection do not count as orphans. A version holds the runs of
-    ``tasks`` only; stored runs outside them are pruned by partition and stay in their version.
+    ``tasks`` only; stored runs outside them are pruned by partition and stay in their version, and runs
+    without a changed row are taken over by reference.
     """
     contracts.require_run_ids(tasks)
     if analyses is None:
@@ -191,6 +192,7 @@ def persist_results(
         merged.select("run_id", "paper_key", "batch", "ord", "paper", "likes", "analysis", "status", "warnings"),
         root,
         version,
+        existing_version,
     )
 
 

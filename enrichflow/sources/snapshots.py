@@ -4,6 +4,9 @@ A version is its own directory, so a job never overwrites what it reads. The res
 written first and the other tables are projected from the written files: one computation, nothing
 cached, and a lost executor only repeats a scan.
 """
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from enrichflow import fixed_values as V
@@ -12,6 +15,9 @@ from enrichflow.operators.reports import final_reports
 from enrichflow.operators.texts import qa_records
 
 
+SNAPSHOT = ("paper-results", "papers", "likes-results", "qa-results", V.REPORTS)
+
+
 def version_path(root: str, table: str, version: int) -> str:
     return f"{root}/{table}/version={version}"
 
@@ -33,13 +39,53 @@ def write_table(
     writer.save(path)
 
 
-def read_table(spark: SparkSession, root: str, table: str, version: int) -> DataFrame:
-    return spark.read.option("mergeSchema", "false").parquet(version_path(root, table, version))
+RUNS = "runs"  # per version: run_id, its rows and their print, and the version whose files hold it
 
 
-def write_snapshot(results: DataFrame, root: str, version: int) -> DataFrame:
-    """Write results, records, likes, question-answer rows and reports of one version; returns the stored results."""
+def _recorded(spark: SparkSession, root: str, version: int) -> DataFrame | None:
+    try:
+        return spark.read.parquet(version_path(root, RUNS, version))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def read_table(spark: SparkSession, root: str, table: str, version: int) -> DataFrame:
+    """A table of a version; runs that it took over unchanged are read from the versions that wrote them, run by run."""
+    reader = spark.read.option("mergeSchema", "false")
+    record = _recorded(spark, root, version) if table in SNAPSHOT else None
+    held = sorted(r[0] for r in record.select("held_by").distinct().collect()) if record is not None else []  # at most one per version
+    if not held or held == [version]:
+        return reader.parquet(version_path(root, table, version))
+    parts = [
+        reader.parquet(version_path(root, table, old)).join(record.filter(F.col("held_by") == old).select("run_id"), "run_id", "left_semi")
+        for old in held
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _prints(results: DataFrame) -> DataFrame:
+    """(run_id, n, print): a hash over all rows of each run, whatever their order."""
+    rest = F.xxhash64(F.to_json(F.struct(*(c for c in results.columns if c != "run_id")), {"ignoreNullFields": "false"}))
+    return results.select("run_id", rest.alias("h")).groupBy("run_id").agg(
+        F.count("*").alias("n"), F.concat_ws(":", F.hex(F.bit_xor("h")), F.hex(F.sum(F.pmod("h", F.lit(1 << 30))))).alias("print"))
+
+
+def write_snapshot(results: DataFrame, root: str, version: int, base: int | None = None) -> DataFrame:
+    """Write results, records, likes, question-answer rows and reports of one version; returns the stored results.
+
+    Runs whose rows are those of the version ``base`` are not written again: the version's record names the version that holds them.
+    """
     spark = results.sparkSession
+    record = _prints(results).withColumn("held_by", F.lit(version).cast("bigint"))
+    before = None if base is None else _recorded(spark, root, base)
+    if before is not None:
+        known = before.select("run_id", "n", "print", F.col("held_by").alias("held_before"))
+        record = record.join(known, ["run_id", "n", "print"], "left").withColumn("held_by", F.coalesce("held_before", "held_by")).drop("held_before")
+    record = settle(record, version_path(root, RUNS, version))
+    if before is not None:
+        results = results.join(record.filter(F.col("held_by") == version).select("run_id"), "run_id", "left_semi")
     path = version_path(root, "paper-results", version)
     write_table(results, path)
     stored = spark.read.schema(results.schema).parquet(path)
@@ -50,9 +96,10 @@ def write_snapshot(results: DataFrame, root: str, version: int) -> DataFrame:
         "qa-results": qa_records(stored),
         V.REPORTS: final_reports(stored),
     }
-    for name, rows in tables.items():
-        write_table(rows, version_path(root, name, version), clustered=True)
-    return stored
+    if before is None or record.filter(F.col("held_by") == version).first() is not None:
+        for name, rows in tables.items():
+            write_table(rows, version_path(root, name, version), clustered=True)
+    return stored if before is None else read_table(spark, root, "paper-results", version)
 
 
 def settle(df: DataFrame, path: str) -> DataFrame:

@@ -295,3 +295,30 @@ def test_empty_run_is_failed(spark):
     from enrichflow.operators.joins import join_results
 
     assert counts.run_counts(join_results(none, analyses(spark), likes(spark))).first().run_status == "FAILED"
+
+
+def test_a_version_writes_only_runs_that_changed(spark, tmp_path):
+    root = str(tmp_path)
+    both = tasks(spark, "1", "2").withColumn("run_id", F.lit("r")).unionByName(tasks(spark, "1", "3").withColumn("run_id", F.lit("s")))
+    logs.append_log(analyses(spark, ok("arxiv:1"), bad("arxiv:2"), ok("arxiv:3")), f"{root}/a")
+    logs.append_log(likes(spark, liked("1", 1), liked("2", 2), liked("3", 3)), f"{root}/l")
+    flow.persist_results(spark, both, f"{root}/a", f"{root}/l", root, version=1)
+
+    def files(version, table="paper-results"):
+        path = snapshots.version_path(root, table, version)
+        return sorted(d for d in os.listdir(path) if d.startswith("run_id=")) if os.path.exists(path) else []
+
+    def rows(frame):
+        return sorted(frame.select("run_id", "paper.paper_key", "status", "likes.likes", "batch").collect())
+
+    first = rows(snapshots.read_table(spark, root, "paper-results", 1))
+    assert files(1) == ["run_id=r", "run_id=s"] and len(first) == 4
+    again = flow.persist_results(spark, both, f"{root}/a", f"{root}/l", root, version=2, existing_version=1)
+    assert files(2) == files(2, "reports") == [] and rows(again) == first
+    assert rows(snapshots.read_table(spark, root, "paper-results", 2)) == first
+    logs.append_log(analyses(spark, ok("arxiv:2")), f"{root}/a")
+    third = flow.persist_results(spark, both, f"{root}/a", f"{root}/l", root, version=3, existing_version=2)
+    assert files(3) == files(3, "papers") == ["run_id=r"] and len(rows(third)) == 4
+    assert {r[2] for r in rows(third) if r[0] == "r"} == {"COMPLETED"}
+    assert snapshots.read_table(spark, root, "reports", 3).count() == 4
+    assert {r["run_id"]: r["held_by"] for r in snapshots._recorded(spark, root, 3).collect()} == {"r": 3, "s": 1}
