@@ -1,11 +1,9 @@
 """JSON columns: encode, decode, strict metric extraction, schema profile."""
-import json
-import re
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from enrichflow.schemas import TEXT, row
+from enrichflow.sources.scratch import written
 
 
 def strict_path_bigint(payload: Column, path: tuple[str, ...]) -> Column:
@@ -63,39 +61,6 @@ def decode_json(df: DataFrame, column: str, into: str = "value") -> DataFrame:
     return parsed.withColumn("malformed", F.col(into).isNull() & F.col(column).isNotNull())
 
 
-_PROFILE = T.ArrayType(row(path=TEXT, type=TEXT))
-
-
-def _name(key: str) -> str:
-    """A key as a piece of a path, quoted unless it is a plain word."""
-    return key if re.fullmatch("[A-Za-z0-9_]+", key) else json.dumps(key, ensure_ascii=False)
-
-
-@F.pandas_udf(_PROFILE)
-def _nested_types(texts: pd.Series) -> pd.Series:
-    """(path, type) of everything inside one JSON container; array items are at ``[]``."""
-
-    def walk(value, path):
-        if isinstance(value, dict):
-            yield path, "object"
-            for key, item in value.items():
-                yield from walk(item, f"{path}.{_name(key)}")
-        elif isinstance(value, list):
-            yield path, "array"
-            for item in value:
-                yield from walk(item, f"{path}[]")
-            if not value:
-                yield f"{path}[]", "string"
-        else:
-            names = {bool: "boolean", int: "integer", float: "number", str: "string"}
-            yield path, names.get(type(value), "any")
-
-    def profile(text):
-        return [{"path": p, "type": t} for p, t in dict.fromkeys(walk(json.loads(text), ""))]
-
-    return texts.map(profile, na_action="ignore").astype(object)
-
-
 def _scalar_type(kind: Column) -> Column:
     return (
         F.when(kind == "BOOLEAN", "boolean")
@@ -111,30 +76,45 @@ def _quoted(key: Column) -> Column:
     return F.substring(listed, F.lit(2), F.length(listed) - 2)
 
 
+def _type(kind: Column) -> Column:
+    return F.when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").otherwise(_scalar_type(kind))
+
+
+def _inside(values: DataFrame, *keep: str) -> DataFrame:
+    """The members of objects and items of arrays in ``_v``, with their paths below ``path``; an empty container has none."""
+    spark = values.sparkSession
+    entries = values.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer())).select(*keep, "path", "key", F.col("value").alias("_v"))
+    key = F.when(F.col("key").rlike("^[A-Za-z0-9_]+$"), F.col("key")).otherwise(_quoted(F.col("key")))
+    path = F.concat("path", F.when(F.col("key").isNotNull(), F.concat(F.lit("."), key)).otherwise("[]"))
+    return entries.select(*keep, path.alias("path"), "_v", F.schema_of_variant("_v").alias("_kind"))
+
+
 def json_profile(df: DataFrame, column: str, *groups: str) -> DataFrame:
-    """(path, type, n) over a JSON column: how many values have this type at this path, ``$`` being the whole.
+    """(path, type, n) over a JSON column: how many values below the whole (``$``) have this type at this path or inside it.
 
     Several types at one path stand for a union; an empty array has string items. Keys that are no plain words are
-    quoted, so ``"c.d"`` and ``c`` with ``d`` inside differ. Root values and the scalars below them are typed in the JVM,
-    only nested containers visit Python.
+    quoted, so ``"c.d"`` and ``c`` with ``d`` inside differ. A value that has a type at a path several times counts once. Nested
+    containers are opened level by level; the levels are few, and each reads only the containers left by the one before.
     """
-    parsed = df.select(*groups, F.try_parse_json(column).alias("_v")).filter(F.col("_v").isNotNull())
-    spark = df.sparkSession
+    parsed = df.select(*groups, F.try_parse_json(column).alias("_v"), F.lit("$").alias("path")).filter(F.col("_v").isNotNull())
     whole = F.schema_of_variant("_v")
-    kind = F.when(whole.startswith("OBJECT"), "object").when(whole.startswith("ARRAY"), "array").otherwise(_scalar_type(whole))
-    roots = parsed.select(*groups, F.lit("$").alias("path"), kind.alias("type")).groupBy(*groups, "path", "type").agg(F.count("*").alias("n"))
-    entries = parsed.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer())).select(
-        *groups, "key", "value", F.schema_of_variant("value").alias("_kind")
-    )
+    roots = parsed.select(*groups, "path", _type(whole).alias("type")).groupBy(*groups, "path", "type").agg(F.count("*").alias("n"))
     nested = F.col("_kind").rlike("^(OBJECT|ARRAY)")
-    key = F.when(F.col("key").rlike("^[A-Za-z0-9_]+$"), F.col("key")).otherwise(_quoted(F.col("key")))
-    root = F.concat(F.lit("$"), F.coalesce(F.concat(F.lit("."), key), F.lit("[]")))
-    scalar = F.array(F.struct(F.lit("").alias("path"), _scalar_type(F.col("_kind")).alias("type")))
-    inside = _nested_types(F.when(nested, F.to_json("value")))
-    below = (
-        entries.select(*groups, root.alias("root"), F.coalesce(inside, scalar).alias("found"))
-        .select(*groups, "root", F.explode("found").alias("f"))
-        .groupBy(*groups, F.concat("root", "f.path").alias("path"), F.col("f.type").alias("type"))
-        .agg(F.count("*").alias("n"))
-    )
-    return roots.unionByName(below)
+    first = _inside(parsed, *groups)
+    bare = parsed.filter(F.schema_of_variant("_v") == "ARRAY<VOID>").select(*groups, F.lit("$[]").alias("path"), F.lit("string").alias("type"))
+    bare = bare.groupBy(*groups, "path", "type").agg(F.count("*").alias("n"))
+    plain = first.filter(~nested).groupBy(*groups, "path", _type(F.col("_kind")).alias("type")).agg(F.count("*").alias("n"))
+    keep = (*groups, "_value")
+    level, found = written(first.filter(nested).withColumn("_value", F.monotonically_increasing_id())), []
+    while not level.isEmpty():
+        found.append(level.select(*keep, "path", _type(F.col("_kind")).alias("type")))
+        empty = level.filter(F.col("_kind") == "ARRAY<VOID>")
+        found.append(empty.select(*keep, F.concat("path", F.lit("[]")).alias("path"), F.lit("string").alias("type")))
+        below = written(_inside(level, *keep))
+        found.append(below.filter(~nested).select(*keep, "path", _type(F.col("_kind")).alias("type")))
+        level = below.filter(nested)
+    out = roots.unionByName(plain).unionByName(bare)
+    if found:
+        once_each = reduce(DataFrame.unionByName, found).groupBy(*keep, "path", "type").agg(F.lit(1).alias("_one"))
+        out = out.unionByName(once_each.groupBy(*groups, "path", "type").agg(F.count("*").alias("n")))
+    return out.groupBy(*groups, "path", "type").agg(F.sum("n").alias("n"))

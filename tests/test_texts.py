@@ -183,3 +183,11 @@ def test_json_profile(spark):
         ("$", "object"): 4, ("$.a", "integer"): 2, ("$.a", "string"): 1, ("$.a", "number"): 1, ("$.b", "array"): 2, ("$.b[]", "string"): 2,
         ("$.b[]", "integer"): 1, ("$.b[]", "object"): 1, ("$.b[].c", "any"): 1, ("$.b", "object"): 1, ("$.b.d", "boolean"): 1,
     }
+    deep = ['[[[1, 1], {"x y": {"z": [[]]}}], 2]', "[]", "{}", "7"]
+    frame = jsonops.json_profile(spark.createDataFrame([(d,) for d in deep], "t string"), "t")
+    assert "Python" not in frame._jdf.queryExecution().executedPlan().toString()
+    assert {(r.path, r.type): r.n for r in frame.collect()} == {
+        ("$", "array"): 2, ("$", "object"): 1, ("$", "integer"): 1, ("$[]", "integer"): 1, ("$[]", "array"): 1, ("$[]", "string"): 1,
+        ("$[][]", "array"): 1, ("$[][]", "object"): 1, ("$[][][]", "integer"): 1, ('$[][]."x y"', "object"): 1, ('$[][]."x y".z', "array"): 1,
+        ('$[][]."x y".z[]', "array"): 1, ('$[][]."x y".z[][]', "string"): 1,
+    }
