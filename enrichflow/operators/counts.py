@@ -52,9 +52,10 @@ def initial_counts(disposed: DataFrame, *groups: str, tasks: DataFrame | None =
     )
     if tasks is None:
         return counted
-    own = tasks.withColumn("_all", F.lit(0)).groupBy("_all", *groups).agg(F.count("*").alias("_tasks"))
-    met = counted.withColumn("_all", F.lit(0)).join(own, ["_all", *groups], "left")
-    return met.withColumn("selected", F.coalesce("_tasks", F.lit(0)).cast("bigint")).drop("_tasks", "_all")
+    nothing = F.lit(0).cast("bigint")
+    own = tasks.groupBy(*groups).agg(F.count("*").alias("selected")).withColumns({"discovered": nothing, "skipped": nothing})
+    both = counted.withColumn("selected", nothing).unionByName(own)
+    return both.groupBy(*groups).agg(*(F.sum(c).alias(c) for c in ("discovered", "skipped", "selected")))
 
 
 def state_histogram(

@@ -8,7 +8,8 @@ from tests.conftest import plan_of
 
 SF = "/root/testdata/sf0.001"
 PYTHON = {"q_page_links", "q_link_resolve", "q_link_first", "q_records", "q_quarantine", "q_empty_pages", "q_unique_records",
-          "q_discovery_counts", "q_warning_list", "q_warning_summary", "q_private_endpoint", "q_enrich", "q_xml", "q_json_profile"}
+          "q_discovery_counts", "q_warning_list", "q_warning_summary", "q_private_endpoint", "q_enrich", "q_xml",
+          "q_enrich_waves", "q_day_pages", "q_listing", "q_listing_rejects", "q_first_block"}
 
 
 @pytest.fixture(scope="module")
