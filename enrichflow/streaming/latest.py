@@ -195,14 +195,16 @@ class TaskMachine(StatefulProcessor):
 
 
 def stream_task_steps(events: DataFrame) -> DataFrame:
-    """One row per event that moved a task or was refused (``reason``); the session must use the RocksDB state store (``ROCKS``).
+    """One row per event that moved a task or was refused (``reason``).
 
+    Task states need the RocksDB state store, so the session's provider is set to it; a query that goes on from a checkpoint keeps its own.
     Events must arrive in sequence order between micro-batches; within one their order does not matter.
     """
     known = events.filter(
         F.col("kind").isin(taskstate.ENQUEUE, taskstate.CLAIM, taskstate.RESULT_OK, taskstate.RESULT_BAD)
     )
     slim = known.select("run_id", "paper_key", *_EVENT.names)
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     return slim.groupBy("run_id", "paper_key").transformWithStateInPandas(
         TaskMachine(), outputStructType=_STEP, outputMode="Update", timeMode="None"
     )
