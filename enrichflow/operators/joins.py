@@ -29,10 +29,15 @@ def completeness(records: DataFrame, results: DataFrame, *keys: str) -> DataFram
 
 
 def integrity_report(records: DataFrame, analyses: DataFrame, likes: DataFrame, *keys: str) -> DataFrame:
-    """Every reason why the three tables may not be joined: (code, keys, n). The key is ``paper_key`` if none is named.
+    """Every reason why the three tables may not be joined: (code, keys, n). The key is ``paper_key`` if none is named."""
+    return key_mismatches(records, analyses, likes, *keys).unionByName(identity_mismatches(records, likes, *keys))
+
+
+def key_mismatches(records: DataFrame, analyses: DataFrame, likes: DataFrame, *keys: str) -> DataFrame:
+    """Keys that a table repeats or that no record has.
 
     One keyed aggregate over the union of the three key columns answers uniqueness and orphan
-    questions together; identity is checked on a second keyed aggregate of (key, id) pairs.
+    questions together.
     """
     keys = keys or ("paper_key",)
 
@@ -61,18 +66,24 @@ def integrity_report(records: DataFrame, analyses: DataFrame, likes: DataFrame,
             ),
         )
     )
-    keyed = tally.select(*keys, F.explode(found).alias("hit")).select("hit.code", *keys, "hit.n")
+    return tally.select(*keys, F.explode(found).alias("hit")).select("hit.code", *keys, "hit.n")
+
 
-    def ids(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*keys, "arxiv_id").agg(F.count("*").alias(name))
+def identity_mismatches(records: DataFrame, likes: DataFrame, *keys: str) -> DataFrame:
+    """Keys whose likes carry another id than the record, by id; ``n`` counts the pairs of a row and a record that disagree."""
+    keys = keys or ("paper_key",)
+
+    def ids(df: DataFrame, own: str, name: str) -> DataFrame:
+        return df.groupBy(*keys, F.col("arxiv_id").alias(own)).agg(F.count("*").alias(name))
 
-    clash = (
-        ids(likes, "n")
-        .join(records.select(*keys, F.col("arxiv_id").alias("own_id")).distinct(), list(keys))
+    return (
+        ids(likes, "arxiv_id", "_rows")
+        .join(ids(records, "own_id", "_records"), list(keys))
         .filter(~F.col("arxiv_id").eqNullSafe(F.col("own_id")))
+        .groupBy(*keys, "arxiv_id")
+        .agg(F.sum(F.col("_rows") * F.col("_records")).alias("n"))
         .select(F.lit(V.LIKES_MISMATCH).alias("code"), *keys, "n")
     )
-    return keyed.unionByName(clash)
 
 
 def require_integrity(records: DataFrame, analyses: DataFrame, likes: DataFrame, *keys: str) -> None:

@@ -137,3 +137,20 @@ def test_warnings_and_histogram(spark):
     states = spark.createDataFrame([("r", "PENDING"), ("s", "FAILED")], "run_id string, state string")
     got = {(r.run_id, r.state): r.n for r in counts.state_histogram(states, ["run_id"]).collect()}
     assert len(got) == 8 and got["r", "PENDING"] == 1 and got["s", "PENDING"] == 0
+
+
+def test_integrity_of_repeated_orders_equals_the_sql(spark, tmp_path):
+    import duckdb
+
+    from enrichflow.queries import CATALOG
+
+    orders = spark.createDataFrame([(0, "F"), (1, "F"), (1, "F"), (1, "O"), (2, "P")], "o_orderkey long, o_orderstatus string")
+    rows = [(0, 7, 2, "O"), (0, 1, 4, "O"), (1, 1, 2, "F"), (1, 2, 4, "O"), (1, 3, 6, "O"), (2, 7, 1, "F"), (3, 1, 2, "F"), (1, 7, 1, "F")]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_linenumber int, l_linestatus string")
+    connection = duckdb.connect()
+    for name, frame in (("orders", orders), ("lineitem", lines)):
+        frame.write.parquet(f"{tmp_path}/{name}.parquet")
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    query = CATALOG["q_join_integrity"]
+    want = connection.execute(query.sql).fetchall()
+    assert sorted(map(tuple, query.run(spark, str(tmp_path)).collect())) == sorted(want)
