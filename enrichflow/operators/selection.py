@@ -42,24 +42,30 @@ def check_selection(topics: Sequence[str], questions: Sequence[str], max_records
         raise ValueError("questions must contain non-blank values")
 
 
-def on_topic(folded: DataFrame, topics: DataFrame, key: str = "detail_url") -> DataFrame:
-    """(key): titles that contain a topic of a table of any size; an empty table selects none."""
-    words = topics.select(fold_title(F.col(topics.columns[0])).alias("keyword"))
+def on_topic(folded: DataFrame, topics: DataFrame, key: str = "detail_url", topics_folded: bool = False) -> DataFrame:
+    """(key): titles that contain a topic of a table of any size; an empty table selects none.
+
+    ``topics_folded``: topics are compared as they are, blanks at their ends included.
+    """
+    topic = F.col(topics.columns[0])
+    words = topics.select((topic if topics_folded else fold_title(topic)).alias("keyword"))
     return containing(folded, words, key, "folded_title").select(key).distinct()
 
 
-def dispose(seeds: DataFrame, topics: Sequence[str] | DataFrame = (), ids: IdShape = ARCHIVE, key: str = "detail_url") -> DataFrame:
+def dispose(
+    seeds: DataFrame, topics: Sequence[str] | DataFrame = (), ids: IdShape = ARCHIVE, key: str = "detail_url", topics_folded: bool = False
+) -> DataFrame:
     """Adds ``folded_title`` (of linked records), ``arxiv_id`` and ``disposition`` to unique records.
 
     ``topics`` is a short list, tested title by title, or a table whose first column holds them, joined by an index of their n-grams;
-    then ``key`` must tell the records apart.
+    then ``key`` must tell the records apart, and ``topics_folded`` takes topics cut out of folded text unchanged.
     """
     linked = F.col("arxiv_url").isNotNull()
     folded = seeds.withColumn("folded_title", once(F.when(linked, fold_title(F.col("title"))))).withColumn(
         "arxiv_id", once(canonical_id(F.col("arxiv_url"), ids))
     )
     if isinstance(topics, DataFrame):
-        found = on_topic(folded.filter(linked), topics, key).withColumn("_on_topic", F.lit(True))
+        found = on_topic(folded.filter(linked), topics, key, topics_folded).withColumn("_on_topic", F.lit(True))
         folded, fits = folded.join(found, key, "left"), F.col("_on_topic").isNotNull()
     else:
         fits = matches_any(F.col("folded_title"), topics)

@@ -168,3 +168,12 @@ def test_keyword_table_equals_a_loop(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert containing(frame, spark.createDataFrame([], "keyword string"), "id").count() == 0
+
+
+def test_folded_topics_keep_their_blanks(spark):
+    rows = [("u1", "Deep nets", "https://arxiv.org/abs/2401.00001"), ("u2", "A deep net", "https://arxiv.org/abs/2401.00002")]
+    seeds = spark.createDataFrame(rows, "detail_url string, title string, arxiv_url string")
+    topics = spark.createDataFrame([(" deep",)], "topic string")
+    found = {folded: {r.detail_url: r.disposition for r in selection.dispose(seeds, topics, topics_folded=folded).collect()} for folded in (True, False)}
+    assert found[True] == {"u1": "topic_mismatch", "u2": "selected"}
+    assert found[False] == {"u1": "selected", "u2": "selected"}
