@@ -368,21 +368,28 @@ def q_snapshot_tables(spark, sf_dir):
 PARTS = 4
 
 
-def replayed(rows, order: str, path: str) -> str:
-    """Write rows as files that arrive in ``order``, to be streamed a file at a time."""
+def replayed(spark, rows, order: str, path: str):
+    """Rows written as files that arrive in ``order`` and streamed again.
+
+    A micro-batch takes as many files as the largest part has, so the number of batches, each of which merges what it finds with
+    what is stored, does not grow with the rows.
+    """
     low, high = rows.agg(F.min(order), F.max(order)).first()
     step = (high - low) // PARTS + 1
+    files = [0]
     for part in range(PARTS):
         piece = rows.filter(F.col(order).between(low + part * step, low + (part + 1) * step - 1))
         piece.write.mode("append").parquet(path)
-    return path
+        files.append(len(spark.read.schema(rows.schema).parquet(path).inputFiles()))
+    most = max(after - before for before, after in zip(files, files[1:]))
+    return latest.file_stream(spark, path, rows.schema, files_per_trigger=most)
 
 
 @query(PROTECTED_SQL)
 def q_stream_latest(spark, sf_dir):
     root = folder(spark)
     rows = event_rows(spark, sf_dir)
-    stream = latest.file_stream(spark, replayed(rows, "event_id", f"{root}/in"), rows.schema)
+    stream = replayed(spark, rows, "event_id", f"{root}/in")
     table = latest.latest_table(f"{root}/table", rows.schema, ["user_id"], ["event_id"], buckets=8)
     latest.start_upserts(stream, table, f"{root}/state").awaitTermination()
     return table.current(spark).select("user_id", F.col("number").alias("event_id"), "status")
@@ -391,7 +398,7 @@ def q_stream_latest(spark, sf_dir):
 def streamed_steps(spark, sf_dir):
     root = folder(spark)
     rows = tables.task_events(spark, sf_dir)
-    stream = latest.file_stream(spark, replayed(rows, "seq", f"{root}/in"), rows.schema)
+    stream = replayed(spark, rows, "seq", f"{root}/in")
     store = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(store)
     spark.conf.set(store, latest.ROCKS)
@@ -428,7 +435,7 @@ def q_stream_report(spark, sf_dir):
             allowMissingColumns=True,
         )
     )
-    stream = latest.file_stream(spark, replayed(rows, "seq", f"{root}/in"), rows.schema, files_per_trigger=1)
+    stream = replayed(spark, rows, "seq", f"{root}/in")
     feed = latest.ReportFeed(f"{root}/feed", rows.schema, tables.record_tasks(spark, sf_dir), buckets=8)
     latest.start_reports(stream, feed, f"{root}/state").awaitTermination()
     written = feed.reports.current(spark)

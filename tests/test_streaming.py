@@ -142,3 +142,15 @@ def test_stream_of_a_log_equals_the_log(spark, tmp_path):
         assert sorted(map(str, rows.drop("_line").collect())) == sorted(map(str, whole.drop("_line").collect()))
         assert sorted(map(str, logs.latest_logged(rows).collect())) == sorted(map(str, logs.latest_logged(whole).collect()))
     assert spark.read.parquet(bad).count() == 3
+
+
+def test_batches_of_a_replay_do_not_grow_with_its_files(spark, tmp_path):
+    from enrichflow.queries.reporting import PARTS, replayed
+
+    for parts in (2, 12):
+        rows = spark.range(0, 400, 1, parts)
+        stream = replayed(spark, rows.repartition(parts), "id", f"{tmp_path}/in{parts}")
+        seen = []
+        query = stream.writeStream.foreachBatch(lambda batch, n: seen.append(batch.count())).option("checkpointLocation", f"{tmp_path}/c{parts}")
+        query.trigger(availableNow=True).start().awaitTermination()
+        assert len(seen) <= PARTS and sum(seen) == 400
