@@ -32,6 +32,8 @@ def write_table(
     """
     by_run = run is not None and run in df.columns
     writer = (df.hint("rebalance", run) if by_run and not clustered else df).write.mode("overwrite").format(kind)
+    if kind == "parquet":
+        writer = writer.option("compression", "zstd")
     if kind == "json":
         writer = writer.option("ignoreNullFields", "false")
     if by_run:
@@ -72,23 +74,32 @@ def _prints(results: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.concat_ws(":", F.hex(F.bit_xor("h")), F.hex(F.sum(F.pmod("h", F.lit(1 << 30))))).alias("print"))
 
 
+def _recorded_as(prints: DataFrame, version: int) -> DataFrame:
+    return prints.withColumn("held_by", F.lit(version).cast("bigint"))
+
+
 def write_snapshot(results: DataFrame, root: str, version: int, base: int | None = None) -> DataFrame:
     """Write results, records, likes, question-answer rows and reports of one version; returns the stored results.
 
     Runs whose rows are those of the version ``base`` are not written again: the version's record names the version that holds them.
+    Without a base the record is made of the stored rows, so the results are computed once.
     """
     spark = results.sparkSession
-    record = _prints(results).withColumn("held_by", F.lit(version).cast("bigint"))
-    before = None if base is None else _recorded(spark, root, base)
-    if before is not None:
+    path, before = version_path(root, "paper-results", version), None if base is None else _recorded(spark, root, base)
+    if before is None:
+        write_table(results, path)
+        stored = spark.read.schema(results.schema).parquet(path)
+        settle(_recorded_as(_prints(stored), version), version_path(root, RUNS, version))
+    else:
         known = before.select("run_id", "n", "print", F.col("held_by").alias("held_before"))
-        record = record.join(known, ["run_id", "n", "print"], "left").withColumn("held_by", F.coalesce("held_before", "held_by")).drop("held_before")
-    record = settle(record, version_path(root, RUNS, version))
-    if before is not None:
-        results = results.join(record.filter(F.col("held_by") == version).select("run_id"), "run_id", "left_semi")
-    path = version_path(root, "paper-results", version)
-    write_table(results, path)
-    stored = spark.read.schema(results.schema).parquet(path)
+        record = _recorded_as(_prints(results), version).join(known, ["run_id", "n", "print"], "left")
+        record = record.withColumn("held_by", F.coalesce("held_before", "held_by")).drop("held_before")
+        record = settle(record, version_path(root, RUNS, version))
+        changed = record.filter(F.col("held_by") == version).select("run_id")
+        if changed.first() is None and record.first() is not None:
+            return read_table(spark, root, "paper-results", version)
+        write_table(results.join(changed, "run_id", "left_semi"), path)
+        stored = spark.read.schema(results.schema).parquet(path)
     order = [c for c in stored.columns if c in ("run_id", "batch", "ord")]
     tables = {
         "papers": stored.select(*order, "paper.*"),
@@ -96,15 +107,14 @@ def write_snapshot(results: DataFrame, root: str, version: int, base: int | None
         "qa-results": qa_records(stored),
         V.REPORTS: final_reports(stored),
     }
-    if before is None or record.filter(F.col("held_by") == version).first() is not None:
-        for name, rows in tables.items():
-            write_table(rows, version_path(root, name, version), clustered=True)
+    for name, rows in tables.items():
+        write_table(rows, version_path(root, name, version), clustered=True)
     return stored if before is None else read_table(spark, root, "paper-results", version)
 
 
 def settle(df: DataFrame, path: str) -> DataFrame:
     """Write a frame that several jobs need and read it back: parsed once, safe against lost executors."""
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -322,3 +322,30 @@ def test_a_version_writes_only_runs_that_changed(spark, tmp_path):
     assert {r[2] for r in rows(third) if r[0] == "r"} == {"COMPLETED"}
     assert snapshots.read_table(spark, root, "reports", 3).count() == 4
     assert {r["run_id"]: r["held_by"] for r in snapshots._recorded(spark, root, 3).collect()} == {"r": 3, "s": 1}
+
+
+def test_a_first_version_computes_its_results_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    from enrichflow.operators.joins import join_results
+
+    papers = tasks(spark, "1", "2", "3").withColumn("run_id", F.lit("r"))
+    rows = join_results(papers, analyses(spark, ok("arxiv:1")), likes(spark, liked("1", 1))).withColumn("batch", F.lit(1).cast("bigint"))
+    rows = rows.join(rows.select("ord").mapInPandas(counted, "ord " + dict(rows.dtypes)["ord"]), "ord")
+    snapshots.write_snapshot(rows, str(tmp_path), 1)
+    assert seen.value == 3
+    stored = os.listdir(f"{tmp_path}/paper-results/version=1/run_id=r")
+    assert all(name.endswith((".zstd.parquet", ".zstd.parquet.crc")) for name in stored)
+
+
+def test_an_unchanged_version_writes_no_rows(spark, tmp_path):
+    root, work = str(tmp_path), tasks(spark, "1").withColumn("run_id", F.lit("r"))
+    for version in (1, 2):
+        flow.persist_results(spark, work, "none", "none", root, version=version, existing_version=version - 1 or None)
+    assert not os.path.exists(f"{root}/paper-results/version=2")
+    assert [r.status for r in snapshots.read_table(spark, root, "paper-results", 2).collect()] == ["FAILED"]
