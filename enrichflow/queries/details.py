@@ -13,6 +13,7 @@ from enrichflow.queries.reporting import task_offers
 from enrichflow.queries.selecting import SEEDS_SQL, TOPICS, seeds
 from enrichflow.queries.tables import QUESTIONS, table
 from enrichflow.sources.scans import scan_pages
+from enrichflow.sources.scratch import written
 
 AUTHORITIES = ("openaccess.thecvf.com", "OpenAccess.TheCVF.com:443", "openaccess.thecvf.com:8443", "me@openaccess.thecvf.com",
                "openaccess.thecvf.com.example", "openaccess.thecvf.com:0443")
@@ -120,7 +121,7 @@ UNION ALL SELECT page_id, 'UNSUPPORTED_CONFERENCE_YEAR' FROM listed WHERE year I
 )
 def q_listing_rejects(spark, sf_dir):
     """Records without the required link, and pages whose URL names no supported year."""
-    parsed = extract.parse_listings(listing_table(spark, sf_dir))
+    parsed = written(extract.parse_listings(listing_table(spark, sf_dir)))  # both halves read it
     bad = extract.quarantined(extract.listed_records(parsed)).select("page_id", F.col("error_code").alias("code"))
     return bad.unionByName(extract.page_failures(parsed).select("page_id", F.col("error_code").alias("code")))
 

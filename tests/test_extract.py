@@ -133,3 +133,11 @@ def test_pages_of_one_piece_are_parsed_in_one_pass(spark, piece):
     for parse, column in ((markup.with_links, "links"), (markup.with_records, "records")):
         got, plain = (parse(pages, parser=p).select(column).first()[0] for p in ("auto", "stdlib"))
         assert got == plain
+
+
+def test_listing_rejects_parse_a_page_once(spark):
+    from enrichflow.queries import CATALOG
+    from tests.conftest import plan_of
+
+    plan = plan_of(CATALOG["q_listing_rejects"].run(spark, "/root/testdata/sf0.001"))
+    assert "ArrowEvalPython" not in plan and "documents.parquet" not in plan
