@@ -177,3 +177,15 @@ def test_folded_topics_keep_their_blanks(spark):
     found = {folded: {r.detail_url: r.disposition for r in selection.dispose(seeds, topics, topics_folded=folded).collect()} for folded in (True, False)}
     assert found[True] == {"u1": "topic_mismatch", "u2": "selected"}
     assert found[False] == {"u1": "selected", "u2": "selected"}
+
+
+def test_keywords_of_several_buckets_meet_each_block_once(spark):
+    from enrichflow.operators.keywords import containing
+
+    draw = random.Random(2)
+    titles = [(i, "".join(draw.choices("ab é", k=60))) for i in range(60)]
+    words = [(t[i : i + 1 + n % 40],) for n, (_, t) in enumerate(titles) for i in (0, 7)]
+    found = containing(spark.createDataFrame(titles, "id int, title string"), spark.createDataFrame(words, "keyword string"), "id", block=500, bucket=20)
+    assert sorted(map(tuple, found.collect())) == sorted({(i, w) for i, t in titles for (w,) in words if w in t})
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan and "Join" not in plan
