@@ -13,6 +13,7 @@ from enrichflow import fixed_values as V
 from enrichflow.operators.contracts import require_run_ids
 from enrichflow.operators.reports import final_reports
 from enrichflow.operators.texts import qa_records
+from enrichflow.sources import report_files
 
 
 SNAPSHOT = ("paper-results", "papers", "likes-results", "qa-results", V.REPORTS)
@@ -127,17 +128,25 @@ def export_jsonl(table: DataFrame, path: str, *order: str) -> None:
 def export_report_files(reports: DataFrame, folder: str) -> None:
     """Each report as a text file in its own folder, ``run_id=…/file_name=…``, on any file system that Spark writes to.
 
-    Folders of reports that are not among these rows stay. The text sink ends a file with a line break of its own.
+    Folders of reports that are not among these rows stay. The text sink ends a file with a line break of its own. Where the folder is
+    on a file system that the executors mount, tasks write the files themselves: the sink takes several processes and renames a file there.
     """
     if "run_id" in reports.columns:
         require_run_ids(reports)
     keys = [c for c in reports.columns if c in ("run_id", "file_name")]
     texts = reports.select(*keys, F.regexp_replace("body", "\n\\z", "").alias("value"))
+    mounted = report_files.mounted_path(reports.sparkSession, folder)
+    if mounted is not None:
+        report_files.write(texts, mounted, keys)
+        return
     texts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).text(folder)
 
 
 def read_report_files(spark: SparkSession, folder: str) -> DataFrame:
     """(run columns, file_name, body) of exported reports."""
+    mounted = report_files.mounted_path(spark, folder)
+    if mounted is not None:
+        return report_files.read(spark, mounted)
     return spark.read.text(folder, wholetext=True).withColumnRenamed("value", "body")
 
 

@@ -349,3 +349,24 @@ def test_an_unchanged_version_writes_no_rows(spark, tmp_path):
         flow.persist_results(spark, work, "none", "none", root, version=version, existing_version=version - 1 or None)
     assert not os.path.exists(f"{root}/paper-results/version=2")
     assert [r.status for r in snapshots.read_table(spark, root, "paper-results", 2).collect()] == ["FAILED"]
+
+
+def test_report_files_of_a_mounted_folder(spark, tmp_path):
+    """One plain file a folder, without checksum files. Odd names, equal names, reports written again, folders that stay."""
+    folder, shape = str(tmp_path / "r"), "run_id string, file_name string, body string"
+    many = spark.range(3000).selectExpr("'many' AS run_id", "id || '.md' AS file_name", "repeat('word ', 200) || id || '\\n' AS body")
+    odd = [("7", "a=b%c:d.md", "é\n"), ("7", "two.md", "one\n"), ("7", "two.md", "one\n"), ("7", "two.md", "other"), ("x", "none.md", None)]
+    snapshots.export_report_files(many, folder)
+    assert snapshots.read_report_files(spark, folder).exceptAll(many).count() == 0
+    assert os.listdir(f"{folder}/run_id=many/file_name=2999.md") == ["part-00000.txt"]
+    snapshots.export_report_files(spark.createDataFrame(odd, shape), folder)
+    back = snapshots.read_report_files(spark, folder)
+    want = [("7", "a=b%c:d.md", "é\n"), ("7", "two.md", "one\n"), ("7", "two.md", "one\n"), ("7", "two.md", "other\n"), ("x", "none.md", "\n")]
+    assert sorted(map(tuple, back.filter("run_id <> 'many'").collect())) == sorted(want) and back.count() == 3005
+    snapshots.export_report_files(spark.createDataFrame([("7", "two.md", "new\n")], shape), folder)
+    assert [r.body for r in snapshots.read_report_files(spark, folder).filter("file_name = 'two.md'").collect()] == ["new\n"]
+    single = str(tmp_path / "s")
+    snapshots.export_report_files(spark.createDataFrame([("1.md", "x\n")], "file_name string, body string"), single)
+    assert [tuple(r) for r in snapshots.read_report_files(spark, single).collect()] == [("1.md", "x\n")]
+    sink = spark.read.text(single, wholetext=True)  # the layout of Spark's own sink
+    assert [tuple(r) for r in sink.collect()] == [("x\n", "1.md")]
