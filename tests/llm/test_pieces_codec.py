@@ -86,3 +86,18 @@ def test_odd_rows(spark):
     back = [r.text for r in op.decoded(out, model_bytes()).collect()]
     assert back == [(t or "").replace(op.MARK, " ") for _, t in rows]
     assert op.encoded(docs.limit(0), model_bytes()).count() == 0
+
+
+def test_words_are_learned_once_within_bounds(monkeypatch):
+    """The table holds the words of a large task, and not more text than allowed when words are long."""
+    coder, learned = op.Coder(model_bytes(), 1), []
+    learn = coder.learn
+    coder.learn = lambda groups: learned.extend(map(len, groups)) or learn(groups)
+    texts = [" ".join(f"w{k}" for k in range(a, a + 30_000)) for a in range(0, 90_000, 30_000)]
+    first = list(coder(texts[:1])) + list(coder(texts[1:2])) + list(coder(texts[2:]))
+    assert sum(learned) == 90_000 and list(coder(texts)) == first and sum(learned) == 90_000
+    monkeypatch.setattr(op, "KNOWN_CHARS", 1000)
+    assert list(coder(["x" * 900])) and len(coder.known) == 2
+    long = "y" * 2000
+    assert list(coder([long])) and list(coder(["z"])) and len(coder.known) == 2
+    assert np.frombuffer(next(coder([long]))[0], np.int32).tolist() == coder.theirs.encode(long)
