@@ -39,3 +39,17 @@ def test_without_both_classes(spark, kept):
     docs = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id bigint, text string")
     labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, quality int").filter(kept)
     assert {r.score for r in op.scored(docs, op.fit(docs, labels)).collect()} == {1.0 if kept == "quality = 1" else 0.0}
+
+
+def test_every_labelled_document_counts(spark, monkeypatch):
+    """Scale, pairs and cut come from all 6,000 labelled rows; blocks of one class meet rows of the other."""
+    monkeypatch.setattr(op, "BLOCK", 2)
+    docs = spark.range(6000).selectExpr("id AS doc_id", "repeat(if(id % 3 = 0, 'BUY!! ### ', 'calm words here '), 1 + int(id % 40)) || id AS text")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 3 <> 0) AS quality")
+    stored = op.labelled_features(docs, op.known_labels(labels, "quality")[0])
+    model = op.fit(docs, labels)
+    assert stored.count() == 6000
+    assert np.allclose(model.centre, np.array(stored.groupBy().avg(*(f"f{k}" for k in range(op.FEATURES))).first()))
+    got = op.scored(docs, model).collect()
+    below = sum(r.score < op.CUT for r in got)
+    assert below == 2000 and all((r.score >= op.CUT) == (r.doc_id % 3 != 0) for r in got)
