@@ -4,6 +4,7 @@ State that must last is in keyed tables (``upserts``) or in Structured Streaming
 micro-batch and overwrite it when a batch is replayed, so results do not change after a restart.
 """
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -70,17 +71,26 @@ _STEP = row(
 _STATE = row(state=TEXT, arxiv_id=TEXT)
 
 
-Chunks = Callable[[], Iterable[pd.DataFrame]]
+_EVENT = row(seq=LONG, kind=TEXT, arxiv_id=TEXT, likes=LONG, raw_text=TEXT, error_code=TEXT)
+_RESULTS = (taskstate.RESULT_OK, taskstate.RESULT_BAD)
+Event = tuple  # in the order of _EVENT; most tasks have few events in a batch, so they are plain tuples, not frames
+Chunks = Callable[[], Iterable[Sequence[Event]]]
 _NEVER = np.iinfo(np.int64).max
 
 
-def _earliest(chunks: Chunks, wanted: Callable[[pd.DataFrame], np.ndarray]) -> tuple[int, pd.Series | None]:
-    """Smallest sequence number of the wanted events, and that event."""
+def _events(chunk: pd.DataFrame) -> list[Event]:
+    columns = {name: chunk[name].tolist() for name in _EVENT.names}
+    columns["likes"] = [None if pd.isna(v) else int(v) for v in columns["likes"]]
+    return list(zip(*columns.values()))
+
+
+def _earliest(chunks: Chunks, kinds: tuple[str, ...], after: int, own_id: str | None = None) -> tuple[int, Event | None]:
+    """Smallest sequence number above ``after`` of the events of these kinds, results of this id only, and that event."""
     seq, found = _NEVER, None
     for chunk in chunks():
-        mine = chunk[wanted(chunk)]
-        if len(mine) and (least := int(mine["seq"].min())) < seq:
-            seq, found = least, mine.loc[mine["seq"].idxmin()]
+        for event in chunk:
+            if after < event[0] < seq and event[1] in kinds and (kinds is not _RESULTS or own_id is not None and event[2] == own_id):
+                seq, found = event[0], event
     return seq, found
 
 
@@ -91,57 +101,51 @@ def _moves(state: str | None, own_id: str | None, chunks: Chunks) -> tuple[str |
     """
     at, steps = -_NEVER, []
     if state is None:
-        at, event = _earliest(chunks, lambda c: (c["kind"] == taskstate.ENQUEUE).to_numpy())
-        own_id, state = (event["arxiv_id"], "PENDING") if event is not None else (own_id, None)
+        at, event = _earliest(chunks, (taskstate.ENQUEUE,), at)
+        own_id, state = (event[2], "PENDING") if event is not None else (own_id, None)
         steps.append((at, "PENDING"))
     if state == "PENDING":
-        after = at
-        at, event = _earliest(chunks, lambda c: ((c["kind"] == taskstate.CLAIM) & (c["seq"] > after)).to_numpy())
+        at, event = _earliest(chunks, (taskstate.CLAIM,), at)
         state = "CLAIMED" if event is not None else state
         steps.append((at, "CLAIMED"))
     if state == "CLAIMED":
-        claimed = at
-        at, event = _earliest(chunks, lambda c: (c["kind"].isin([taskstate.RESULT_OK, taskstate.RESULT_BAD]) & (c["arxiv_id"] == own_id)
-                                                 & (c["seq"] > claimed)).to_numpy())
+        at, event = _earliest(chunks, _RESULTS, at, own_id)
         if event is not None:
-            steps.append((at, "SUCCESS" if event["kind"] == taskstate.RESULT_OK else "FAILED"))
+            steps.append((at, "SUCCESS" if event[1] == taskstate.RESULT_OK else "FAILED"))
     return own_id, steps
 
 
-def _judged(state: str | None, own_id: str | None, moves: list[tuple[int, str | None]], chunk: pd.DataFrame) -> pd.DataFrame:
-    """The events of a chunk that moved the task or were refused."""
-    seq, kind = chunk["seq"].to_numpy(), chunk["kind"].to_numpy(object)
-    before = np.full(len(chunk), state, dtype=object)
-    moved = np.zeros(len(chunk), dtype=bool)
-    after = before.copy()
-    for at, to in moves:
-        before[seq > at] = to
-        after[seq >= at] = to
-        moved |= seq == at
-    same_id = chunk["arxiv_id"].to_numpy(object) == own_id
-    reason = np.select(
-        [
-            moved | (kind == taskstate.ENQUEUE),
-            np.equal(before, None),
-            kind == taskstate.CLAIM,
-            ~same_id,
-            before == "SUCCESS",
-        ],
-        [None, taskstate.UNKNOWN_TASK, taskstate.NOT_PENDING, taskstate.OTHER_IDENTITY, taskstate.ALREADY_SUCCEEDED],
-        taskstate.NOT_CLAIMED,
-    )
-    steps = chunk.assign(state=after, reason=reason)
-    steps["attempts"] = steps["state"].isin(["CLAIMED", "SUCCESS", "FAILED"]).astype("int32")
-    shown = moved | steps["reason"].notna().to_numpy()
-    finished = (moved & np.isin(kind, [taskstate.RESULT_OK, taskstate.RESULT_BAD]))[shown]
-    steps = steps[shown].copy()
-    for name in ("likes", "raw_text", "error_code"):
-        steps[name] = steps[name].astype(object).where(finished, None)
-    steps["likes"] = steps["likes"].astype("Int64")
+def _judged(key: tuple, state: str | None, own_id: str | None, moves: list[tuple[int, str | None]], chunk: Sequence[Event]) -> list[tuple]:
+    """The events of a chunk that moved the task or were refused, in the order of ``_STEP``."""
+    steps = []
+    for seq, kind, arxiv_id, *found in chunk:
+        before = after = state
+        moved = False
+        for at, to in moves:
+            before = to if seq > at else before
+            after = to if seq >= at else after
+            moved |= seq == at
+        if moved:
+            reason = None
+        elif kind == taskstate.ENQUEUE:
+            continue
+        elif before is None:
+            reason = taskstate.UNKNOWN_TASK
+        elif kind == taskstate.CLAIM:
+            reason = taskstate.NOT_PENDING
+        elif arxiv_id != own_id:
+            reason = taskstate.OTHER_IDENTITY
+        else:
+            reason = taskstate.ALREADY_SUCCEEDED if before == "SUCCESS" else taskstate.NOT_CLAIMED
+        finished = moved and kind in _RESULTS
+        attempts = int(after in ("CLAIMED", "SUCCESS", "FAILED"))
+        steps.append((*key, seq, kind, after, attempts, *(found if finished else (None, None, None)), reason))
     return steps
 
 
-_EVENT = row(seq=LONG, kind=TEXT, arxiv_id=TEXT, likes=LONG, raw_text=TEXT, error_code=TEXT)
+def _frame(steps: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(steps, columns=_STEP.names, dtype=object)
+    return frame.astype({"seq": "int64", "attempts": "int32", "likes": "Int64"})
 
 
 class TaskMachine(StatefulProcessor):
@@ -155,27 +159,21 @@ class TaskMachine(StatefulProcessor):
         self.held = handle.getValueState("task", _STATE)
         self.many = handle.getListState("events", _EVENT)
 
-    def _stored(self, size: int) -> Iterator[pd.DataFrame]:
-        rows: list[tuple] = []
-        for event in self.many.get():
-            rows.append(tuple(event))
-            if len(rows) == size:
-                yield pd.DataFrame(rows, columns=_EVENT.names)
-                rows = []
-        if rows:
-            yield pd.DataFrame(rows, columns=_EVENT.names)
+    def _stored(self, size: int) -> Iterator[list[Event]]:
+        held = (tuple(event) for event in self.many.get())
+        while chunk := list(islice(held, size)):
+            yield chunk
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         state, own_id = self.held.get() if self.held.exists() else (None, None)
-        first, second = next(rows), next(rows, None)
+        first, second = _events(next(rows)), next(rows, None)
         if second is None:
             def chunks():
                 return [first]
         else:
-            for chunk in (first, second, *rows):
-                plain = chunk[_EVENT.names].astype({"likes": "Int64"}).astype(object)
-                plain = plain.where(plain.notna(), None)
-                self.many.appendList(list(plain.itertuples(index=False, name=None)))
+            self.many.appendList(first)
+            for chunk in chain([second], rows):
+                self.many.appendList(_events(chunk))
 
             def chunks():
                 return self._stored(len(first))
@@ -184,9 +182,8 @@ class TaskMachine(StatefulProcessor):
         if moves:
             self.held.update((moves[-1][1], own_id))
         for chunk in chunks():
-            steps = _judged(state, own_id, moves, chunk)
-            steps["run_id"], steps["paper_key"] = key
-            yield steps[_STEP.names]
+            if steps := _judged(key, state, own_id, moves, chunk):
+                yield _frame(steps)
         if second is not None:
             self.many.clear()
 

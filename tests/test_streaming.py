@@ -154,3 +154,23 @@ def test_batches_of_a_replay_do_not_grow_with_its_files(spark, tmp_path):
         query = stream.writeStream.foreachBatch(lambda batch, n: seen.append(batch.count())).option("checkpointLocation", f"{tmp_path}/c{parts}")
         query.trigger(availableNow=True).start().awaitTermination()
         assert len(seen) <= PARTS and sum(seen) == 400
+
+
+def test_a_task_with_nothing_to_show_makes_no_frame():
+    import pandas as pd
+
+    class Held:
+        exists = staticmethod(lambda: True)
+        get = staticmethod(lambda: ("SUCCESS", "1"))
+
+    machine = latest.TaskMachine()
+    machine.held = Held()
+
+    def steps(*kinds):
+        n = len(kinds)
+        frame = pd.DataFrame({"seq": range(n), "kind": kinds, "arxiv_id": ["1"] * n, "likes": [1.0] * n, "raw_text": ["t"] * n, "error_code": [None] * n})
+        return list(machine.handleInputRows(("r", "k"), iter([frame]), None))
+
+    assert steps(taskstate.ENQUEUE) == []
+    assert [r for f in steps(taskstate.ENQUEUE, taskstate.CLAIM, taskstate.RESULT_OK) for r in f["reason"]] == [
+        taskstate.NOT_PENDING, taskstate.ALREADY_SUCCEEDED]
