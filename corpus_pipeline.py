@@ -13,17 +13,27 @@ from enrichflow.queries.registry import Entry
 from enrichflow.sources.scratch import written
 
 
+BATCH_ROWS = 1000  # 10,000 documents of 2 KB, Spark's default, took over 200 MB more of an executor outside its heap
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Rows that go to Python at once; results do not depend on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.5; the model learns from the labels of the documents given."""
+    _small_batches(spark)
     return toxicity.without_toxic(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the blocks that an earlier one has; a document that loses all its words goes."""
+    _small_batches(spark)
     cut = line_dedup.deduplicated(docs)
     left = cut.filter((F.size("removed") == 0) | F.col("text").rlike(r"[^ \t-\r]"))
     own = {"n_chars": F.when(F.size("removed") == 0, F.col("n_chars")).otherwise(F.char_length("text"))} if "n_chars" in docs.columns else {}
@@ -32,6 +42,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each class of near duplicates (five words, similarity 0.8)."""
+    _small_batches(spark)
     gone = jaccard_join.linked(docs, size=5, percent=80).filter("component_id <> doc_id").select("doc_id")
     return docs.join(written(gone), "doc_id", "left_anti").select(*docs.columns)
 
@@ -44,6 +55,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the texts that are left."""
+    _small_batches(spark)
     return pieces_codec.encoded(docs, model_bytes())
 
 

@@ -4,6 +4,7 @@ import re
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -101,3 +102,23 @@ def test_words_are_learned_once_within_bounds(monkeypatch):
     long = "y" * 2000
     assert list(coder([long])) and list(coder(["z"])) and len(coder.known) == 2
     assert np.frombuffer(next(coder([long]))[0], np.int32).tolist() == coder.theirs.encode(long)
+
+
+def test_a_worker_keeps_one_model_and_no_words(monkeypatch):
+    freed = []
+    monkeypatch.setattr(op, "release", lambda: freed.append(True))
+    rows = []
+
+    class Docs:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, func, schema):
+            rows.append(func)
+
+    op.encoded(Docs(), model_bytes())
+    batch = pa.record_batch({"doc_id": [1, 2], "text": ["a b", None]})
+    counts = [next(iter(list(rows[0](iter([batch]))))).column("n_tokens").to_pylist() for _ in range(2)]
+    assert counts[0] == counts[1] and counts[0][0] > 0 and counts[0][1] == 0
+    assert len(freed) == 2
+    assert op.Coder(model_bytes(), 2).ours is op.Coder(model_bytes(), 2).ours

@@ -48,3 +48,15 @@ def test_stages_take_odd_rows(spark, tmp_path):
             before, frame = frame, written(stage(spark, frame, str(tmp_path)))
             assert name.startswith("Sentence") or frame.columns == docs.columns
         assert before.count() == frame.count() == left
+
+
+def test_stages_hand_small_batches_to_python(spark, monkeypatch):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "10000")
+        docs = spark.createDataFrame([(1, "a few words")], "doc_id bigint, text string")
+        assert corpus_pipeline.encoding_stage(spark, docs, "").count() == 1
+        assert int(spark.conf.get(name)) == corpus_pipeline.BATCH_ROWS < 10000
+    finally:
+        spark.conf.set(name, before)
