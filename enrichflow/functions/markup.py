@@ -71,8 +71,9 @@ def unescape(text: Column) -> Column:
 
 def _visible(html: Column) -> Column:
     """The page without hidden blocks. The end mark is left unless a block is open or the page holds one itself."""
-    marked = F.concat(F.translate(html, _END, ""), F.lit(_END))
-    return F.when(html.contains(_END), "").otherwise(F.regexp_replace(marked, _HIDDEN, "<!>"))
+    marked = F.concat(html, F.lit(_END))
+    cut = F.when(html.rlike("<(?:!--|[sS])"), F.regexp_replace(marked, _HIDDEN, "<!>")).otherwise(marked)
+    return F.when(html.contains(_END), "").otherwise(cut)
 
 
 def _odd_blocks(marked: Column) -> Column:
@@ -84,7 +85,7 @@ def _with_seen(pages, html: str, parser: str):
     """Adds ``_seen``, what the regexes read. With ``parser='auto'`` that is nothing of an odd page, which is parsed anyway."""
     marked = pages.withColumn("_marked", _visible(F.col(html)))
     marked = marked.withColumn("_block", _odd_blocks(F.col("_marked")))
-    seen = F.translate("_marked", _END, "")
+    seen = F.replace("_marked", F.lit(_END), F.lit(""))
     return marked.withColumn("_seen", F.when(F.col("_block"), "").otherwise(seen) if parser == "auto" else seen)
 
 
@@ -115,21 +116,21 @@ def _anchors(html: Column, glue: str) -> Column:
 
     def fields(closed: Column, sound: Column) -> Column:
         attrs = F.regexp_extract(closed, rf"^<[aA]({_ATTRS})>", 1)
-        body = F.regexp_extract(closed, rf"(?s)^<[aA]{_ATTRS}>(.*)</[aA]\s*>$", 1)
         return bind(
-            lambda a: F.struct(
+            lambda a, body: F.struct(
                 F.when(closed != "", _attribute(a, "href")).alias("href"),
                 F.when(body.contains("<"), F.regexp_replace(body, _TAGS, glue)).otherwise(body).alias("text"),
                 (~sound | a.rlike(r"(?i)\shref\b.*\shref\b")).alias("odd"),
             ),
             a=attrs,
+            body=F.regexp_extract(closed, rf"(?s)^<[aA]{_ATTRS}>(.*)</[aA]\s*>$", 1),
         )
 
     return F.transform(
         starts,
         lambda c: bind(
             fields,
-            closed=F.regexp_extract(c, rf"(?s)^<[aA]{_ATTRS}>.*?</[aA]\s*>", 0),
+            closed=F.regexp_extract(c, rf"^<[aA]{_ATTRS}>{_upto('[aA]')}</[aA]\s*>", 0),
             sound=c.rlike(rf"^<[aA]{_ATTRS}>"),
         ),
     )
@@ -152,6 +153,11 @@ def _odd_anchors(anchors: Column) -> Column:
     )
 
 
+def _upto(tag: str) -> str:
+    """Everything before the end tag, or all; whole runs of text are taken at once, not character by character."""
+    return rf"[^<]*+(?:<(?!/{tag}\s*>)[^<]*+)*+"
+
+
 def _class_pattern(css_class: str) -> str:
     return (
         rf"\sclass\s*=\s*(?:\"(?:[^\"]*\s)?{css_class}(?:\s[^\"]*)?\"|'(?:[^']*\s)?{css_class}(?:\s[^']*)?'"
@@ -177,15 +183,16 @@ def _raw_records(html: Column, shape: RecordShape) -> Column:
         return F.filter(F.transform(named, lambda a: _attribute(a, "value")), lambda v: F.length(v) > 0)
 
     def record(segment: Column) -> Column:
-        head = F.regexp_extract(segment, rf"(?is)^<[^>]*>(.*?)(?:</{shape.tag}\s*>|$)", 1)
-        last_anchor = F.regexp_extract(head, rf"(?is)^.*<a({_ATTRS})>", 1)
-        return F.struct(
-            F.regexp_replace(head, _TAGS, "").alias("title"),
-            _attribute(last_anchor, "href").alias("detail_href"),
-            F.when(segment.contains(shape.form_class), authors(segment))
-            .otherwise(F.array().cast("array<string>"))
-            .alias("authors"),
-            _anchors(segment, "").alias("links"),
+        return bind(
+            lambda head: F.struct(
+                F.regexp_replace(head, _TAGS, "").alias("title"),
+                _attribute(F.regexp_extract(head, rf"(?is)^.*<a({_ATTRS})>", 1), "href").alias("detail_href"),
+                F.when(segment.contains(shape.form_class), authors(segment))
+                .otherwise(F.array().cast("array<string>"))
+                .alias("authors"),
+                _anchors(segment, "").alias("links"),
+            ),
+            head=F.regexp_extract(segment, rf"^<[^>]*>({_upto(f'(?i:{shape.tag})')})", 1),
         )
 
     return F.transform(segments, record)

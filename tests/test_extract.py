@@ -141,3 +141,16 @@ def test_listing_rejects_parse_a_page_once(spark):
 
     plan = plan_of(CATALOG["q_listing_rejects"].run(spark, "/root/testdata/sf0.001"))
     assert "ArrowEvalPython" not in plan and "documents.parquet" not in plan
+
+
+def test_an_open_title_keeps_its_last_line_end(spark):
+    pages = spark.createDataFrame([('<dt class="ptitle"><a href="/a">x</a> y\n',), ('<dt class="ptitle">z</DT ><a href="/b">b < c</A >\n',)], "html string")
+    got, plain = (markup.with_records(pages, parser=p).collect() for p in ("regex", "stdlib"))
+    assert got == plain and got[0].records[0].title == "x y\n"
+
+
+def test_whole_pages_are_not_translated_by_character(spark):
+    from enrichflow.queries import CATALOG
+    from tests.conftest import plan_of
+
+    assert "translate(_marked" not in plan_of(CATALOG["q_listing"].run(spark, "/root/testdata/sf0.001")).replace("#", "").lower()
