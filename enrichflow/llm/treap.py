@@ -26,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from enrichflow.llm.words import Words, slices
-from enrichflow.sources.scratch import written
+from enrichflow.sources.scratch import batches, written
 
 RANGE_BYTES, WIDTH, ITEMS, SLICES = 3 << 20, 128, 10_000, 256
+BATCH_BYTES = 4 << 20  # a range's row, or this much, is read and goes to a Python worker at a time
 INDEX = "docs binary, terms binary, df binary, height int, bits binary, nodes binary, lacks binary, top bigint"
 FOUND = "item_id bigint, doc_id bigint, score bigint"
 APART = np.zeros(256, bool)
@@ -286,7 +287,19 @@ def _search(index_rows: DataFrame, queries: list[tuple[int, np.ndarray]], n: int
 
 
 def search(index_rows: DataFrame, items: DataFrame, n: int, k: int = 10, at_once: int = ITEMS) -> DataFrame:
-    """(item_id, rank, doc_id, score): the best ``k`` documents of each item, best first."""
+    """(item_id, rank, doc_id, score): the best ``k`` documents of each item, best first; the best of each task are stored."""
+    with batches(items.sparkSession, BATCH_BYTES):
+        found = written(_found(index_rows, items, n, k, at_once))
+    ranking = [F.col("score").desc(), F.col("doc_id").asc()]
+    few = Window.partitionBy("item_id", "slice").orderBy(*ranking)
+    found = found.withColumn("slice", F.col("task") % SLICES)
+    found = found.withColumn("rank", F.row_number().over(few)).filter(F.col("rank") <= k)  # fewer rows per item before the last window
+    last = F.row_number().over(Window.partitionBy("item_id").orderBy(*ranking))
+    return found.withColumn("rank", last).filter(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
+
+
+def _found(index_rows: DataFrame, items: DataFrame, n: int, k: int, at_once: int) -> DataFrame:
+    """The best ``k`` documents of each item and task, in as many passes as the items take."""
     asked = written(item_terms(items).groupBy("item_id").agg(F.sort_array(F.collect_set("term")).alias("terms")))
     parts = max(1, -(-asked.count() // at_once))
     found = None
@@ -294,15 +307,12 @@ def search(index_rows: DataFrame, items: DataFrame, n: int, k: int = 10, at_once
         rows = asked.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).collect()  # about at_once items
         some = _search(index_rows, [(r["item_id"], np.array(r["terms"], np.int64)) for r in rows], n, k)
         found = some if found is None else found.unionByName(some)
-    ranking = [F.col("score").desc(), F.col("doc_id").asc()]
-    few = Window.partitionBy("item_id", "slice").orderBy(*ranking)
-    found = found.withColumn("slice", F.col("task") % SLICES)
-    found = found.withColumn("rank", F.row_number().over(few)).filter(F.col("rank") <= k)  # fewer rows per item before the last window
-    last = F.row_number().over(Window.partitionBy("item_id").orderBy(*ranking))
-    return found.withColumn("rank", last).filter(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
+    return found
 
 
 def ranked_search(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
     """Index the documents, store the index, and search all items."""
-    n, total = statistics(docs)
-    return search(written(index(docs, n, total)), items, n, k)
+    with batches(docs.sparkSession, BATCH_BYTES):
+        n, total = statistics(docs)
+        rows = written(index(docs, n, total), group=BATCH_BYTES)
+    return search(rows, items, n, k)

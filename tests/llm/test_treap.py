@@ -104,3 +104,44 @@ def test_a_stored_treap_opens_again_and_prunes():
     order = np.lexsort((docs, -scores))[:5]
     assert best.doc.tolist() == order.tolist() and best.score.tolist() == scores[order].tolist()
     assert opened < 900
+
+
+def test_index_rows_are_read_a_few_at_a_time(spark, monkeypatch):
+    """Neither a row group nor a batch for Python holds many ranges, whatever the partition holds."""
+    import pyarrow.parquet as pq
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, stored, limits, batch = spark.conf.get(key), [], [], getattr(treap, "BATCH_BYTES", 1 << 16)
+    build, store = treap.index, treap.written
+
+    def written(frame, *args, **kw):
+        limits.append(int(spark.conf.get(key).rstrip("b")))
+        stored.append(store(frame, *args, **kw))
+        return stored[-1]
+
+    monkeypatch.setattr(treap, "written", written)
+    monkeypatch.setattr(treap, "index", lambda docs, n, total: build(docs, n, total, 1 << 20))
+    draw = random.Random(5)
+    docs = [(i, " ".join(str(draw.randrange(100_000)) for _ in range(8_000))) for i in range(300)]
+    items = [(i, docs[i][1][:200]) for i in range(3)]
+    found = treap.ranked_search(docs_of(spark, docs).coalesce(1), items_of(spark, items), 1)
+    assert {(r["item_id"], r["doc_id"]) for r in found.collect()} == {(i, i) for i in range(3)}
+    groups = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in stored[0].inputFiles()]
+    sizes = [(g.row_group(i).num_rows, g.row_group(i).total_byte_size) for g in groups for i in range(g.num_row_groups)]
+    assert sum(rows for rows, _ in sizes) > 5 and all(rows == 1 or size < 3 * batch for rows, size in sizes)
+    assert set(limits) == {batch} and spark.conf.get(key) == before
+
+
+def test_batches_bound_what_python_gets_at_once(spark):
+    from enrichflow.sources.scratch import batches
+
+    def sizes(parts):
+        import pyarrow as pa
+
+        for part in parts:
+            yield pa.record_batch({"n": [part.num_rows]})
+
+    rows = spark.range(64).coalesce(1).selectExpr("repeat('x', 100000) AS x")
+    with batches(spark, 1 << 20):
+        assert max(r["n"] for r in rows.mapInArrow(sizes, "n bigint").collect()) <= 12
+    assert [r["n"] for r in rows.mapInArrow(sizes, "n bigint").collect()] == [64]
