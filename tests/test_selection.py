@@ -189,3 +189,36 @@ def test_keywords_of_several_buckets_meet_each_block_once(spark):
     assert sorted(map(tuple, found.collect())) == sorted({(i, w) for i, t in titles for (w,) in words if w in t})
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "regexp_extract_all" not in plan and "Join" not in plan
+
+
+def test_a_bucket_of_keywords_takes_little_more_than_its_bytes():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from enrichflow.operators.keywords import _Bucket
+
+    draw = random.Random(3)
+    words = sorted({"".join(draw.choices("abcdefgh", k=5 + n % 11)) for n in range(200_000)})
+    titles = [words[0] + words[-1], words[0], "", words[5] + " " + words[5]]
+    tracemalloc.start()
+    bucket = _Bucket(pa.array(words, pa.large_string()))
+    held, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 70 * len(words) and most < 110 * len(words)
+    found = {(t, w) for title, many in bucket.found(pa.array(titles)) for t, w in zip(title.tolist(), many.to_pylist())}
+    assert found == {(i, t[a:b]) for i, t in enumerate(titles) for a in range(len(t)) for b in range(a + 1, len(t) + 1)} & {(i, w) for i in range(4) for w in words}
+
+
+def test_keywords_that_begin_alike_and_long_ones(spark):
+    from enrichflow.operators.keywords import containing
+
+    same = "x" * 16
+    titles = [(1, same * 3 + "é" * 20), (2, same + "abc"), (3, "y" + same), (4, "é" * 19), (5, "x" * 15), (None, same)]
+    words = [same, same + "a", same + "abc", same + "abcd", same * 2, "x" * 33, "x" * 17 + "é", "é" * 19, "é" * 12, "é" * 4, "x" * 15, "x" * 8, "x" * 9, "x" * 7, "a", "bc"]
+    words += [same + "".join(p) for p in ("q", "qq", "qqq", "\x00", "\x00\x00")] + ["\x00", "x\x00"]
+    frame = spark.createDataFrame(titles, "id int, title string")
+    table = spark.createDataFrame([(w,) for w in words], "keyword string")
+    want = sorted(((i, w) for i, t in titles for w in words if w in t), key=str)
+    assert sorted(map(tuple, containing(frame, table, "id").collect()), key=str) == want
+    assert sorted(map(tuple, containing(frame, table, "id", bucket_bytes=60).collect()), key=str) == want
